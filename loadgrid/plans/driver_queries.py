@@ -118,7 +118,23 @@ def _views(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
                     F.concat(F.lit("SITE"), F.col("s_suppkey").cast("string")).alias("site_id"),
                     (F.col("s_acctbal") > 0).alias("crnt_row_flag"), F.col("s_nationkey").cast("string").alias("zip"),
                     F.col("s_name").alias("addr"))
-    return {"study": study, "etl_log": etl_log, "etl_backdated": etl_backdated, "study_to_reprocess": queue,
+    pm = o.select(F.col("o_custkey").alias("prem_num"), F.col("o_orderpriority").alias("ami_dvc_name"),
+                  F.when(F.col("o_totalprice") > 200000, F.concat("o_orderstatus", F.lit("N"))).otherwise(F.col("o_orderstatus")).alias("fpl_mtr_num"),
+                  F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("decimal(18,2)"))
+                   .otherwise(F.length("o_orderpriority").cast("decimal(18,2)")).alias("kwh_csnt"),
+                  F.trunc(F.col("o_orderdate").cast("date"), "month").alias("mtr_set_date"),
+                  F.col("o_orderdate").cast("date").alias("efct_strt_date"),
+                  F.date_add(F.col("o_orderdate").cast("date"), 90).alias("efct_end_date"))
+    cb = l.where(F.col("l_linenumber") <= 2).select(
+        F.col("l_partkey").cast("string").alias("charge_box_id"), F.col("l_linenumber").alias("connector_id"),
+        F.col("l_returnflag").alias("connector_type"), F.col("l_linestatus").alias("charge_point_serial_number"),
+        F.col("l_suppkey").alias("site_pk"), F.lit(1).alias("prod_id"),
+        (F.col("l_shipdate") - F.expr("INTERVAL 30 DAYS")).alias("chrgr_instl_dt"), F.col("l_shipdate").alias("efct_strt_dttm"),
+        (F.col("l_shipdate") + F.make_dt_interval(days=(F.col("l_quantity") * 10).cast("int"))).alias("efct_end_dttm"),
+        F.when(F.col("l_returnflag") == "R", F.lit("Asset In-Service")).when(F.col("l_returnflag") == "A", F.lit(None).cast("string"))
+         .otherwise(F.lit("Retired")).alias("asset_status"),
+        F.when(F.col("l_linestatus") == "O", F.lit(1500)).otherwise(F.lit(None).cast("int")).alias("sub_comp_cd"))
+    return {"premise_meter": pm, "ev_charge_box": cb, "study": study, "etl_log": etl_log, "etl_backdated": etl_backdated, "study_to_reprocess": queue,
             "study_premise": study_premise, "day": day, "pb_app_device": app, "iee_pb_device": iee,
             "mv_acct_prem_cust": apc, "account_installation": ai, "ev_trans_detail_fact": trans, "ev_site": site}
 
@@ -175,6 +191,18 @@ ev_trans_detail_fact AS (SELECT l_suppkey AS site_pk, CASE WHEN l_linenumber = 3
                                 l_returnflag AS acct_num, l_shipdate AS trans_end_dttm,
                                 CAST(l_extendedprice AS DECIMAL(18,2)) AS energy,
                                 CASE WHEN l_linestatus = 'O' THEN 'Wh' ELSE 'kWh' END AS energy_unit FROM lineitem),
+premise_meter AS (SELECT o_custkey AS prem_num, o_orderpriority AS ami_dvc_name,
+                         CASE WHEN o_totalprice > 200000 THEN o_orderstatus || 'N' ELSE o_orderstatus END AS fpl_mtr_num,
+                         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(length(o_orderpriority) AS DECIMAL(18,2)) END AS kwh_csnt,
+                         CAST(date_trunc('month', o_orderdate) AS DATE) AS mtr_set_date, CAST(o_orderdate AS DATE) AS efct_strt_date,
+                         CAST(CAST(o_orderdate AS DATE) + INTERVAL 90 DAY AS DATE) AS efct_end_date FROM orders),
+ev_charge_box AS (SELECT CAST(l_partkey AS VARCHAR) AS charge_box_id, l_linenumber AS connector_id, l_returnflag AS connector_type,
+                         l_linestatus AS charge_point_serial_number, l_suppkey AS site_pk, 1 AS prod_id,
+                         l_shipdate - INTERVAL 30 DAY AS chrgr_instl_dt, l_shipdate AS efct_strt_dttm,
+                         l_shipdate + to_days(CAST(l_quantity * 10 AS INTEGER)) AS efct_end_dttm,
+                         CASE WHEN l_returnflag = 'R' THEN 'Asset In-Service' WHEN l_returnflag = 'A' THEN NULL ELSE 'Retired' END AS asset_status,
+                         CASE WHEN l_linestatus = 'O' THEN 1500 ELSE NULL END AS sub_comp_cd
+                  FROM lineitem WHERE l_linenumber <= 2),
 ev_site AS (SELECT s_suppkey AS site_pk, 1 AS prod_id, 'SITE' || CAST(s_suppkey AS VARCHAR) AS site_id,
                    s_acctbal > 0 AS crnt_row_flag, CAST(s_nationkey AS VARCHAR) AS zip, s_name AS addr FROM supplier)
 """
@@ -311,3 +339,147 @@ def q_month_join(spark, sf):
 def q_month_join_all(spark, sf):
     out = datasets.uevmada(_views(spark, sf), RunParams(mode="history", month=None, as_of=AS_OF))
     return _dbl(out, "billkwh", "evkwh")
+
+
+# ------------------------------------------------------------------ Q6 meters, Q10 recorder islands, W11
+
+_CHAIN_SQL = """
+g AS (SELECT prem_num, ami_dvc_name, fpl_mtr_num, kwh_csnt, mtr_set_date, min(efct_strt_date) AS min_start,
+             max(efct_end_date) AS max_end
+      FROM premise_meter WHERE kwh_csnt IS NOT NULL AND ami_dvc_name <> '1' {extra}
+      GROUP BY prem_num, ami_dvc_name, fpl_mtr_num, kwh_csnt, mtr_set_date),
+w AS (SELECT *,
+        lag(mtr_set_date) OVER (PARTITION BY prem_num, mtr_set_date ORDER BY max_end ASC NULLS LAST,
+            ami_dvc_name ASC NULLS LAST, fpl_mtr_num ASC NULLS LAST, kwh_csnt ASC NULLS LAST) AS prev,
+        lead(mtr_set_date) OVER (PARTITION BY prem_num ORDER BY max_end ASC NULLS LAST, mtr_set_date ASC NULLS LAST,
+            ami_dvc_name ASC NULLS LAST, fpl_mtr_num ASC NULLS LAST, kwh_csnt ASC NULLS LAST) AS nxt
+      FROM g),
+chain AS (SELECT prem_num AS premiseid, ami_dvc_name AS meterid, kwh_csnt AS metermtpl, fpl_mtr_num AS metertype,
+                 CASE WHEN (CASE WHEN prev IS NULL THEN mtr_set_date ELSE min_start END) <= mtr_set_date THEN mtr_set_date
+                      ELSE (CASE WHEN prev IS NULL THEN mtr_set_date ELSE min_start END) END AS meterstart,
+                 CASE WHEN nxt IS NULL THEN max_end ELSE nxt END AS meterstop
+          FROM w)"""
+
+
+@query("interval_chain", _with(_CHAIN_SQL.format(extra="AND prem_num <> 1") + """
+SELECT premiseid, meterid, CAST(metermtpl AS DOUBLE) AS metermtpl, metertype, meterstart, meterstop FROM chain"""))
+def q_interval_chain(spark, sf):
+    out = datasets.utility_meter_intervals(_views(spark, sf), exclude_premises=(1,))
+    return _dbl(out, "metermtpl")
+
+
+_CHARGERS_SQL = """
+chg AS (SELECT s.site_id AS premiseid, cb.charge_box_id AS meterid, cb.charge_point_serial_number AS serial,
+               CAST(cb.chrgr_instl_dt AS DATE) AS set_date,
+               CAST(min(cb.efct_strt_dttm) AS DATE) AS strt, CAST(max(cb.efct_end_dttm) AS DATE) AS stop
+        FROM ev_charge_box cb JOIN ev_site s ON cb.site_pk = s.site_pk AND cb.prod_id = s.prod_id AND s.crnt_row_flag = true
+        WHERE {cond}
+        GROUP BY s.site_id, cb.charge_box_id, cb.charge_point_serial_number, CAST(cb.chrgr_instl_dt AS DATE))"""
+
+
+@query("envelope_3branch", _with(
+    _CHAIN_SQL.format(extra="AND prem_num <> 1") + ",\n"
+    + _CHARGERS_SQL.format(cond="cb.asset_status = 'Asset In-Service' AND cb.sub_comp_cd = 1500").replace("chg AS", "priv AS") + ",\n"
+    + _CHARGERS_SQL.format(cond="(cb.asset_status = 'Asset In-Service' OR cb.asset_status IS NULL) AND cb.sub_comp_cd IS NULL").replace("chg AS", "pub AS")
+    + """
+SELECT CAST(premiseid AS VARCHAR) AS premiseid, meterid, CAST(metermtpl AS DOUBLE) AS metermtpl, metertype, meterstart, meterstop FROM chain
+UNION ALL
+SELECT premiseid, meterid, CAST(1 AS DOUBLE), 'evmeter', min(CASE WHEN strt >= set_date THEN set_date ELSE strt END), max(stop)
+FROM priv GROUP BY premiseid, meterid
+UNION ALL
+SELECT premiseid, 'uevmeterid', CAST(1 AS DOUBLE), 'uevmeter', min(CASE WHEN strt >= set_date THEN set_date ELSE strt END), max(stop)
+FROM pub GROUP BY premiseid"""))
+def q_envelope_3branch(spark, sf):
+    out = datasets.meters(_views(spark, sf), RunParams(mode="daily", run_date=RUN_DATE, exclude_premises=(1,)))
+    return _dbl(out, "metermtpl")
+
+
+_RECORDER_SQL = f"""
+app_ok AS (
+  SELECT a.* FROM pb_app_device a
+  WHERE a.chnl_num NOT IN (3, 4)
+    AND a.rcrdr_id NOT IN (SELECT rcrdr_id FROM iee_pb_device)
+    AND (a.prem_num IN (SELECT prem_num FROM iee_pb_device GROUP BY prem_num, rcrdr_seq_num, chnl_num
+                        HAVING min(rcrdr_strt_date) > TIMESTAMP '{DEVICE_CUTOFF} 00:00:00')
+         OR (a.prem_num NOT IN (SELECT prem_num FROM iee_pb_device)
+             AND a.prem_num NOT IN (SELECT prem_num FROM pb_app_device GROUP BY prem_num
+                                    HAVING max(efct_end_date) < DATE '{DEVICE_CUTOFF}')))),
+dev_rows AS (
+  SELECT prem_num, CASE WHEN fpl_mtr_num LIKE 'Q%' OR chnl_num = 2 THEN rcrdr_seq_num * 3 - 1 ELSE rcrdr_seq_num * 3 - 2 END AS seq,
+         rcrdr_id, fpl_mtr_num, efct_strt_date, efct_end_date, CAST(mtr_efct_strt_date AS TIMESTAMP) AS mtr_start,
+         chnl_num, {{csnt}} AS csnt, 1 AS tbl
+  FROM app_ok
+  UNION ALL
+  SELECT prem_num, CASE WHEN fpl_mtr_num LIKE 'Q%' OR chnl_num = 2 THEN rcrdr_seq_num * 3 - 1 ELSE rcrdr_seq_num * 3 - 2 END,
+         rcrdr_id, fpl_mtr_num, CAST(rcrdr_strt_date AS DATE), CAST(rcrdr_end_date AS DATE), rcrdr_strt_date,
+         chnl_num, {{csnt}}, 2
+  FROM (SELECT *, row_number() OVER (PARTITION BY prem_num, rcrdr_id, rcrdr_seq_num, chnl_num, rcrdr_end_date
+                                     ORDER BY rcrdr_strt_date ASC NULLS LAST, etl_batch_id DESC NULLS FIRST) AS rn
+        FROM iee_pb_device
+        WHERE chnl_num NOT IN (3, 4) {{g_filter}} AND rcrdr_seq_num IS NOT NULL
+          AND rcrdr_end_date >= TIMESTAMP '{DEVICE_CUTOFF} 00:00:00') w
+  WHERE rn = 1),
+ordered AS (
+  SELECT r.*,
+    row_number() OVER (PARTITION BY prem_num, seq ORDER BY efct_end_date DESC NULLS FIRST, tbl DESC NULLS FIRST,
+        rcrdr_id ASC NULLS LAST, fpl_mtr_num ASC NULLS LAST, efct_strt_date ASC NULLS LAST, chnl_num ASC NULLS LAST,
+        csnt ASC NULLS LAST) AS end_order,
+    row_number() OVER (PARTITION BY prem_num, rcrdr_id, fpl_mtr_num ORDER BY efct_strt_date ASC NULLS LAST,
+        seq ASC NULLS LAST, csnt ASC NULLS LAST, efct_end_date ASC NULLS LAST, tbl ASC NULLS LAST, chnl_num ASC NULLS LAST,
+        mtr_start ASC NULLS LAST)
+    - row_number() OVER (PARTITION BY prem_num, rcrdr_id, fpl_mtr_num, seq, csnt ORDER BY efct_strt_date ASC NULLS LAST,
+        seq ASC NULLS LAST, csnt ASC NULLS LAST, efct_end_date ASC NULLS LAST, tbl ASC NULLS LAST, chnl_num ASC NULLS LAST,
+        mtr_start ASC NULLS LAST) AS grp
+  FROM dev_rows r),
+chained AS (
+  SELECT *, min(mtr_start) OVER (PARTITION BY prem_num, rcrdr_id, fpl_mtr_num, seq, csnt, grp) AS start_date,
+         CASE WHEN end_order = 1 THEN CAST(efct_end_date AS TIMESTAMP)
+              ELSE lead(mtr_start) OVER (PARTITION BY prem_num, seq ORDER BY end_order DESC) END AS end_date
+  FROM ordered),
+recorders AS (
+  SELECT prem_num, rcrdr_id, fpl_mtr_num, seq AS channel, chnl_num, csnt, grp, min(start_date) AS start_date,
+         max(end_date) AS end_date
+  FROM chained WHERE start_date <> end_date AND start_date < end_date
+  GROUP BY prem_num, rcrdr_id, fpl_mtr_num, seq, chnl_num, csnt, grp
+  HAVING max(end_date) >= TIMESTAMP '{DEVICE_CUTOFF} 00:00:00')"""
+
+
+@query("recorder_islands", _with(_RECORDER_SQL.format(csnt="rgstr_csnt", g_filter="AND rcrdr_id NOT LIKE 'G%'") + """
+SELECT prem_num, rcrdr_id, fpl_mtr_num, channel, chnl_num, CAST(csnt AS DOUBLE) AS csnt, grp, start_date, end_date
+FROM recorders"""))
+def q_recorder_islands(spark, sf):
+    p = RunParams(mode="daily", run_date=RUN_DATE, device_cutoff=DEVICE_CUTOFF)
+    return _dbl(datasets.recorder_intervals(_views(spark, sf), p, "rgstr_csnt", drop_g_recorders=True), "csnt")
+
+
+@query("flag_rewrite", _with(_RECORDER_SQL.split("dev_rows AS")[0].rstrip().rstrip(",") + """
+SELECT prem_num, rcrdr_id, fpl_mtr_num, efct_strt_date, efct_end_date, chnl_num FROM app_ok"""))
+def q_flag_rewrite(spark, sf):
+    from loadgrid.operators import setops
+    v = _views(spark, sf)
+    app, iee = v["pb_app_device"], v["iee_pb_device"]
+    cutoff = F.lit(str(DEVICE_CUTOFF)).cast("date")
+    late = (iee.groupBy("prem_num", "rcrdr_seq_num", "chnl_num").agg(F.min("rcrdr_strt_date").alias("m"))
+               .where(F.col("m") > cutoff.cast("timestamp_ntz")).select("prem_num"))
+    old = app.groupBy("prem_num").agg(F.max("efct_end_date").alias("m")).where(F.col("m") < cutoff).select("prem_num")
+    a = app.where(~F.col("chnl_num").isin(3, 4))
+    a = setops.sql_in(a, "rcrdr_id", iee, "rcrdr_id", "in_rec")
+    a = setops.sql_in(a, "prem_num", late, "prem_num", "in_late")
+    a = setops.sql_in(a, "prem_num", iee, "prem_num", "in_iee")
+    a = setops.sql_in(a, "prem_num", old, "prem_num", "in_old")
+    a = a.where(~F.col("in_rec") & (F.col("in_late") | (~F.col("in_iee") & ~F.col("in_old"))))
+    return a.select("prem_num", "rcrdr_id", "fpl_mtr_num", "efct_strt_date", "efct_end_date", "chnl_num")
+
+
+@query("device_dedupe", """
+SELECT event_id, user_id, event_type, day, ts, value FROM (
+  SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day, ts, value,
+         row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE)
+                            ORDER BY ts ASC NULLS LAST, event_id DESC NULLS FIRST) AS rn
+  FROM events) x
+WHERE rn = 1""")
+def q_device_dedupe(spark, sf):
+    from loadgrid.operators import dedupe
+    e = _t(spark, sf, "events").withColumn("day", F.col("ts").cast("date"))
+    top = dedupe.earliest_then_newest_load(e, ["user_id", "event_type", "day"], "ts", "event_id")
+    return top.select("event_id", "user_id", "event_type", "day", "ts", "value")
