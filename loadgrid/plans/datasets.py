@@ -209,8 +209,11 @@ def monthly_average(bills: DataFrame, n_months: int) -> DataFrame:
     service days)."""
     m = bills.groupBy("prem_num", "rltv_mo", "service_days").agg(F.sum("total_kwh").alias("total_kwh"))
     m = dedupe.last_n_periods(m, ["prem_num"], "rltv_mo", n_months)
+    # kWh * 30 first, then divide: the quotient keeps 12 decimals, so the 4-decimal rounding is
+    # that of the exact ratio (dividing first leaves 6 decimals and shifts some results by 1e-4).
+    ratio = (F.sum("total_kwh") * 30).cast("decimal(28,2)") / F.sum("service_days").cast("decimal(10,0)")
     return m.groupBy("prem_num").agg(
-        F.round(F.sum("total_kwh") / F.sum("service_days") * 30, 4).alias("avgmonthlykwh"),
+        F.round(ratio, 4).alias("avgmonthlykwh"),
         F.count_distinct("rltv_mo").alias("num_months_monthlyavg"))
 
 

@@ -483,3 +483,423 @@ def q_device_dedupe(spark, sf):
     e = _t(spark, sf, "events").withColumn("day", F.col("ts").cast("date"))
     top = dedupe.earliest_then_newest_load(e, ["user_id", "event_type", "day"], "ts", "event_id")
     return top.select("event_id", "user_id", "event_type", "day", "ts", "value")
+
+
+# ------------------------------------------------------------------ reads: sources, units, ids, scaling, intervals
+
+_SOURCES = (("purchase", "1_IEE"), ("click", "2_APP"), ("view", "3_SG"), ("signup", "4_MV90"), ("error", "5_TMS"))
+
+
+@query("priority_dedupe", """
+WITH f AS (
+  SELECT '1_IEE' AS src, CASE WHEN regexp_matches(rid, '[A-Za-z]') THEN substring(rid, 3) ELSE rid END AS rcrdr_id,
+         read_end_time, mrdg FROM (
+    SELECT 'AM' || CAST(user_id AS VARCHAR) AS rid, date_trunc('hour', ts) + INTERVAL 1 HOUR AS read_end_time,
+           CAST(floor(value / 5) AS DECIMAL(18,2)) AS mrdg,
+           CASE WHEN value > 300 THEN 'POWER_FAIL' WHEN value < 10 THEN 'IRREGULAR' ELSE 'OK' END AS stat_code
+    FROM events WHERE event_type = 'purchase') x
+  WHERE stat_code NOT LIKE '%POWER_FAIL%' AND NOT (stat_code LIKE '%IRREGULAR%' AND mrdg = 0)
+  UNION ALL
+  SELECT '2_APP', CAST(user_id AS VARCHAR), date_trunc('hour', ts) + INTERVAL 1 HOUR, CAST(floor(value / 5) AS DECIMAL(18,2))
+  FROM events WHERE event_type = 'click'
+  UNION ALL
+  SELECT '3_SG', CASE WHEN regexp_matches(rid, '[A-Za-z]') THEN substring(rid, 3) ELSE rid END, read_end_time, mrdg FROM (
+    SELECT 'SG' || CAST(user_id AS VARCHAR) AS rid, date_trunc('hour', ts) + INTERVAL 1 HOUR AS read_end_time,
+           CAST(floor(value / 5) AS DECIMAL(18,2)) AS mrdg,
+           CASE WHEN value > 300 THEN 'Skipped' WHEN value < 10 THEN 'Partial' ELSE NULL END AS flag
+    FROM events WHERE event_type = 'view') x
+  WHERE coalesce(flag, '') NOT LIKE '%Skipped%' AND NOT (coalesce(flag, '') LIKE '%Partial%' AND mrdg = 0)
+  UNION ALL
+  SELECT '4_MV90', rid, read_end_time, mrdg FROM (
+    SELECT CAST(user_id AS VARCHAR) AS rid, date_trunc('hour', ts) + INTERVAL 1 HOUR AS read_end_time,
+           CAST(floor(value / 5) AS DECIMAL(18,2)) AS mrdg,
+           CASE WHEN value > 300 THEN 'PO' WHEN value < 10 THEN 'E' ELSE NULL END AS itvl_stat
+    FROM events WHERE event_type = 'signup') x
+  WHERE coalesce(itvl_stat, '') <> 'PO' AND NOT (itvl_stat IS NOT NULL AND mrdg = 0)
+  UNION ALL
+  SELECT '5_TMS', CAST(user_id AS VARCHAR), date_trunc('hour', ts) + INTERVAL 1 HOUR, CAST(floor(value / 5) AS DECIMAL(18,2))
+  FROM events WHERE event_type = 'error'),
+s AS (SELECT src, rcrdr_id, read_end_time - INTERVAL 15 MINUTE AS read_start_time, mrdg FROM f)
+SELECT rcrdr_id, date_for, src, CAST(mrdg AS DOUBLE) AS kwh FROM (
+  SELECT rcrdr_id, CAST(read_start_time AS DATE) AS date_for, src, mrdg,
+         row_number() OVER (PARTITION BY rcrdr_id, CAST(read_start_time AS DATE) ORDER BY src ASC NULLS LAST, mrdg ASC NULLS LAST) AS rn
+  FROM s) y
+WHERE rn = 1""")
+def q_priority_dedupe(spark, sf):
+    from loadgrid.functions import predicates as P
+    from loadgrid.functions.columns import minutes_before, strip_id_prefix
+    from loadgrid.operators import dedupe, setops
+    e = _t(spark, sf, "events").select(
+        "user_id", "event_type", "value", (F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")).alias("read_end_time"),
+        F.floor(F.col("value") / 5).cast("decimal(18,2)").alias("mrdg"))
+    v = F.col("value")
+    by = {t: e.where(F.col("event_type") == t) for t, _ in _SOURCES}
+    iee = by["purchase"].withColumn("stat_code", F.when(v > 300, "POWER_FAIL").when(v < 10, "IRREGULAR").otherwise("OK")) \
+        .where(P.status_ok("stat_code", "mrdg"))
+    sg = by["view"].withColumn("flag", F.when(v > 300, "Skipped").when(v < 10, "Partial")) \
+        .where(P.channel_flag_ok("flag", "mrdg"))
+    mv = by["signup"].withColumn("itvl_stat", F.when(v > 300, "PO").when(v < 10, "E")) \
+        .where(P.interval_status_ok("itvl_stat", "mrdg"))
+
+    def shape(df, tag, prefix):
+        rid = F.concat(F.lit(prefix), F.col("user_id").cast("string")) if prefix else F.col("user_id").cast("string")
+        return df.select(F.lit(tag).alias("src"), strip_id_prefix(rid).alias("rcrdr_id"), "read_end_time", "mrdg")
+
+    f = setops.union_all(shape(iee, "1_IEE", "AM"), shape(by["click"], "2_APP", None), shape(sg, "3_SG", "SG"),
+                         shape(mv, "4_MV90", None), shape(by["error"], "5_TMS", None))
+    f = f.withColumn("date_for", minutes_before("read_end_time").cast("date"))
+    best = dedupe.priority_dedupe(f, ["rcrdr_id", "date_for"], "src", "mrdg")
+    return best.select("rcrdr_id", "date_for", "src", F.col("mrdg").cast("double").alias("kwh"))
+
+
+_UNITS_CTE = """
+u AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, CAST(l_extendedprice AS DECIMAL(18,2)) AS energy,
+             CASE WHEN l_returnflag = 'R' THEN 'Wh' WHEN l_returnflag = 'A' THEN 'wh' ELSE 'kWh' END AS uom
+      FROM lineitem)"""
+
+
+def _units(spark, sf):
+    l = _t(spark, sf, "lineitem")
+    return l.select("l_suppkey", F.col("l_shipdate").cast("date").alias("day"),
+                    F.col("l_extendedprice").cast("decimal(18,2)").alias("energy"),
+                    F.when(F.col("l_returnflag") == "R", "Wh").when(F.col("l_returnflag") == "A", "wh").otherwise("kWh").alias("uom"))
+
+
+@query("unit_sum_pre", "WITH " + _UNITS_CTE.strip() + """
+SELECT l_suppkey, day, CAST(sum(CASE WHEN lower(uom) = 'wh' THEN round(energy, 4) * 0.001 ELSE round(energy, 4) END) AS DOUBLE) AS kwh
+FROM u GROUP BY l_suppkey, day
+HAVING sum(CASE WHEN lower(uom) = 'wh' THEN round(energy, 4) * 0.001 ELSE round(energy, 4) END) < 60000""")
+def q_unit_sum_pre(spark, sf):
+    from loadgrid.operators import units
+    out = units.sum_kwh_before(_units(spark, sf), ["l_suppkey", "day"], "energy", "uom", round_each=4,
+                               case_insensitive=True, below=60000)
+    return _dbl(out, "kwh")
+
+
+@query("unit_sum_post", "WITH " + _UNITS_CTE.strip() + """
+SELECT * FROM (
+  SELECT l_suppkey, day, uom,
+         CASE WHEN lower(uom) = 'wh' THEN CAST(CAST(round(sum(energy), 4) AS DECIMAL(24,4)) * 0.001 AS DOUBLE)
+              ELSE CAST(round(sum(energy), 4) AS DOUBLE) END AS kwh
+  FROM u GROUP BY l_suppkey, day, uom) x
+WHERE kwh < 60000""")
+def q_unit_sum_post(spark, sf):
+    from loadgrid.operators import units
+    out = units.sum_kwh_after(_units(spark, sf), ["l_suppkey", "day", "uom"], "energy", "uom", below=60000)
+    return _dbl(out, "kwh")
+
+
+@query("id_cleanup", """
+SELECT p_partkey,
+  CASE WHEN regexp_matches(p_brand, '[A-Za-z]') THEN substring(p_brand, 3) ELSE p_brand END AS brand_id,
+  CASE WHEN regexp_matches(p_name, '[A-Za-z]') THEN substring(p_name, 3) ELSE p_name END AS name_id,
+  CASE WHEN regexp_matches(CAST(p_partkey AS VARCHAR), '[A-Za-z]') THEN substring(CAST(p_partkey AS VARCHAR), 3)
+       ELSE CAST(p_partkey AS VARCHAR) END AS key_id,
+  CASE WHEN regexp_matches(substring(p_type, 1, 1), '[A-Za-z]') THEN substring(substring(p_type, 1, 1), 3)
+       ELSE substring(p_type, 1, 1) END AS short_id,
+  CASE WHEN p_type LIKE 'Q%' OR p_size = 2 THEN p_size * 3 - 1 ELSE p_size * 3 - 2 END AS channel
+FROM part""")
+def q_id_cleanup(spark, sf):
+    from loadgrid.functions.columns import channel_number, strip_id_prefix
+    p = _t(spark, sf, "part")
+    return p.select("p_partkey", strip_id_prefix("p_brand").alias("brand_id"), strip_id_prefix("p_name").alias("name_id"),
+                    strip_id_prefix(F.col("p_partkey").cast("string")).alias("key_id"),
+                    strip_id_prefix(F.substring("p_type", 1, 1)).alias("short_id"),
+                    channel_number("p_type", "p_size", "p_size").alias("channel"))
+
+
+@query("read_scaling", """
+SELECT l_orderkey, l_linenumber,
+  CAST(round(CAST(l_quantity AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))), 4) AS DOUBLE) AS kwh4,
+  CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)), 6) AS DOUBLE) AS kwh6,
+  l_extendedprice / nullif(l_quantity, 0) AS per_unit
+FROM lineitem""")
+def q_read_scaling(spark, sf):
+    from loadgrid.functions.columns import dec, scaled
+    l = _t(spark, sf, "lineitem")
+    return l.select("l_orderkey", "l_linenumber",
+                    scaled(dec("l_quantity", 18, 2), 1 - dec("l_discount", 18, 2), 4).cast("double").alias("kwh4"),
+                    scaled(dec("l_extendedprice", 18, 2), dec("l_tax", 18, 2), 6).cast("double").alias("kwh6"),
+                    (F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))).alias("per_unit"))
+
+
+def _interval_join(spark, sf, closed: bool):
+    from loadgrid.operators import intervals
+    v = _views(spark, sf)
+    iv = datasets.utility_meter_intervals(v)
+    o, l = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
+    reads = l.join(o.select("o_orderkey", "o_custkey", "o_orderpriority"), l["l_orderkey"] == o["o_orderkey"]).select(
+        "o_custkey", "o_orderpriority", "l_orderkey", "l_linenumber", "l_quantity",
+        F.col("l_shipdate").cast("date").alias("read_date"))
+    j = intervals.interval_join(reads, iv, on=[("o_custkey", "premiseid"), ("o_orderpriority", "meterid")],
+                                at="read_date", start="meterstart", stop="meterstop", closed=closed)
+    return j.select("premiseid", "meterid", "metertype", "l_orderkey", "l_linenumber", "read_date",
+                    F.round(F.col("l_quantity").cast("decimal(18,2)") * F.col("metermtpl"), 4).cast("double").alias("kwh"))
+
+
+_IJ_SQL = _CHAIN_SQL.format(extra="") + """,
+reads AS (SELECT o_custkey, o_orderpriority, l_orderkey, l_linenumber, l_quantity, CAST(l_shipdate AS DATE) AS read_date
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT c.premiseid, c.meterid, c.metertype, r.l_orderkey, r.l_linenumber, r.read_date,
+       CAST(round(CAST(r.l_quantity AS DECIMAL(18,2)) * c.metermtpl, 4) AS DOUBLE) AS kwh
+FROM reads r JOIN chain c ON r.o_custkey = c.premiseid AND r.o_orderpriority = c.meterid
+ AND c.meterstart <= r.read_date AND {upper}"""
+
+
+@query("interval_join_halfopen", _with(_IJ_SQL.format(upper="c.meterstop > r.read_date")))
+def q_interval_join_halfopen(spark, sf):
+    return _interval_join(spark, sf, closed=False)
+
+
+@query("interval_join_closed", _with(_IJ_SQL.format(upper="c.meterstop >= r.read_date")))
+def q_interval_join_closed(spark, sf):
+    return _interval_join(spark, sf, closed=True)
+
+
+@query("sst_series", """
+SELECT user_id AS premiseid, 'XXXXXXX' AS metertype, date_trunc('hour', ts) AS read_start_time,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS kwh, 'SST' AS meterid, 629 AS channel, 'kwh' AS uom, 60 AS spi
+FROM events WHERE event_type IN ('purchase', 'view')
+GROUP BY user_id, date_trunc('hour', ts)""")
+def q_sst_series(spark, sf):
+    e = _t(spark, sf, "events").where(F.col("event_type").isin("purchase", "view"))
+    g = e.groupBy("user_id", F.date_trunc("hour", "ts").alias("read_start_time")).agg(
+        F.sum(F.col("value").cast("decimal(18,2)")).alias("kwh"))
+    return g.select(F.col("user_id").alias("premiseid"), F.lit("XXXXXXX").alias("metertype"), "read_start_time",
+                    F.col("kwh").cast("double"), F.lit("SST").alias("meterid"), F.lit(629).alias("channel"),
+                    F.lit("kwh").alias("uom"), F.lit(60).alias("spi"))
+
+
+@query("sst_intervals", _with(_CHAIN_SQL.format(extra="") + """
+SELECT CAST(premiseid AS BIGINT) AS premiseid, meterid, CAST(meterstart AS TIMESTAMP) AS meterstart,
+       CAST(meterstop AS TIMESTAMP) AS meterstop FROM chain
+UNION ALL
+SELECT user_id, 'SST', min(ts), TIMESTAMP '9999-12-31 00:00:00' FROM events GROUP BY user_id"""))
+def q_sst_intervals(spark, sf):
+    from loadgrid.functions.columns import OPEN_END_TS, lit_ts
+    from loadgrid.operators import setops
+    iv = datasets.utility_meter_intervals(_views(spark, sf)).select(
+        F.col("premiseid").cast("long"), "meterid", F.col("meterstart").cast("timestamp_ntz"), F.col("meterstop").cast("timestamp_ntz"))
+    sst = _t(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("meterstart")).select(
+        F.col("user_id").alias("premiseid"), F.lit("SST").alias("meterid"), "meterstart", lit_ts(OPEN_END_TS).alias("meterstop"))
+    return setops.union_all(iv, sst)
+
+
+# ------------------------------------------------------------------ time series and DST (events shifted into the fall-back)
+
+SHIFT_DAYS = 300
+FALL_BACK_DAY = dt.date(2024, 11, 3)
+ZONE = "America/New_York"
+_WALL = "((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')"
+
+
+def _utc_sql(wall: str) -> str:
+    return f"(({wall}) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC'"
+
+
+_SHIFTED = f"ev AS (SELECT event_id, ts + INTERVAL {SHIFT_DAYS} DAY AS ts, user_id, event_type, value FROM events)"
+
+
+def _shifted(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.select("event_id", (F.col("ts") + F.expr(f"INTERVAL {SHIFT_DAYS} DAYS")).alias("ts"), "user_id", "event_type", "value")
+
+
+def _expected_sql(day: str) -> str:
+    return (f"CAST((epoch({_utc_sql(f'CAST({day} + INTERVAL 1 DAY AS TIMESTAMP)')}) - "
+            f"epoch({_utc_sql(f'CAST({day} AS TIMESTAMP)')})) / 900 AS INTEGER)")
+
+
+@query("tz_probe", f"""
+WITH {_SHIFTED}
+SELECT e.ts AS read_strt_dttm, {_WALL.replace('ts', 'e.ts')} AS eastern_time,
+       CAST((epoch(e.ts) - epoch({_WALL.replace('ts', 'e.ts')})) / 3600 AS INTEGER) AS offset_hours,
+       e.user_id, e.event_id, n.n_name
+FROM ev e JOIN customer c ON e.user_id = c.c_custkey AND c.c_acctbal > 0
+JOIN nation n ON c.c_nationkey = n.n_nationkey
+WHERE e.ts >= {_utc_sql(f"TIMESTAMP '{FALL_BACK_DAY} 00:00:00'")}
+  AND e.ts < {_utc_sql(f"TIMESTAMP '{FALL_BACK_DAY + dt.timedelta(days=1)} 00:00:00'")}
+ORDER BY e.ts, e.event_id
+LIMIT 20""")
+def q_tz_probe(spark, sf):
+    from loadgrid.functions.columns import wall_time
+    from loadgrid.operators.timeseries import local_day_filter, offset_hours
+    e = local_day_filter(_shifted(spark, sf), "ts", FALL_BACK_DAY, ZONE)
+    c = _t(spark, sf, "customer").where(F.col("c_acctbal") > 0)
+    n = _t(spark, sf, "nation")
+    j = e.join(c, e["user_id"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    out = j.select(F.col("ts").alias("read_strt_dttm"), wall_time("ts", ZONE).alias("eastern_time"),
+                   offset_hours("ts", ZONE).alias("offset_hours"), "user_id", "event_id", "n_name")
+    return out.orderBy("read_strt_dttm", "event_id").limit(20)
+
+
+@query("hour_histogram", f"""
+WITH {_SHIFTED}
+SELECT date_trunc('hour', {_WALL}) AS hour_local, date_trunc('hour', ts) AS utc_hour, count(*) AS record_count
+FROM ev WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+GROUP BY 1, 2""")
+def q_hour_histogram(spark, sf):
+    from loadgrid.operators.timeseries import hour_histogram
+    c = _t(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("user_id"))
+    e = _shifted(spark, sf).join(c, "user_id", "left_semi")
+    return hour_histogram(e, "ts", ZONE)
+
+
+@query("day_completeness", f"""
+WITH {_SHIFTED}, d AS (SELECT CAST({_WALL} AS DATE) AS day, user_id, ts FROM ev)
+SELECT day, user_id, count(*) AS interval_count, count(DISTINCT date_trunc('hour', ts)) AS hour_count,
+       count(DISTINCT date_trunc('hour', {_WALL})) AS wall_hour_count,
+       {_expected_sql('day')} AS expected_intervals,
+       {_expected_sql('day')} - count(*) AS deficit
+FROM d GROUP BY day, user_id""")
+def q_day_completeness(spark, sf):
+    from loadgrid.operators.timeseries import completeness
+    return completeness(_shifted(spark, sf), ["user_id"], "ts", ZONE)
+
+
+def _bucket_sql(t: str) -> str:
+    return f"(date_trunc('hour', {t}) + to_minutes(CAST(floor(minute({t}) / 15) * 15 AS INTEGER)))"
+
+
+@query("ambiguous_hours", f"""
+WITH {_SHIFTED}
+SELECT {_bucket_sql(_WALL)} AS wall_bucket, count(DISTINCT {_bucket_sql('ts')}) AS n_instants,
+       min({_bucket_sql('ts')}) AS first_utc, max({_bucket_sql('ts')}) AS last_utc, count(*) AS n_rows
+FROM ev GROUP BY 1 HAVING count(DISTINCT {_bucket_sql('ts')}) > 1""")
+def q_ambiguous_hours(spark, sf):
+    from loadgrid.operators.timeseries import ambiguous_wall_times
+    return ambiguous_wall_times(_shifted(spark, sf), "ts", ZONE)
+
+
+@query("dst_day_bounds", f"""
+WITH {_SHIFTED}
+SELECT event_id, user_id, ts, {_WALL} AS wall_time FROM ev
+WHERE ts >= {_utc_sql(f"TIMESTAMP '{FALL_BACK_DAY} 00:00:00'")}
+  AND ts < {_utc_sql(f"TIMESTAMP '{FALL_BACK_DAY + dt.timedelta(days=1)} 00:00:00'")}""")
+def q_dst_day_bounds(spark, sf):
+    from loadgrid.functions.columns import wall_time
+    from loadgrid.operators.timeseries import local_day_filter
+    e = local_day_filter(_shifted(spark, sf), "ts", FALL_BACK_DAY, ZONE)
+    return e.select("event_id", "user_id", "ts", wall_time("ts", ZONE).alias("wall_time"))
+
+
+_GRID_SQL = f"""
+WITH {_SHIFTED},
+b AS (SELECT user_id, {_bucket_sql('ts')} AS ts, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value,
+             bool_or(event_type = 'error') AS bad
+      FROM ev GROUP BY user_id, {_bucket_sql('ts')}),
+g AS (SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL 15 MINUTE)) AS ts FROM b GROUP BY user_id),
+f AS (SELECT g.user_id, g.ts, b.value,
+             CASE WHEN b.user_id IS NULL THEN 'I' WHEN b.bad THEN 'B' ELSE 'A' END AS flag
+      FROM g LEFT JOIN b ON g.user_id = b.user_id AND g.ts = b.ts)"""
+
+
+@query("grid_gapfill", _GRID_SQL + """,
+n AS (SELECT *,
+        last_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS) OVER w1 AS pt,
+        last_value(value IGNORE NULLS) OVER w1 AS pv,
+        first_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS) OVER w2 AS nt,
+        first_value(value IGNORE NULLS) OVER w2 AS nv
+      FROM f
+      WINDOW w1 AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             w2 AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT user_id, ts, value, flag,
+       CASE WHEN value IS NOT NULL THEN value
+            ELSE pv + (nv - pv) * CAST(datediff('second', pt, ts) AS DOUBLE) / CAST(datediff('second', pt, nt) AS DOUBLE) END AS filled
+FROM n""")
+def q_grid_gapfill(spark, sf):
+    return _flagged_grid(spark, sf, fill=True)
+
+
+def _flagged_grid(spark, sf, fill: bool):
+    from loadgrid.operators.timeseries import fill_linear, flag_gaps, floor_minutes, time_grid
+    e = _shifted(spark, sf)
+    b = e.groupBy("user_id", floor_minutes("ts").alias("ts")).agg(
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"),
+        F.max(F.col("event_type") == "error").alias("bad"))
+    grid = time_grid(b, ["user_id"], "ts", 15)
+    f = flag_gaps(grid, b, ["user_id"], "ts")
+    f = f.withColumn("flag", F.when((F.col("flag") == "A") & F.col("bad"), F.lit("B")).otherwise(F.col("flag"))).drop("bad")
+    if fill:
+        f = fill_linear(f, ["user_id"], "ts", "value", "filled")
+    return f
+
+
+@query("interp_share", _GRID_SQL + f"""
+SELECT CAST({_WALL} AS DATE) AS greg_date, user_id,
+       round(100.0 * count(*) FILTER (WHERE flag = 'A') / count(*), 4) AS goodintvper,
+       round(100.0 * count(*) FILTER (WHERE flag = 'B') / count(*), 4) AS badintvper,
+       round(100.0 * count(*) FILTER (WHERE flag = 'I') / count(*), 4) AS interpolper,
+       count(*) AS n_intervals
+FROM f GROUP BY 1, 2""")
+def q_interp_share(spark, sf):
+    from loadgrid.operators.timeseries import interval_shares
+    return interval_shares(_flagged_grid(spark, sf, fill=False), ["user_id"], "ts", "flag", ZONE)
+
+
+@query("stage_triage", f"""
+WITH {_SHIFTED},
+src AS (SELECT CAST({_WALL} AS DATE) AS day, count(DISTINCT date_trunc('hour', ts)) AS source_hours FROM ev GROUP BY 1),
+prc AS (SELECT CAST({_WALL} AS DATE) AS day, count(DISTINCT date_trunc('hour', ts)) AS processed_hours
+        FROM ev WHERE event_type <> 'error' GROUP BY 1),
+outp AS (SELECT CAST({_WALL} AS DATE) AS day, count(DISTINCT date_trunc('hour', {_WALL})) AS output_hours
+         FROM ev WHERE event_type <> 'error' GROUP BY 1),
+t AS (SELECT coalesce(src.day, prc.day, outp.day) AS day, coalesce(source_hours, 0) AS source_hours,
+             coalesce(processed_hours, 0) AS processed_hours, coalesce(output_hours, 0) AS output_hours
+      FROM src FULL JOIN prc ON src.day = prc.day FULL JOIN outp ON coalesce(src.day, prc.day) = outp.day)
+SELECT day, source_hours, processed_hours, output_hours,
+       CAST((epoch({_utc_sql("CAST(day + INTERVAL 1 DAY AS TIMESTAMP)")}) - epoch({_utc_sql("CAST(day AS TIMESTAMP)")})) / 3600 AS INTEGER) AS expected_hours,
+       CASE WHEN source_hours < CAST((epoch({_utc_sql("CAST(day + INTERVAL 1 DAY AS TIMESTAMP)")}) - epoch({_utc_sql("CAST(day AS TIMESTAMP)")})) / 3600 AS INTEGER) THEN 'upstream'
+            WHEN processed_hours < source_hours THEN 'processing'
+            WHEN output_hours < processed_hours THEN 'output' ELSE 'ok' END AS verdict
+FROM t""")
+def q_stage_triage(spark, sf):
+    from loadgrid.operators.timeseries import stage_triage
+    e = _shifted(spark, sf)
+    kept = e.where(F.col("event_type") != "error")
+    return stage_triage(e, kept, kept, "ts", ZONE)
+
+
+# ------------------------------------------------------------------ audit gate, monthly average
+
+@query("audit_gate", """
+WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS audit_id, c_mktsegment AS etl_process_detail_id,
+                  CASE WHEN o_orderpriority = '1-URGENT' THEN 'target-write' ELSE 'transform' END AS step,
+                  CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'success' END AS etl_process_status
+           FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'),
+g AS (SELECT audit_id, etl_process_detail_id, count(*) AS n_rows, count(*) FILTER (WHERE step = 'target-write') AS target_writes,
+             count(*) FILTER (WHERE etl_process_status = 'error') AS errors FROM a GROUP BY 1, 2),
+r AS (SELECT CAST(c_custkey AS VARCHAR) AS audit_id, c_mktsegment AS etl_process_detail_id FROM customer)
+SELECT r.audit_id, r.etl_process_detail_id, coalesce(n_rows, 0) AS n_rows, coalesce(target_writes, 0) AS target_writes,
+       coalesce(errors, 0) AS errors,
+       CASE WHEN n_rows IS NULL THEN 'ED125' WHEN target_writes <> 1 THEN 'ED124' WHEN errors > 0 THEN 'ED126' ELSE 'PASS' END AS status_code
+FROM r LEFT JOIN g ON r.audit_id = g.audit_id AND r.etl_process_detail_id = g.etl_process_detail_id""")
+def q_audit_gate(spark, sf):
+    from loadgrid.operators.audit import audit_gate
+    o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
+    a = o.where(F.col("o_orderdate") >= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")).join(c, o["o_custkey"] == c["c_custkey"]).select(
+        F.col("o_custkey").cast("string").alias("audit_id"), F.col("c_mktsegment").alias("etl_process_detail_id"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "target-write").otherwise("transform").alias("step"),
+        F.when(F.col("o_orderstatus") == "P", "error").otherwise("success").alias("etl_process_status"))
+    runs = c.select(F.col("c_custkey").cast("string").alias("audit_id"), F.col("c_mktsegment").alias("etl_process_detail_id"))
+    return audit_gate(runs, a, expected_steps=1)
+
+
+@query("last_n_periods", """
+WITH bills AS (SELECT o_custkey AS prem_num, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS rltv_mo,
+                      CAST(day(o_orderdate) + 20 AS INTEGER) AS service_days, CAST(o_totalprice AS DECIMAL(18,2)) AS total_kwh
+               FROM orders),
+m AS (SELECT prem_num, rltv_mo, service_days, sum(total_kwh) AS total_kwh,
+             dense_rank() OVER (PARTITION BY prem_num ORDER BY rltv_mo DESC NULLS FIRST) AS seq_num
+      FROM bills GROUP BY prem_num, rltv_mo, service_days)
+SELECT prem_num,
+       CAST((2 * CAST(sum(total_kwh) * 100 AS HUGEINT) * 3000 + sum(service_days)) // (2 * sum(service_days)) AS DOUBLE)
+         / 10000 AS avgmonthlykwh,
+       count(DISTINCT rltv_mo) AS num_months_monthlyavg
+FROM m WHERE seq_num <= 6 GROUP BY prem_num""")
+def q_last_n_periods(spark, sf):
+    o = _t(spark, sf, "orders")
+    bills = o.select(F.col("o_custkey").alias("prem_num"), month_key("o_orderdate").alias("rltv_mo"),
+                     (F.dayofmonth("o_orderdate") + 20).alias("service_days"),
+                     F.col("o_totalprice").cast("decimal(18,2)").alias("total_kwh"))
+    return _dbl(datasets.monthly_average(bills, 6), "avgmonthlykwh")
