@@ -1,4 +1,8 @@
-"""Control files (one integer per file, a date in the file name) and file listing."""
+"""Control files (one integer per file, a date in the file name) and file listing.
+
+Spark's file sources skip names that start with ``_`` or ``.`` (for example ``_SUCCESS``); control
+files must use visible names to be read this way.
+"""
 
 from __future__ import annotations
 
