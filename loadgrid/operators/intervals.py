@@ -98,7 +98,9 @@ def bucketed_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     all rows is spread over its buckets instead of one task.
     """
     b = "__bucket"
-    d = df.withColumn(b, col(bucket))
+    # Explicit distribution on (keys, bucket): a partitioning on the keys alone would satisfy the
+    # window and keep a hot key in one task.
+    d = df.withColumn(b, col(bucket)).repartition(*keys, b)
     local = F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order))
     counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(*keys, b, F.coalesce(F.sum("__n").over(

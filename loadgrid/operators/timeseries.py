@@ -70,6 +70,9 @@ def time_grid(series: DataFrame, keys: Sequence[str], ts: str, step_minutes: int
     step = int(step_minutes) * 60
     b = series.groupBy(*keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
     days = b.withColumn("__day", F.explode(F.sequence(F.to_date("__lo"), F.to_date("__hi"))))
+    # Spread the (series, day) rows before generating points; otherwise every point of a series
+    # is generated in the task that aggregated its bounds.
+    days = days.repartition(*keys, "__day")
     ds = F.col("__day").cast("timestamp_ntz")
     off_start = F.timestamp_diff("SECOND", F.col("__lo"), ds)                     # day start - lo
     off_end = F.timestamp_diff("SECOND", F.col("__lo"), ds + F.expr("INTERVAL 1 DAY"))
@@ -99,7 +102,9 @@ def fill_linear(df: DataFrame, keys: Sequence[str], ts: str, value: str, name: s
     reading of earlier/later days from one-row-per-(series, day) summaries.
     """
     day = "__day"
-    d = df.withColumn(day, F.to_date(ts))
+    # Explicit (series, day) distribution: an upstream partitioning on the series alone would
+    # satisfy the window and keep a hot series in one task.
+    d = df.withColumn(day, F.to_date(ts)).repartition(*keys, day)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))
     wd = W.partitionBy(*keys, day).orderBy(F.col(ts))
     d = (d.withColumn("__prev", F.last(known, ignorenulls=True).over(wd.rowsBetween(W.unboundedPreceding, 0)))

@@ -903,3 +903,24 @@ def q_last_n_periods(spark, sf):
                      (F.dayofmonth("o_orderdate") + 20).alias("service_days"),
                      F.col("o_totalprice").cast("decimal(18,2)").alias("total_kwh"))
     return _dbl(datasets.monthly_average(bills, 6), "avgmonthlykwh")
+
+
+@query("islands", """
+WITH r AS (
+  SELECT user_id, event_type, ts, event_id, value,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)
+         - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS grp
+  FROM events)
+SELECT user_id, event_type, grp, min(ts) AS island_start, max(ts) AS island_end, count(*) AS n_events,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value
+FROM r GROUP BY user_id, event_type, grp
+HAVING min(ts) < max(ts)""")
+def q_islands(spark, sf):
+    from loadgrid.operators import intervals
+    e = _t(spark, sf, "events")
+    g = intervals.islands(e, ["user_id"], ["event_type"], [F.col("ts").asc(), F.col("event_id").asc()],
+                          bucket=F.to_date("ts"))
+    out = g.groupBy("user_id", "event_type", "grp").agg(
+        F.min("ts").alias("island_start"), F.max("ts").alias("island_end"), F.count(F.lit(1)).alias("n_events"),
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total_value"))
+    return out.where(F.col("island_start") < F.col("island_end")).withColumn("grp", F.col("grp").cast("long"))
