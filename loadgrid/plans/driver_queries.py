@@ -924,3 +924,117 @@ def q_islands(spark, sf):
         F.min("ts").alias("island_start"), F.max("ts").alias("island_end"), F.count(F.lit(1)).alias("n_events"),
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total_value"))
     return out.where(F.col("island_start") < F.col("island_end")).withColumn("grp", F.col("grp").cast("long"))
+
+
+# ------------------------------------------------------------------ Q9 bill enrichment
+
+BILL_MONTH = 199806
+
+
+def _bill_views(spark, sf):
+    o, c, l = _t(spark, sf, "orders"), _t(spark, sf, "customer"), _t(spark, sf, "lineitem")
+    od = F.col("o_orderdate").cast("date")
+    acct = F.concat(F.lit("A"), F.col("o_custkey").cast("string"))
+    bdf = o.select(month_key("o_orderdate").alias("rltv_mo"), acct.alias("cust_acct_num"), F.col("o_custkey").alias("prem_num"),
+                   F.date_sub(od, 30).alias("rdg_from_date"), od.alias("rdg_to_date"),
+                   F.col("o_totalprice").cast("decimal(18,2)").alias("total_kwh"),
+                   F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("string")).otherwise(F.col("o_orderpriority")).alias("rate_schd_cd"),
+                   F.col("o_custkey").cast("string").alias("cust_num"), F.date_add(od, 3).alias("bill_date"),
+                   (F.dayofmonth(od) + 20).alias("service_days"),
+                   F.when(F.col("o_orderstatus") == "O", F.lit(None).cast("decimal(18,2)"))
+                    .otherwise((F.col("o_totalprice") / 100).cast("decimal(18,2)")).alias("ev_on_peak_kwh"),
+                   F.lit(1).cast("decimal(18,2)").alias("ev_off_peak_kwh"),
+                   F.when(F.col("o_orderpriority") == "5-LOW", F.lit(1)).otherwise(F.lit(2)).alias("debit_stat_cd"),
+                   F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("1091")).otherwise(F.lit("1000")).alias("bus_cd"))
+    nm = o.where(F.col("o_orderpriority") == "1-URGENT").select(
+        F.col("o_custkey").alias("prem_num"), od.alias("stat_date"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("Completed")).otherwise(F.lit("Pending")).alias("stat_name"),
+        F.lit(1500).alias("cd_sub_cmpny"))
+    prem = c.select(F.col("c_custkey").alias("prem_num"), F.col("c_nationkey").cast("string").alias("prem_zip_cd"),
+                    F.lit("1900-01-01 00:00:00").cast("timestamp_ntz").alias("efct_strt_dttm"),
+                    F.when(F.col("c_acctbal") < 0, F.lit("1998-01-01 00:00:00")).otherwise(F.lit("9999-12-31 00:00:00"))
+                     .cast("timestamp_ntz").alias("efct_end_dttm"),
+                    (F.col("c_mktsegment") == "HOUSEHOLD").alias("rmv_flag"))
+    lo = l.join(o, l["l_orderkey"] == o["o_orderkey"])
+    bf = lo.groupBy("o_custkey", F.col("l_shipdate").cast("date").alias("bill_date")).agg(
+        F.min("l_linestatus").alias("acct_stat_cd"), F.max("l_returnflag").alias("rate_schd_cd"),
+        F.min("l_suppkey").alias("s"), F.max("l_linestatus").alias("n2"), F.count(F.lit(1)).alias("n"),
+        F.max("l_partkey").alias("pk"))
+    bf = bf.select(F.concat(F.lit("A"), F.col("o_custkey").cast("string")).alias("cust_acct_num"), F.col("o_custkey").alias("prem_num"),
+                   month_key("bill_date").alias("rltv_mo"), "bill_date", "acct_stat_cd", "rate_schd_cd",
+                   F.concat(F.lit("N"), F.col("s").cast("string")).alias("cust_name_1"),
+                   F.when(F.col("n2") == "O", F.lit(None).cast("string")).otherwise(F.col("n2")).alias("cust_name_2"),
+                   F.col("n").cast("string").alias("dstr_cd"), F.concat(F.lit("P"), F.col("pk").cast("string")).alias("prem_addr"))
+    return {"bill_detail_fact": bdf, "net_meter_application": nm, "premise": prem, "billing_fact": bf}
+
+
+_BILL_SQL = f"""
+WITH bill_detail_fact AS (
+  SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS rltv_mo, 'A' || CAST(o_custkey AS VARCHAR) AS cust_acct_num,
+         o_custkey AS prem_num, CAST(CAST(o_orderdate AS DATE) - INTERVAL 30 DAY AS DATE) AS rdg_from_date,
+         CAST(o_orderdate AS DATE) AS rdg_to_date, CAST(o_totalprice AS DECIMAL(18,2)) AS total_kwh,
+         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS rate_schd_cd, CAST(o_custkey AS VARCHAR) AS cust_num,
+         CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS DATE) AS bill_date, CAST(day(o_orderdate) + 20 AS INTEGER) AS service_days,
+         CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_totalprice / 100 AS DECIMAL(18,2)) END AS ev_on_peak_kwh,
+         CAST(1 AS DECIMAL(18,2)) AS ev_off_peak_kwh,
+         CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 2 END AS debit_stat_cd,
+         CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '1091' ELSE '1000' END AS bus_cd
+  FROM orders),
+net_meter_application AS (
+  SELECT o_custkey AS prem_num, CAST(o_orderdate AS DATE) AS stat_date,
+         CASE WHEN o_orderstatus = 'F' THEN 'Completed' ELSE 'Pending' END AS stat_name, 1500 AS cd_sub_cmpny
+  FROM orders WHERE o_orderpriority = '1-URGENT'),
+premise AS (
+  SELECT c_custkey AS prem_num, CAST(c_nationkey AS VARCHAR) AS prem_zip_cd, TIMESTAMP '1900-01-01 00:00:00' AS efct_strt_dttm,
+         CASE WHEN c_acctbal < 0 THEN TIMESTAMP '1998-01-01 00:00:00' ELSE TIMESTAMP '9999-12-31 00:00:00' END AS efct_end_dttm,
+         c_mktsegment = 'HOUSEHOLD' AS rmv_flag
+  FROM customer),
+billing_fact AS (
+  SELECT 'A' || CAST(o_custkey AS VARCHAR) AS cust_acct_num, o_custkey AS prem_num,
+         CAST(year(bill_date) * 100 + month(bill_date) AS INTEGER) AS rltv_mo, bill_date, acct_stat_cd, rate_schd_cd,
+         'N' || CAST(s AS VARCHAR) AS cust_name_1, CASE WHEN n2 = 'O' THEN NULL ELSE n2 END AS cust_name_2,
+         CAST(n AS VARCHAR) AS dstr_cd, 'P' || CAST(pk AS VARCHAR) AS prem_addr
+  FROM (SELECT o_custkey, CAST(l_shipdate AS DATE) AS bill_date, min(l_linestatus) AS acct_stat_cd, max(l_returnflag) AS rate_schd_cd,
+               min(l_suppkey) AS s, max(l_linestatus) AS n2, count(*) AS n, max(l_partkey) AS pk
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, CAST(l_shipdate AS DATE)) g),
+usable AS (SELECT * FROM bill_detail_fact WHERE debit_stat_cd = 2 AND service_days > 0 AND rdg_from_date IS NOT NULL
+           AND rdg_to_date IS NOT NULL),
+base AS (SELECT * FROM usable WHERE bill_date >= DATE '1998-06-01' AND bill_date < DATE '1998-07-15' AND rltv_mo = {BILL_MONTH}
+         AND rdg_from_date >= DATE '1998-01-01' AND rdg_to_date < DATE '1998-12-31'
+         AND bill_date < DATE '{AS_OF}' - INTERVAL 8 DAY AND bus_cd NOT IN ('1091', '1092', '1093')),
+m AS (SELECT prem_num, rltv_mo, service_days, sum(total_kwh) AS total_kwh,
+             dense_rank() OVER (PARTITION BY prem_num ORDER BY rltv_mo DESC NULLS FIRST) AS seq_num
+      FROM usable WHERE bill_date >= DATE '1997-06-01' AND bill_date < DATE '1998-07-15' AND rltv_mo <= {BILL_MONTH}
+      GROUP BY prem_num, rltv_mo, service_days),
+amu AS (SELECT prem_num,
+               CAST((2 * CAST(sum(total_kwh) * 100 AS HUGEINT) * 3000 + sum(service_days)) // (2 * sum(service_days)) AS DOUBLE)
+                 / 10000 AS avgmonthlykwh,
+               count(DISTINCT rltv_mo) AS num_months_monthlyavg
+        FROM m WHERE seq_num <= 6 GROUP BY prem_num),
+bf AS (SELECT * FROM (
+         SELECT cust_acct_num, prem_num, rltv_mo, acct_stat_cd AS account_status, rate_schd_cd,
+                CASE WHEN cust_name_2 IS NULL THEN cust_name_1 ELSE cust_name_1 || ' ' || cust_name_2 END AS customer,
+                dstr_cd AS wc_dist, prem_addr AS streetaddress,
+                row_number() OVER (PARTITION BY cust_acct_num, prem_num, rltv_mo ORDER BY bill_date DESC NULLS FIRST) AS rn
+         FROM billing_fact) x WHERE rn = 1)
+SELECT b.rltv_mo, b.cust_acct_num AS accountid, b.prem_num AS premiseid, b.rdg_from_date AS billstart, b.rdg_to_date AS billstop,
+       CAST(b.total_kwh AS DOUBLE) AS billkwh, amu.avgmonthlykwh, amu.num_months_monthlyavg,
+       coalesce(b.rate_schd_cd, bf.rate_schd_cd) AS ratecode, bf.wc_dist, bf.customer, bf.account_status, pr.zip_code AS zipcode,
+       b.cust_num, b.bill_date, bf.streetaddress, b.service_days AS billdays, coalesce(nm.netmeter, 0) AS netmeter,
+       CAST(coalesce(b.ev_on_peak_kwh + b.ev_off_peak_kwh, 0) AS DOUBLE) AS evkwh, b.prem_num AS uev_site
+FROM base b
+LEFT JOIN (SELECT prem_num, stat_date, 1 AS netmeter FROM net_meter_application WHERE stat_name = 'Completed' AND cd_sub_cmpny = 1500) nm
+       ON nm.prem_num = b.prem_num AND nm.stat_date < b.rdg_to_date
+LEFT JOIN (SELECT prem_num, prem_zip_cd AS zip_code, efct_strt_dttm, efct_end_dttm FROM premise WHERE rmv_flag = false) pr
+       ON pr.prem_num = b.prem_num AND CAST(b.rdg_to_date AS TIMESTAMP) >= pr.efct_strt_dttm AND CAST(b.rdg_to_date AS TIMESTAMP) < pr.efct_end_dttm
+LEFT JOIN bf ON bf.cust_acct_num = b.cust_acct_num AND bf.prem_num = b.prem_num AND bf.rltv_mo = b.rltv_mo
+LEFT JOIN amu ON amu.prem_num = b.prem_num"""
+
+
+@query("bill_enriched", _BILL_SQL)
+def q_bill_enriched(spark, sf):
+    p = RunParams(mode="backdate", month=BILL_MONTH, as_of=AS_OF, bill_start=dt.date(1998, 6, 1), bill_end=dt.date(1998, 7, 15),
+                  bill_from_date=dt.date(1998, 1, 1), bill_to_date=dt.date(1998, 12, 31), min_bill_date=dt.date(1997, 6, 1),
+                  avg_months=6)
+    out = datasets.mada(_bill_views(spark, sf), p)
+    return _dbl(out, "billkwh", "avgmonthlykwh", "evkwh")
