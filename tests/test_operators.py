@@ -182,3 +182,12 @@ def test_audit_store_roundtrip(spark):
     append_audit(spark, rows_, path)
     got = read_audit(spark.read.parquet(path), "1", "9").collect()
     assert len(got) == 1 and got[0].step == "target-write"
+
+
+def test_fill_between_readings_equals_grid_form(spark):
+    from loadgrid.plans.driver_queries import _flagged_grid, _flagged_grid_via_grid
+    sf = "/root/testdata/sf0.001"
+    fast = _flagged_grid(spark, sf, fill=True)
+    slow = _flagged_grid_via_grid(spark, sf, fill=True)
+    cols = ("user_id", "ts", "value", "flag", "filled")
+    assert rows(fast, *cols) == rows(slow, *cols)
