@@ -216,3 +216,33 @@ def fill_between_readings(actual: DataFrame, keys: Sequence[str], ts: str, value
     gap_rows = gaps.select(*keys, t.alias(ts), F.lit(None).cast(actual.schema[value].dataType).alias(value),
                            F.lit("I").alias(flag), filled.alias(name))
     return readings.unionByName(gap_rows)
+
+
+def interval_shares_from_readings(actual: DataFrame, keys: Sequence[str], ts: str, flag: str,
+                                  step_minutes: int = READ_MINUTES, zone: str = LOCAL_ZONE) -> DataFrame:
+    """``interval_shares`` of the flagged grid without generating the grid.
+
+    Grid points per (series, local day) are counted arithmetically from the series bounds
+    (points ``lo + k*step``, ``k = 0..floor((hi-lo)/step)``, inside the day's UTC bounds); readings
+    are counted per flag. Work is one row per (series, local day) plus one pass over the readings.
+    ``actual`` holds readings aligned to the step, with ``flag`` ``'A'`` or ``'B'``.
+    """
+    step = int(step_minutes) * 60
+    b = actual.groupBy(*keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
+    days = b.withColumn("greg_date", F.explode(F.sequence(local_day("__lo", zone), local_day("__hi", zone))))
+    secs = lambda a, z: F.timestamp_diff("SECOND", a, z)
+    k_max = F.floor(secs(F.col("__lo"), F.col("__hi")) / F.lit(step))
+    k0 = F.greatest(F.lit(0), F.ceil(secs(F.col("__lo"), day_start_utc("greg_date", zone)) / F.lit(step)))
+    k1 = F.least(k_max, F.ceil(secs(F.col("__lo"), day_start_utc(F.date_add("greg_date", 1), zone)) / F.lit(step)) - 1)
+    days = days.select(*keys, "greg_date", (k1 - k0 + 1).cast("long").alias("n_intervals")).where(F.col("n_intervals") > 0)
+    counts = actual.groupBy(*keys, local_day(ts, zone).alias("greg_date")).agg(
+        F.count_if(F.col(flag) == "A").alias("__a"), F.count_if(F.col(flag) == "B").alias("__b"))
+    j = days.join(counts, on=[*keys, "greg_date"], how="left")
+    a, bad = F.coalesce("__a", F.lit(0)), F.coalesce("__b", F.lit(0))
+    n = F.col("n_intervals")
+
+    def pct(c: Column) -> Column:
+        return F.round(c.cast("decimal(18,0)") * 100 / n.cast("decimal(18,0)"), 4).cast("double")
+
+    return j.select("greg_date", *keys, pct(a).alias("goodintvper"), pct(bad).alias("badintvper"),
+                    pct(n - a - bad).alias("interpolper"), "n_intervals")

@@ -847,8 +847,10 @@ SELECT CAST({_WALL} AS DATE) AS greg_date, user_id,
 FROM f GROUP BY 1, 2""")
 def q_interp_share(spark, sf):
     from loadgrid.operators.timeseries import interval_shares
-    # Shares need flags only: the grid + left join path (no neighbour search) is the cheaper plan here.
-    return interval_shares(_flagged_grid_via_grid(spark, sf, fill=False), ["user_id"], "ts", "flag", ZONE)
+    from loadgrid.operators.timeseries import interval_shares_from_readings
+    # Shares need counts only: grid points per (user, local day) are computed from the bounds.
+    b = _buckets(spark, sf).withColumn("flag", F.when(F.col("bad"), F.lit("B")).otherwise(F.lit("A")))
+    return interval_shares_from_readings(b, ["user_id"], "ts", "flag", 15, ZONE)
 
 
 @query("stage_triage", f"""

@@ -191,3 +191,13 @@ def test_fill_between_readings_equals_grid_form(spark):
     slow = _flagged_grid_via_grid(spark, sf, fill=True)
     cols = ("user_id", "ts", "value", "flag", "filled")
     assert rows(fast, *cols) == rows(slow, *cols)
+
+
+def test_shares_from_readings_equal_grid_shares(spark):
+    from loadgrid.operators.timeseries import interval_shares, interval_shares_from_readings
+    from loadgrid.plans.driver_queries import ZONE, _buckets, _flagged_grid_via_grid
+    sf = "/root/testdata/sf0.001"
+    slow = interval_shares(_flagged_grid_via_grid(spark, sf, fill=False), ["user_id"], "ts", "flag", ZONE)
+    b = _buckets(spark, sf).withColumn("flag", F.when(F.col("bad"), F.lit("B")).otherwise(F.lit("A")))
+    fast = interval_shares_from_readings(b, ["user_id"], "ts", "flag", 15, ZONE)
+    assert rows(fast, *slow.columns) == rows(slow)
