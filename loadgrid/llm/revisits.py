@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadgrid.llm.common import written
+
 #: Headers that a not-modified answer may not replace in the stored response: those of the body and of the connection.
 BODY_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
 HOP_HEADERS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "upgrade")
@@ -100,7 +102,8 @@ def captures(pages: DataFrame) -> DataFrame:
     resource's validators change every 30 days; some records carry weak tags, some only a
     date, some no validator.
     """
-    rows = pages.select("page_id", "url", F.coalesce(F.length("html"), F.lit(0)).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(CAPTURES - 1))).alias("k"))
+    rows = pages.select("page_id", "url", F.coalesce(F.length("html"), F.lit(0)).alias("n"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(CAPTURES - 1))).alias("k"))
     rows = rows.withColumn("record_id", F.col("page_id") * CAPTURES + F.col("k"))
     h = F.pmod(F.col("record_id"), F.lit(1_000_003)) * 7919 % 10_007
     at = F.lit(1_700_000_000) + F.col("page_id") * 97 + F.col("k") * APART_S
@@ -118,19 +121,20 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """resolve() over the captures of ``pages``, headers as one text in the order of their names."""
-    r = resolve(captures(pages))
+    """resolve() over the captures of ``pages`` (written first, as a capture log is), headers as one
+    text in the order of their names."""
+    r = resolve(written(captures(pages), "captures"))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return r.select("record_id", "url", F.unix_seconds("ts").alias("at"), "status", "response_id",
+    return r.select("record_id", "url", F.unix_seconds("ts").alias("captured_s"), "status", "response_id",
                     F.when(F.col("headers").isNotNull(), F.concat_ws("\n", lines)).alias("headers"))
 
 
 #: DuckDB SQL of report() over ``pages``.
 ORACLE_SQL = r"""
 WITH c AS (
-  SELECT page_id * 3 + k AS record_id, k, url, coalesce(length(html), 0) AS n, 1700000000 + page_id * 97 + k * 11 * 86400 AS at FROM pages, range(3) r(k)
+  SELECT page_id * 3 + k AS record_id, k, url, coalesce(length(html), 0) AS n, 1700000000 + page_id * 97 + k * 11 * 86400 AS secs FROM pages, range(3) r(k)
 ), v AS (
-  SELECT *, ((record_id % 1000003) * 7919) % 10007 AS h, floor((at + length(regexp_extract(url, '//([^/]+)', 1)) * 86400) / (30 * 86400))::BIGINT AS version FROM c
+  SELECT *, ((record_id % 1000003) * 7919) % 10007 AS h, floor((secs + length(regexp_extract(url, '//([^/]+)', 1)) * 86400) / (30 * 86400))::BIGINT AS version FROM c
 ), w AS (
   SELECT *, k > 0 AND h % 4 > 0 AS revisit,
          CASE WHEN h % 11 = 0 THEN NULL ELSE '"v' || version || '"' END AS tag,
@@ -143,7 +147,7 @@ WITH c AS (
   FROM w
 ), y AS (
   SELECT *, last_value(CASE WHEN NOT revisit THEN {'id': record_id, 'tag': tag, 'modified': modified, 'n': n} END IGNORE NULLS)
-            OVER (PARTITION BY key ORDER BY at, NOT revisit, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
+            OVER (PARTITION BY key ORDER BY secs, NOT revisit, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
   FROM x
 ), z AS (
   SELECT *, CASE WHEN NOT revisit THEN 'full' WHEN r IS NULL THEN 'no_response' WHEN tag IS NULL AND modified IS NULL THEN 'no_validator'
@@ -151,9 +155,9 @@ WITH c AS (
                  ELSE 'validator_mismatch' END AS status
   FROM y
 )
-SELECT record_id, key AS url, at, status, CASE WHEN status = 'resolved' THEN r.id END AS response_id,
-       CASE status WHEN 'full' THEN 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || at || chr(10) || 'server: a'
+SELECT record_id, key AS url, secs AS captured_s, status, CASE WHEN status = 'resolved' THEN r.id END AS response_id,
+       CASE status WHEN 'full' THEN 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || secs || chr(10) || 'server: a'
                    WHEN 'resolved' THEN 'cache-control: max-age=' || h % 900 || chr(10) || 'content-length: ' || r.n || chr(10) || 'content-type: text/html'
-                                        || chr(10) || 'date: ' || at || chr(10) || 'server: a' END AS headers
+                                        || chr(10) || 'date: ' || secs || chr(10) || 'server: a' END AS headers
 FROM z
 """
