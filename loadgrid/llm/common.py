@@ -3,7 +3,10 @@ a global order without a single-task sort, and text normalisation expressions.""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,24 @@ from loadgrid.session import checkpoint_dir
 WS = r"[\x20\x09-\x0D]+"
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark context, so that tasks import it
+    wherever the driver found it. Spark distributes the archive itself."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loadgrid_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="loadgrid-code-"), "loadgrid.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("loadgrid", os.path.relpath(path, top)))
+    sc.addPyFile(archive)
+    sc._loadgrid_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
