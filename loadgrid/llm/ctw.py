@@ -20,9 +20,11 @@ Extra columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ from loadgrid.llm.langid import held_out
 #: Bytes of context (at most 5: an n-gram and a document's number share 64 bits).
 DEPTH = 5
 #: Bytes of text of a block, on average.
-BLOCK_BYTES = 64 << 20
-#: Characters handled at a time inside a block.
-PIECE_CHARS = 2_000_000
+BLOCK_BYTES = 24 << 20
+#: Bytes of text handled at a time inside a block.
+PIECE_BYTES = 1 << 20
 END = b"\n"
 #: The trees of contexts that share the most recent two bytes are built together; the two levels
 #: above (at most 257 contexts of 255 decisions) go to every task.
@@ -68,16 +70,17 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _slices(texts: list[str | None], limit: int = PIECE_CHARS, most: int = 60_000):
+def _pieces(table: pa.Table, limit: int = PIECE_BYTES, most: int = 60_000):
+    """A block's documents a piece at a time: (words of each, held out of each)."""
+    sizes = pc.fill_null(pc.binary_length(table.column("text")), 0).to_pylist()
     start = size = 0
-    for i, t in enumerate(texts):
-        k = len(t or "") + 1
-        if i - start >= most or size and size + k > limit:
-            yield start, i
+    for i, k in enumerate([*sizes, None]):
+        if k is None or i - start >= most or size and size + k > limit:
+            part = table.slice(start, i - start)
+            if part.num_rows:
+                yield [words_of(t) for t in part.column("text").to_pylist()], part.column("_held").to_pylist()
             start, size = i, 0
-        size += k
-    if texts:
-        yield start, len(texts)
+        size += (k or 0) + 1
 
 
 FACTS = "block bigint, code bigint, word binary, n bigint"
@@ -88,20 +91,18 @@ def gather(depth: int):
 
     def run(table):
         block = table.column("_block")[0].as_py()
-        texts, out = table.column("text").to_pylist(), table.column("_held").to_pylist()
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         seen: set[bytes] = set()
         count: Counter = Counter()
-        for i, j in _slices(texts):
-            docs = [words_of(t) for t in texts[i:j]]
+        for docs, out in _pieces(table):
             code, doc = _codes(docs, depth)
-            train = ~np.array(out[i:j], bool)[doc]
+            train = ~np.array(out, bool)[doc]
             key = np.sort((code << np.uint64(1)) | train.astype(np.uint64))
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             n = np.diff(np.append(first, len(key)))
             key = key[first]
             parts.append(_summed(key >> np.uint64(1), np.where(key & np.uint64(1), n, 0)))
-            for w, h in zip(docs, out[i:j]):
+            for w, h in zip(docs, out):
                 (seen if h else count).update(w)
         codes, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         words = sorted(seen | count.keys())
@@ -257,29 +258,28 @@ def score(depth: int, tokens: int, distinct: int, ends: int):
         order = np.argsort(code)
         code, lp = code[order], lp[order]
         elsewhere = facts.filter(facts.column("word").is_valid())
-        texts, out = docs.column("text").to_pylist(), docs.column("_held").to_pylist()
         count: Counter = Counter()  # words of this block alone; those of several blocks are overwritten
-        for t, h in zip(texts, out):
-            if not h:
-                count.update(words_of(t))
-        known = dict(count)
-        known.update(zip(elsewhere.column("word").to_pylist(), elsewhere.column("c").to_pylist()))
+        for pieces, out in _pieces(docs):
+            for w, h in zip(pieces, out):
+                if not h:
+                    count.update(w)
+        dict.update(count, zip(elsewhere.column("word").to_pylist(), elsewhere.column("c").to_pylist()))
         n_tokens, n_known, base, total, size = [], [], [], [], []
-        for i, j in _slices(texts):
-            pieces = [words_of(t) for t in texts[i:j]]
+        for pieces, _ in _pieces(docs):
+            n = len(pieces)
             c, doc = _codes(pieces, depth)
             key = np.sort((c << np.uint64(16)) | doc)  # in the order of the n-grams, so that the lookups go forward
             got = lp[np.searchsorted(code, key >> np.uint64(16))]
             who = (key & np.uint64(65535)).astype(np.int64)
-            total += np.bincount(who, got, j - i).tolist()
-            size += np.bincount(who, minlength=j - i).tolist()
+            total += np.bincount(who, got, n).tolist()
+            size += np.bincount(who, minlength=n).tolist()
             for w in pieces:
-                have = np.array([known.get(x, 0) for x in w], np.int64)
+                have = np.fromiter(map(count.get, w, repeat(0)), np.int64, len(w))
                 n_tokens.append(len(w) + 1)
                 n_known.append(int((have > 0).sum()) + (ends > 0))
                 base.append(float(np.log10(have + 1).sum()) + np.log10(ends + 1) - (len(w) + 1) * np.log10(tokens + distinct + 1))
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("_held"), "n_tokens": pa.array(n_tokens, pa.int64()),
-                         "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([tokens] * len(texts), pa.int64()),
+                         "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([tokens] * docs.num_rows, pa.int64()),
                          "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64()),
                          "bits_per_byte": pa.array([-t / s / np.log10(2) for t, s in zip(total, size)], pa.float64())})
 

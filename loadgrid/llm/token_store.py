@@ -30,9 +30,11 @@ SCHEMA = "doc_id bigint, part int, at bigint, n_tokens bigint, ids array<int>"
 #: Bytes of a row group, rows of a page, bytes of a page.
 ROW_GROUP, PAGE_ROWS, PAGE = 32 << 20, 1_000, 256 << 10
 #: Words whose ids a worker keeps, and words encoded in one call.
-KEPT_WORDS, CALL_WORDS = 1_500_000, 2_000
+KEPT_WORDS, CALL_WORDS = 1_000_000, 2_000
+#: Marks that close a word.
+MARKS = b".,;:!?"
 #: Characters of text encoded at a time.
-PIECE_CHARS = 2_000_000
+PIECE_CHARS = 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -74,10 +76,15 @@ class WordIds:
             split.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens are case-sensitive
         new = set().union(*split) - self.known.keys()
         if new:
-            if len(self.known) + len(new) > KEPT_WORDS:
+            if len(self.known) + 2 * len(new) > KEPT_WORDS:
                 self.known.clear()
                 new = set().union(*split)
-            self.learn(sorted(new))
+            # A mark after a letter is a token of its own: such a word is its stem's ids and the mark's.
+            marked = {w for w in new if w[-1] in MARKS and len(w) > 1 and 97 <= w[-2] <= 122 and b"<|" not in w}
+            stems = {w[:-1] for w in marked} | {w[-1:] for w in marked}
+            self.learn(sorted((new - marked | stems) - self.known.keys()))
+            for w in marked:
+                self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
