@@ -8,7 +8,7 @@ operators  reusable relational operators: dedupe, intervals, islands, set rewrit
            calendar, time-series quality and DST, audit gates
 plans      dataset builders (study, meters, bills, reads ...), run modes, and the
            driver-table queries with their SQL oracles
-streaming  intentionally empty: the reference has no streaming part
+llm        training-data operators (independent of the rest)
 """
 
 __all__ = ["session"]

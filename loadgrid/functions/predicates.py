@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loadgrid.functions.columns import OPEN_END_DATE, col, lit_date, month_key
+from loadgrid.functions.columns import OPEN_END_DATE, col, lit_date
 
 
 def active_on(start: str | Column, end: str | Column, day) -> Column:
@@ -15,9 +17,13 @@ def active_on(start: str | Column, end: str | Column, day) -> Column:
 
 
 def months_overlap(start: str | Column, end: str | Column, month: int, as_of) -> Column:
-    """Month-granular overlap; an open end counts up to the ``as_of`` date (the run date)."""
-    m = F.lit(int(month))
-    return (month_key(start) <= m) & (month_key(F.coalesce(col(end), lit_date(as_of))) >= m)
+    """Month-granular overlap; an open end counts up to the ``as_of`` date (the run date). Compares
+    the plain dates with the month's first day and the next month's, so that the bounds reach the scan."""
+    year, mon = divmod(int(month), 100)
+    first = dt.date(year, mon, 1)
+    following = dt.date(year + mon // 12, mon % 12 + 1, 1)
+    open_end = col(end).isNull() & (lit_date(as_of) >= lit_date(first))
+    return (col(start) < lit_date(following)) & ((col(end) >= lit_date(first)) | open_end)
 
 
 def is_true(c: str | Column) -> Column:
@@ -42,20 +48,20 @@ def closed(c: str | Column, lo, hi) -> Column:
 # Bad-reading filters, one per source. Each keeps the reference's NULL handling exactly.
 
 def status_ok(stat_code: str | Column, reading: str | Column) -> Column:
-    """``stat not like '%POWER_FAIL%' and not (stat like '%IRREGULAR%' and reading = 0)``.
+    """Keeps readings without a power failure; an irregular reading is kept unless it is zero.
     A NULL status is dropped (the first comparison is NULL)."""
     s = col(stat_code)
     return (~s.like("%POWER_FAIL%")) & ~(s.like("%IRREGULAR%") & (col(reading) == 0))
 
 
 def channel_flag_ok(flag: str | Column, reading: str | Column) -> Column:
-    """``coalesce(flag,'') not like '%Skipped%' and not (coalesce(flag,'') like '%Partial%' and reading = 0)``."""
+    """Keeps readings that were not skipped; a partial reading is kept unless it is zero. A NULL flag is kept."""
     f = F.coalesce(col(flag), F.lit(""))
     return (~f.like("%Skipped%")) & ~(f.like("%Partial%") & (col(reading) == 0))
 
 
 def interval_status_ok(stat: str | Column, reading: str | Column) -> Column:
-    """``coalesce(stat,'') != 'PO' and not (stat is not null and reading = 0)``."""
+    """Drops power outages, and zero readings that carry any status. A NULL status is kept."""
     s = col(stat)
     return (F.coalesce(s, F.lit("")) != "PO") & ~(s.isNotNull() & (col(reading) == 0))
 

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from loadgrid.functions.columns import col, later_of, month_key
 
-# Row bound under which a calendar side is broadcast: one row per month for 1000 years.
-CALENDAR_BROADCAST_MAX_ROWS = 12_000
-
 
 def envelope(df: DataFrame, keys: Sequence[str], start: str | Column, stop: str | Column,
              start_name: str = "meterstart", stop_name: str = "meterstop") -> DataFrame:
@@ -41,22 +38,14 @@ def interval_join(facts: DataFrame, intervals: DataFrame, on: Sequence[tuple[str
     return facts.join(intervals, on=cond, how=how)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with a bounded count)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def month_before_join(facts: DataFrame, fact_date: str | Column, calendar: DataFrame,
-                      month_start: str | Column, how: str = "inner", broadcast_rows: int | None = None) -> DataFrame:
+                      month_start: str | Column, how: str = "inner") -> DataFrame:
     """Facts dated in the calendar month *before* ``month_start``:
     ``month_start > d and add_months(month_start, -1) <= d`` for dates ``d``, rewritten as the
     equi-join ``yyyymm(d) = yyyymm(add_months(month_start, -1))``."""
     k = "__month_before"
     f = facts.withColumn(k, month_key(col(fact_date).cast("date")))
     c = calendar.withColumn(k, month_key(F.add_months(col(month_start), -1)))
-    if broadcast_rows:
-        c = bounded_broadcast(c, broadcast_rows)
     return f.join(c, on=k, how=how).drop(k)
 
 
@@ -119,6 +108,22 @@ def islands(df: DataFrame, keys: Sequence[str], run_keys: Sequence[str], order:
         rn_all = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         rn_run = F.row_number().over(Window.partitionBy(*keys, *run_keys).orderBy(*order))
         return df.withColumn(name, rn_all - rn_run)
-    d = bucketed_row_number(df, keys, order, bucket, "__rn_all")
-    d = bucketed_row_number(d, [*keys, *run_keys], order, bucket, "__rn_run")
-    return d.withColumn(name, F.col("__rn_all") - F.col("__rn_run")).drop("__rn_all", "__rn_run")
+    # One distribution by (keys, bucket) serves both numberings; the offsets of earlier buckets come
+    # from one row per (keys, run keys, bucket).
+    b, keys, run_keys = "__bucket", list(keys), list(run_keys)
+    d = df.withColumn(b, col(bucket)).repartition(*keys, b)
+    runs = d.groupBy(*keys, *run_keys, b).agg(F.count(F.lit(1)).alias("__n"))
+
+    def before(partition):
+        w = Window.partitionBy(*partition).orderBy(F.col(b).asc_nulls_first())
+        return F.coalesce(F.sum("__n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+
+    same = Window.partitionBy(*keys, b)
+    runs = runs.select(*keys, *run_keys, b, (before(keys) - F.sum("__n").over(same)
+                                             - before([*keys, *run_keys]) + F.col("__n")).alias("__off"))
+    rn_all = F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order))
+    rn_run = F.row_number().over(Window.partitionBy(*keys, *run_keys, b).orderBy(*order))
+    out = d.withColumn("__local", rn_all - rn_run)
+    runs = runs.select("__off", *[F.col(c).alias(f"__k_{c}") for c in (*keys, *run_keys, b)])
+    cond = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (*keys, *run_keys, b)]
+    return out.join(runs, cond, "inner").select(*df.columns, (F.col("__local") + F.col("__off")).alias(name))

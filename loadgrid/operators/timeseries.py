@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadgrid.functions.columns import LOCAL_ZONE, READ_MINUTES, col, lit_date, utc_of_wall, wall_time
-from loadgrid.operators.intervals import bucketed_row_number
 
 W = Window
 
@@ -126,23 +125,49 @@ def fill_linear(df: DataFrame, keys: Sequence[str], ts: str, value: str, name: s
 
 
 def completeness(df: DataFrame, keys: Sequence[str], ts_utc: str, zone: str = LOCAL_ZONE,
-                 minutes: int = READ_MINUTES) -> DataFrame:
+                 minutes: int = READ_MINUTES, first_day: dt.date | str | None = None,
+                 last_day: dt.date | str | None = None) -> DataFrame:
     """Per (local day, series): readings, distinct hours (of the instant, so both fall-back 01:00
-    hours count), distinct wall hours (where that hour collapses), expected intervals and deficit."""
+    hours count), distinct wall hours (where that hour collapses), expected intervals and deficit.
+
+    Every day of a series has a row, also one without readings: from ``first_day`` to ``last_day``
+    where given, else from the series' first to its last reading. Without ``keys`` the rows are per
+    date. One shuffle of hourly counts; hours are counted after grouping by them.
+    """
+    keys = list(keys)
     d = df.withColumn("day", local_day(ts_utc, zone))
-    out = d.groupBy("day", *keys).agg(
-        F.count(F.lit(1)).alias("interval_count"),
-        F.count_distinct(F.date_trunc("hour", F.col(ts_utc))).alias("hour_count"),
-        F.count_distinct(F.date_trunc("hour", wall_time(ts_utc, zone))).alias("wall_hour_count"))
+    if first_day is not None:
+        d = d.where(F.col(ts_utc) >= day_start_utc(lit_date(first_day), zone))
+    if last_day is not None:
+        d = d.where(F.col(ts_utc) < day_start_utc(F.date_add(lit_date(last_day), 1), zone))
+    hours = d.groupBy(*keys, "day", F.date_trunc("hour", F.col(ts_utc)).alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = hours.groupBy(*keys, "day").agg(
+        F.sum("__n").alias("interval_count"), F.count(F.lit(1)).alias("hour_count"),
+        F.size(F.collect_set(F.date_trunc("hour", wall_time("__h", zone)))).cast("long").alias("wall_hour_count"))
+    lo = lit_date(first_day) if first_day is not None else F.min("day")
+    hi = lit_date(last_day) if last_day is not None else F.max("day")
+    days = counts.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi")).where(F.col("__lo").isNotNull()).select(
+        *keys, F.explode(F.sequence("__lo", "__hi")).alias("day"))
+    names = ("interval_count", "hour_count", "wall_hour_count")
+    counts = counts.select(*names, *[F.col(c).alias(f"__k_{c}") for c in (*keys, "day")])
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (*keys, "day")]
+    out = days.join(counts, same, "left").select("day", *keys, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
     out = out.withColumn("expected_intervals", expected_intervals("day", zone, minutes))
     return out.withColumn("deficit", F.col("expected_intervals") - F.col("interval_count"))
 
 
-def hour_histogram(df: DataFrame, ts_utc: str, zone: str = LOCAL_ZONE) -> DataFrame:
-    """Readings per (wall hour, UTC hour): the repeated fall-back hour shows as two rows."""
-    return df.groupBy(F.date_trunc("hour", wall_time(ts_utc, zone)).alias("hour_local"),
-                      F.date_trunc("hour", F.col(ts_utc)).alias("utc_hour")).agg(
+def hour_histogram(df: DataFrame, ts_utc: str, zone: str = LOCAL_ZONE, day: dt.date | str | None = None,
+                   series: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+    """Readings per (wall hour, UTC hour): the repeated fall-back hour shows as two rows. ``day``
+    restricts to one local day, ``series`` (one key column) to a list of meters; ``ordered`` sorts by both hours."""
+    if day is not None:
+        df = local_day_filter(df, ts_utc, day, zone)
+    if series is not None:
+        df = df.join(series, series.columns[0], "left_semi")
+    out = df.groupBy(F.date_trunc("hour", wall_time(ts_utc, zone)).alias("hour_local"),
+                     F.date_trunc("hour", F.col(ts_utc)).alias("utc_hour")).agg(
         F.count(F.lit(1)).alias("record_count"))
+    return out.orderBy("hour_local", "utc_hour") if ordered else out
 
 
 def ambiguous_wall_times(df: DataFrame, ts_utc: str, zone: str = LOCAL_ZONE, minutes: int = READ_MINUTES) -> DataFrame:
@@ -168,25 +193,36 @@ def interval_shares(flagged: DataFrame, keys: Sequence[str], ts_utc: str, flag:
 
 
 def stage_triage(source: DataFrame, processed: DataFrame, output: DataFrame, ts_utc: str,
-                 zone: str = LOCAL_ZONE) -> DataFrame:
-    """Per local day, distinct hours seen at each stage and the first stage that loses hours:
-    ``upstream`` (source below the expected hours), ``processing``, ``output`` or ``ok``.
-    The output stage is counted in wall hours, as a wall-time file would show it."""
-    def hours(df: DataFrame, wall: bool, name: str) -> DataFrame:
-        h = F.date_trunc("hour", wall_time(ts_utc, zone) if wall else F.col(ts_utc))
-        return df.groupBy(local_day(ts_utc, zone).alias("day")).agg(F.count_distinct(h).alias(name))
-
-    s = hours(source, False, "source_hours")
-    p = hours(processed, False, "processed_hours")
-    o = hours(output, True, "output_hours")
-    t = s.join(p, "day", "full").join(o, "day", "full").withColumn("expected_hours", expected_hours("day", zone))
-    z = [F.coalesce(F.col(c), F.lit(0)) for c in ("source_hours", "processed_hours", "output_hours")]
-    verdict = (F.when(z[0] < F.col("expected_hours"), "upstream")
-                .when(z[1] < z[0], "processing")
-                .when(z[2] < z[1], "output")
+                 zone: str = LOCAL_ZONE, keys: Sequence[str] = (), output_wall: str | None = None) -> DataFrame:
+    """Per local day (and series), distinct hours seen at each stage and the first stage that loses
+    hours: ``upstream`` (source below the expected hours), ``processing``, ``output`` or ``ok``.
+
+    Stages are counted in hours of the instant, 25 on a fall-back day. An output that only has wall
+    time (column ``output_wall``) shows that day's repeated hour once; it is compared with the wall
+    hours of the processed stage. The stages are unioned and aggregated once.
+    """
+    keys = list(keys)
+    inst = F.date_trunc("hour", F.col(ts_utc))
+
+    def rows(df: DataFrame, stage: int, day, hour):
+        return df.select(*keys, day.alias("day"), hour.alias("__h"), F.lit(stage).alias("__stage"))
+
+    r = rows(source, 0, local_day(ts_utc, zone), inst).unionByName(rows(processed, 1, local_day(ts_utc, zone), inst))
+    if output_wall is None:
+        r = r.unionByName(rows(output, 2, local_day(ts_utc, zone), inst))
+    else:
+        r = r.unionByName(rows(processed, 3, local_day(ts_utc, zone), F.date_trunc("hour", wall_time(ts_utc, zone))))
+        r = r.unionByName(rows(output, 2, F.col(output_wall).cast("date"), F.date_trunc("hour", F.col(output_wall))))
+    hours = r.groupBy(*keys, "day", "__stage", "__h").agg(F.count(F.lit(1)).alias("__n"))
+    names = ("source_hours", "processed_hours", "output_hours", "__wall")
+    t = hours.groupBy(*keys, "day").agg(*[F.count_if(F.col("__stage") == i).alias(n) for i, n in enumerate(names)])
+    t = t.withColumn("expected_hours", expected_hours("day", zone))
+    before = F.col("__wall") if output_wall else F.col("processed_hours")
+    verdict = (F.when(F.col("source_hours") < F.col("expected_hours"), "upstream")
+                .when(F.col("processed_hours") < F.col("source_hours"), "processing")
+                .when(F.col("output_hours") < before, "output")
                 .otherwise("ok"))
-    return t.select("day", *[c.alias(n) for c, n in zip(z, ("source_hours", "processed_hours", "output_hours"))],
-                    "expected_hours", verdict.alias("verdict"))
+    return t.select(*keys, "day", *names[:3], "expected_hours", verdict.alias("verdict"))
 
 
 def fill_between_readings(actual: DataFrame, keys: Sequence[str], ts: str, value: str, step_minutes: int = READ_MINUTES,
@@ -194,33 +230,49 @@ def fill_between_readings(actual: DataFrame, keys: Sequence[str], ts: str, value
     """Grid, gap flags and linear fill in one pass over the *readings* instead of the grid.
 
     For readings aligned to the step (e.g. 15-minute buckets) the result equals
-    ``fill_linear(flag_gaps(time_grid(...), ...))``: every reading is paired with the next reading of
-    its series (exact row numbers per (series, day), then an equi-join on (series, row number), so a
-    hot series spreads over tasks), and only the missing points between the two are generated, each
-    with ``flag = 'I'`` and ``v0 + (v1 - v0) * (t - t0) / (t1 - t0)``. Readings keep ``flag_col`` (or
-    ``'A'``). Windows and joins touch the readings only; the grid exists only as generated output.
+    ``fill_linear(flag_gaps(time_grid(...), ...))``. Inside a (series, UTC day) windows find the next
+    reading and the known (non-NULL) readings around; across days they come from one row per (series, day). A
+    reading with a NULL value keeps its flag (``flag_col`` or ``'A'``) and is filled like a gap point. Each
+    reading emits itself and the missing points before the next one, ``flag = 'I'``, a day of points at a time.
     """
     step = int(step_minutes) * 60
-    r = bucketed_row_number(actual, keys, [F.col(ts).asc()], F.to_date(ts), "__rn")
-    nxt = r.select(*keys, (F.col("__rn") - 1).alias("__rn"), F.col(ts).alias("__nt"), F.col(value).alias("__nv"))
-    pairs = r.join(nxt, on=[*keys, "__rn"], how="left")
+    keys, day = list(keys), "__day"
+    d = actual.withColumn(day, F.to_date(ts)).repartition(*keys, day)
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))
+    wd = W.partitionBy(*keys, day).orderBy(F.col(ts))
+    r = (d.withColumn("__p", F.last(known, ignorenulls=True).over(wd.rowsBetween(W.unboundedPreceding, 0)))
+          .withColumn("__n", F.first(known, ignorenulls=True).over(wd.rowsBetween(1, W.unboundedFollowing)))
+          .withColumn("__nt", F.lead(ts).over(wd)))
+    days = d.groupBy(*keys, day).agg(F.max(known).alias("__last"), F.min(known).alias("__first"), F.min(ts).alias("__ts"))
+    wk = W.partitionBy(*keys).orderBy(F.col(day))
+    days = days.select(*keys, day,
+                       F.last("__last", ignorenulls=True).over(wk.rowsBetween(W.unboundedPreceding, -1)).alias("__cp"),
+                       F.first("__first", ignorenulls=True).over(wk.rowsBetween(1, W.unboundedFollowing)).alias("__cn"),
+                       F.lead("__ts").over(wk).alias("__cnt"))
+    r = r.join(days, on=[*keys, day], how="inner")
+    p, n, nt = F.coalesce("__p", "__cp"), F.coalesce("__n", "__cn"), F.coalesce("__nt", "__cnt")
+    # Points after this reading and before the next one; none after the last reading.
+    points = F.greatest(F.lit(0), F.coalesce(F.ceil(F.timestamp_diff("SECOND", F.col(ts), nt) / F.lit(step)) - 1, F.lit(0))).cast("long")
     f = F.col(flag_col) if flag_col else F.lit("A")
-    readings = pairs.select(*keys, F.col(ts), F.col(value), f.alias(flag), F.col(value).alias(name))
-    gap_n = F.floor(F.timestamp_diff("SECOND", F.col(ts), F.col("__nt")) / F.lit(step)).cast("long")
-    gaps = pairs.where(F.col("__nt").isNotNull()).withColumn("__n", gap_n).where(F.col("__n") > 1)
-    gaps = gaps.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n") - 1)))
-    t = F.col(ts) + F.make_dt_interval(secs=(F.col("__k") * step).cast("decimal(18,6)"))
-    span = F.timestamp_diff("SECOND", F.col(ts), F.col("__nt")).cast("double")
-    dt_s = (F.col("__k") * step).cast("double")
-    filled = F.col(value) + (F.col("__nv") - F.col(value)) * dt_s / span
-    gap_rows = gaps.select(*keys, t.alias(ts), F.lit(None).cast(actual.schema[value].dataType).alias(value),
-                           F.lit("I").alias(flag), filled.alias(name))
-    return readings.unionByName(gap_rows)
+    r = r.select(*keys, F.col(ts).alias("__t0"), F.col(value).alias("__v0"), f.alias("__f"), p.alias("__p"), n.alias("__n"), points.alias("__m"))
+    per_day = F.lit(max(1, 86400 // step)).cast("long")
+    r = r.withColumn("__k0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m"), per_day)))
+    r = r.withColumn("__k", F.explode(F.sequence("__k0", F.least(F.col("__m"), F.col("__k0") + per_day - 1))))
+    t = F.col("__t0") + F.make_dt_interval(secs=(F.col("__k") * step).cast("decimal(18,6)"))
+    own = F.col("__k") == 0
+    r = r.select(*keys, t.alias(ts), F.when(own, F.col("__v0")).alias(value), F.when(own, F.col("__f")).otherwise(F.lit("I")).alias(flag), "__p", "__n")
+    dt_s = F.timestamp_diff("SECOND", F.col("__p.t"), F.col(ts)).cast("double")
+    span = F.timestamp_diff("SECOND", F.col("__p.t"), F.col("__n.t")).cast("double")
+    between = F.col("__p.v") + (F.col("__n.v") - F.col("__p.v")) * dt_s / span
+    return r.withColumn(name, F.when(F.col(value).isNotNull(), F.col(value)).otherwise(between)).drop("__p", "__n")
 
 
 def interval_shares_from_readings(actual: DataFrame, keys: Sequence[str], ts: str, flag: str,
-                                  step_minutes: int = READ_MINUTES, zone: str = LOCAL_ZONE) -> DataFrame:
-    """``interval_shares`` of the flagged grid without generating the grid.
+                                  step_minutes: int = READ_MINUTES, zone: str = LOCAL_ZONE,
+                                  first_day: dt.date | str | None = None, last_day: dt.date | str | None = None,
+                                  ordered: bool = False) -> DataFrame:
+    """``interval_shares`` of the flagged grid without generating the grid, for the local days from
+    ``first_day`` to ``last_day`` where given; ``ordered`` sorts by day and series.
 
     Grid points per (series, local day) are counted arithmetically from the series bounds
     (points ``lo + k*step``, ``k = 0..floor((hi-lo)/step)``, inside the day's UTC bounds); readings
@@ -229,7 +281,12 @@ def interval_shares_from_readings(actual: DataFrame, keys: Sequence[str], ts: st
     """
     step = int(step_minutes) * 60
     b = actual.groupBy(*keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
-    days = b.withColumn("greg_date", F.explode(F.sequence(local_day("__lo", zone), local_day("__hi", zone))))
+    lo, hi = local_day("__lo", zone), local_day("__hi", zone)
+    days = b.withColumn("greg_date", F.explode(F.sequence(lo, hi)))
+    if first_day is not None:
+        days = days.where(F.col("greg_date") >= lit_date(first_day))
+    if last_day is not None:
+        days = days.where(F.col("greg_date") <= lit_date(last_day))
     secs = lambda a, z: F.timestamp_diff("SECOND", a, z)
     k_max = F.floor(secs(F.col("__lo"), F.col("__hi")) / F.lit(step))
     k0 = F.greatest(F.lit(0), F.ceil(secs(F.col("__lo"), day_start_utc("greg_date", zone)) / F.lit(step)))
@@ -244,5 +301,6 @@ def interval_shares_from_readings(actual: DataFrame, keys: Sequence[str], ts: st
     def pct(c: Column) -> Column:
         return F.round(c.cast("decimal(18,0)") * 100 / n.cast("decimal(18,0)"), 4).cast("double")
 
-    return j.select("greg_date", *keys, pct(a).alias("goodintvper"), pct(bad).alias("badintvper"),
-                    pct(n - a - bad).alias("interpolper"), "n_intervals")
+    out = j.select("greg_date", *keys, pct(a).alias("goodintvper"), pct(bad).alias("badintvper"),
+                   pct(n - a - bad).alias("interpolper"), "n_intervals")
+    return out.orderBy("greg_date", *keys) if ordered else out

@@ -15,6 +15,10 @@ def _d(x) -> dt.date | None:
     return dt.datetime.strptime(s, "%Y%m%d").date() if len(s) == 8 and s.isdigit() else dt.date.fromisoformat(s)
 
 
+#: ``history`` rebuilds every cycle date of the calendar (uevmada only); the others are the reference's run modes.
+MODES = ("daily", "backdate", "reprocess", "history")
+
+
 @dataclass
 class Scopes:
     """Key sets replacing the injected predicate fragments; ``None`` means no restriction."""
@@ -33,10 +37,10 @@ class RunParams:
     start_date: dt.date | None = None                    # p_start_date (cycle-day lookup)
     month: int | None = None                             # rltv_greg_mo (YYYYMM) for backdate / reprocess
     as_of: dt.date | None = None                         # replaces current_date
-    company: str = "FPL"                                 # company code kept in study premises
+    company: str | None = None                           # company code kept in study premises (required there)
     device_cutoff: dt.date = dt.date(2021, 7, 1)         # device history cutoff
     sst_cutoff: dt.date = dt.date(2022, 6, 1)            # SST channel history cutoff
-    exclude_premises: tuple = (373190907,)               # premise excluded from utility meters
+    exclude_premises: tuple = ()                         # premises excluded from utility meters
     interval_months: int = 13                            # bill history window for the average (months)
     avg_months: int = 12                                 # aumonth: months in the average
     month_from: int | None = None                        # previous_month (daily bill window)
@@ -49,12 +53,20 @@ class RunParams:
     fetch_from: dt.datetime | None = None                # reading window (instants, UTC)
     fetch_to: dt.datetime | None = None
     zone: str = "America/New_York"
-    legacy_wall_time: bool = True                        # group EV reads by wall time as the reference
+    legacy_wall_time: bool = False                       # True: group EV reads by wall time as the reference
     scopes: Scopes = field(default_factory=Scopes)
 
     def __post_init__(self):
         for f in ("run_date", "start_date", "as_of", "device_cutoff", "sst_cutoff", "bill_from_date",
                   "bill_to_date", "bill_start", "bill_end", "min_bill_date"):
             setattr(self, f, _d(getattr(self, f)))
-        if self.as_of is None:
-            self.as_of = self.run_date or dt.date.today()
+        if self.mode not in MODES:
+            raise ValueError(f"unknown mode {self.mode!r}")
+        if self.as_of is None and self.mode == "daily":
+            self.as_of = self.run_date
+
+    def need(self, *names: str) -> None:
+        """Fail by name where a dataset's parameter is missing."""
+        missing = [n for n in names if getattr(self, n) is None]
+        if missing:
+            raise ValueError(f"{self.mode} run: missing parameter " + ", ".join(missing))

@@ -42,7 +42,7 @@ NET_METER_PATTERNS = ("%N", "_____N%")
 SOURCE_TAGS = ("1_IEE", "2_APP", "3_SG", "4_MV90", "5_TMS")   # priority order of read sources
 UNIT_KWH = "kwh"
 
-READ_COLUMNS = ("premiseid", "metertype", "read_strt_time", "kwh", "meterid", "channel", "uom", "spi")
+READ_COLUMNS = ("premiseid", "metertype", "read_strt_time", "kwh", "meterid", "channel", "uom", "spi", "read_ts_utc")
 
 
 def _scoped(df: DataFrame, scope: DataFrame | None, col: str) -> DataFrame:
@@ -53,11 +53,17 @@ def _scoped(df: DataFrame, scope: DataFrame | None, col: str) -> DataFrame:
     return df.join(scope.select(F.col(k).alias(col)).distinct(), on=col, how="left_semi")
 
 
+def _rest(df: DataFrame, *used: str) -> list[Column]:
+    """The columns a ranking does not name, in order: its last tie-break."""
+    return [F.col(c).asc_nulls_last() for c in sorted(set(df.columns) - set(used))]
+
+
 # ---------------------------------------------------------------- Q1, Q2: work selection
 
 def _study_selection(t: Tables, p: RunParams) -> DataFrame:
     """Studies due in this run, before the run column is added (``s.*`` rows)."""
     s = t["study"]
+    p.need(*(["run_date"] if p.mode == "daily" else ["month", "as_of"] if p.mode == "backdate" else ["month"]))
     if p.mode == "daily":
         s = s.where(P.is_true("billingdata") & P.is_true("active_flag") & P.not_deleted("deleted_flg")
                     & F.col("fetchtype").isNotNull() & P.active_on("startdate", "enddate", p.run_date))
@@ -88,6 +94,7 @@ def study(t: Tables, p: RunParams) -> DataFrame:
 
 def study_premise(t: Tables, p: RunParams) -> DataFrame:
     """Q2: premises of the due studies (semi-join), company code or UEV studies, not deleted."""
+    p.need("company")
     sp = t["study_premise"]
     due = _study_selection(t, p).select("studyid")
     out = setops.keep_listed(sp, due, ["studyid"])
@@ -168,16 +175,16 @@ def uevmada(t: Tables, p: RunParams) -> DataFrame:
     month is ``p.month``). The month range join is an equi-join on the month key."""
     day = t["day"].where((F.col("cycl_day_num") == UEV_CYCLE_DAY) & F.col("cycl_day_num").isNotNull())
     if p.mode == "daily":
+        p.need("run_date")
         day = day.where(F.col("greg_date") == lit_date(p.run_date))
-    elif p.month is not None:
+    elif p.mode != "history":
+        p.need("month")
         day = day.where(month_key(F.add_months("greg_date", -1)) == F.lit(int(p.month)))
-    # otherwise (history rebuild): every cycle date of the calendar
     cyd = day.select("greg_date", "cal_yr", "cal_mo", first_of_month("cal_yr", "cal_mo").alias("__fom"))
     tr, s = t["ev_trans_detail_fact"], _current_sites(t)
     ts = tr.join(s, on=[tr["site_pk"] == s["site_pk"], tr["prod_id"] == s["prod_id"]], how="inner").where(tr["prod_id"] != PUBLIC_PRODUCT)
     ts = ts.select(tr["acct_num"], s["site_id"], s["zip"], s["addr"], tr["trans_end_dttm"], tr["energy"], tr["energy_unit"])
-    j = intervals.month_before_join(ts, F.col("trans_end_dttm").cast("date"), cyd, "__fom",
-                                    broadcast_rows=intervals.CALENDAR_BROADCAST_MAX_ROWS)
+    j = intervals.month_before_join(ts, F.col("trans_end_dttm").cast("date"), cyd, "__fom")
     kwh = F.sum(to_kwh("energy", "energy_unit"))
     g = j.groupBy("acct_num", "site_id", F.add_months("__fom", -1).alias("billstart"), "__fom", "zip", "greg_date",
                   "cal_yr", "cal_mo").agg(F.min(month_key_str(F.col("trans_end_dttm").cast("date"))).alias("rltv_mo"),
@@ -191,12 +198,14 @@ def uevmada(t: Tables, p: RunParams) -> DataFrame:
 def uevcust(t: Tables, p: RunParams) -> DataFrame:
     """Q8: newest account per installation opened before the cut-off date, with the current
     installation row (left join) and a default rate code."""
+    p.need("run_date" if p.mode == "daily" else "bill_to_date")
     cutoff = p.run_date if p.mode == "daily" else p.bill_to_date
     apc = t["mv_acct_prem_cust"].where(F.col("acct_open_date") < lit_date(cutoff))
     apc = _scoped(apc, p.scopes.uev, "install_num")
-    ai = t["account_installation"].where(P.is_true("crnt_row_flag")).select("install_num", "acct_num", "prem_dstr_cd")
-    j = apc.join(ai, on=["install_num", "acct_num"], how="left")
-    top = dedupe.latest_per_key(j, ["install_num"], "acct_open_date", [F.col("acct_num").asc_nulls_last()])
+    # Rank the accounts first: only one row per installation is joined.
+    top = dedupe.latest_per_key(apc, ["install_num"], "acct_open_date", [F.col("acct_num").asc_nulls_last(), *_rest(apc, "install_num", "acct_open_date", "acct_num")])
+    ai = t["account_installation"].where(P.is_true("crnt_row_flag")).groupBy("install_num", "acct_num").agg(F.min("prem_dstr_cd").alias("prem_dstr_cd"))
+    top = top.join(ai, on=["install_num", "acct_num"], how="left")
     return top.select(F.col("install_num").alias("premiseid"), F.col("acct_num").alias("accountid"),
                       F.coalesce(F.col("rate_schd_cd"), F.lit(DEFAULT_RATECODE)).alias("ratecode"),
                       F.col("prem_dstr_cd").alias("wc_dist"), F.col("full_name").alias("customer"),
@@ -209,9 +218,10 @@ def monthly_average(bills: DataFrame, n_months: int) -> DataFrame:
     service days)."""
     m = bills.groupBy("prem_num", "rltv_mo", "service_days").agg(F.sum("total_kwh").alias("total_kwh"))
     m = dedupe.last_n_periods(m, ["prem_num"], "rltv_mo", n_months)
-    # kWh * 30 first, then divide: the quotient keeps 12 decimals, so the 4-decimal rounding is
-    # that of the exact ratio (dividing first leaves 6 decimals and shifts some results by 1e-4).
-    ratio = (F.sum("total_kwh") * 30).cast("decimal(28,2)") / F.sum("service_days").cast("decimal(10,0)")
+    # kWh * 30 at the input's own scale first, then divide: the quotient keeps enough decimals that the
+    # 4-decimal rounding is that of the exact ratio (dividing first shifts some results by 1e-4).
+    scale = getattr(bills.schema["total_kwh"].dataType, "scale", 6)
+    ratio = (F.sum(F.col("total_kwh").cast(f"decimal(18,{scale})")) * 30).cast(f"decimal({20 + scale},{scale})") / F.sum("service_days").cast("decimal(10,0)")
     return m.groupBy("prem_num").agg(
         F.round(ratio, 4).alias("avgmonthlykwh"),
         F.count_distinct("rltv_mo").alias("num_months_monthlyavg"))
@@ -225,7 +235,8 @@ def enrich_bills(base: DataFrame, t: Tables, avg: DataFrame) -> DataFrame:
     prem = t["premise"].where(F.col("rmv_flag") == F.lit(False)).select(
         F.col("prem_num").alias("pr_prem"), F.col("prem_zip_cd").alias("zip_code"),
         F.col("efct_strt_dttm").alias("pr_start"), F.col("efct_end_dttm").alias("pr_end"))
-    bf = dedupe.latest_per_key(t["billing_fact"], ["cust_acct_num", "prem_num", "rltv_mo"], "bill_date")
+    bf = t["billing_fact"]
+    bf = dedupe.latest_per_key(bf, ["cust_acct_num", "prem_num", "rltv_mo"], "bill_date", _rest(bf, "cust_acct_num", "prem_num", "rltv_mo", "bill_date"))
     bf = bf.select(F.col("cust_acct_num").alias("bf_acct"), F.col("prem_num").alias("bf_prem"), F.col("rltv_mo").alias("bf_mo"),
                    F.col("acct_stat_cd").alias("account_status"), F.col("rate_schd_cd").alias("bf_rate"),
                    join_names("cust_name_1", "cust_name_2").alias("customer"), F.col("dstr_cd").alias("wc_dist"),
@@ -249,6 +260,8 @@ def enrich_bills(base: DataFrame, t: Tables, avg: DataFrame) -> DataFrame:
 def mada(t: Tables, p: RunParams) -> DataFrame:
     """Q9: bill detail of the run enriched with account, premise, net-meter flag and monthly average."""
     bdf = t["bill_detail_fact"]
+    p.need(*(["month_from", "month_to", "run_date", "as_of"] if p.mode == "daily" else
+             ["bill_start", "bill_end", "month", "bill_from_date", "bill_to_date", "as_of", "min_bill_date"]))
     usable = P.bill_usable("debit_stat_cd", "service_days", "rdg_from_date", "rdg_to_date")
     if p.mode == "daily":
         base = bdf.where(F.col("rltv_mo").between(p.month_from, p.month_to) & (F.col("bill_date") == lit_date(p.run_date)) & usable)
@@ -267,21 +280,52 @@ def mada(t: Tables, p: RunParams) -> DataFrame:
 
 # ---------------------------------------------------------------- Q10, Q11: commercial recorders and reads
 
-def _device_rows(t: Tables, p: RunParams, csnt: str, drop_g_recorders: bool) -> DataFrame:
-    """Both device sources in one shape (``tbl`` 1 = app, 2 = IEE), with the set conditions of the
-    app source rewritten as flag joins (exact IN / NOT IN semantics, no nested-loop join)."""
+def app_device_rows(t: Tables, p: RunParams) -> DataFrame:
+    """Rows of the app device source that pass its set conditions: the recorder is not in the IEE
+    source, and the premise either has an IEE group that starts after the cut-off, or is neither in the
+    IEE source nor ended before the cut-off in the app source.
+
+    One flag table per premise and one list of recorders, each joined by equality, instead of a
+    join per condition. ``IN`` and ``NOT IN`` keep SQL's three-valued logic: a NULL in a list makes
+    ``NOT IN`` never true.
+    """
     app, iee = t["pb_app_device"], t["iee_pb_device"]
     cutoff = lit_date(p.device_cutoff)
+    groups = iee.groupBy("prem_num", "rcrdr_seq_num", "chnl_num", "rcrdr_id").agg(F.min("rcrdr_strt_date").alias("m"))
+    starts = groups.groupBy("prem_num", "rcrdr_seq_num", "chnl_num").agg(F.min("m").alias("m"))
+    by_iee = starts.groupBy("prem_num").agg(F.max(F.col("m") > cutoff.cast("timestamp_ntz")).alias("__late"))
+    by_app = app.groupBy("prem_num").agg((F.max("efct_end_date") < cutoff).alias("__old"))
+    flags = (by_iee.select(F.col("prem_num").alias("__prem"), F.coalesce("__late", F.lit(False)).alias("__late"), F.lit(True).alias("__iee"), F.lit(False).alias("__old"))
+             .unionByName(by_app.select(F.col("prem_num").alias("__prem"), F.lit(False).alias("__late"), F.lit(False).alias("__iee"),
+                                        F.coalesce("__old", F.lit(False)).alias("__old")))
+             .groupBy("__prem").agg(F.max("__late").alias("__late"), F.max("__iee").alias("__iee"), F.max("__old").alias("__old")))
+    recorders = groups.select(F.col("rcrdr_id").alias("__rec")).distinct().withColumn("__in_rec", F.lit(True))
+    # The NULL row of each list: whether a premise list or the recorder list holds a NULL, and whether it has rows.
+    nulls = flags.agg(F.struct(F.coalesce(F.max(F.col("__prem").isNull() & F.col("__late")), F.lit(False)).alias("late"),
+                               F.coalesce(F.max(F.col("__prem").isNull() & F.col("__iee")), F.lit(False)).alias("iee"),
+                               F.coalesce(F.max(F.col("__prem").isNull() & F.col("__old")), F.lit(False)).alias("old"),
+                               F.count_if("__late").alias("n_late"), F.count_if("__iee").alias("n_iee"), F.count_if("__old").alias("n_old"))).scalar()
+    rec = recorders.agg(F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("__rec").isNull()), F.lit(False)).alias("null"))).scalar()
     a = app.where(~F.col("chnl_num").isin(*EXCLUDED_CHANNELS))
     a = _scoped(a, p.scopes.pb, "prem_num")
-    late_groups = (iee.groupBy("prem_num", "rcrdr_seq_num", "chnl_num").agg(F.min("rcrdr_strt_date").alias("__m"))
-                      .where(F.col("__m") > cutoff.cast("timestamp_ntz")).select("prem_num"))
-    old_app = app.groupBy("prem_num").agg(F.max("efct_end_date").alias("__m")).where(F.col("__m") < cutoff).select("prem_num")
-    a = setops.sql_in(a, "rcrdr_id", iee, "rcrdr_id", "__in_iee_rec")
-    a = setops.sql_in(a, "prem_num", late_groups, "prem_num", "__in_late")
-    a = setops.sql_in(a, "prem_num", iee, "prem_num", "__in_iee_prem")
-    a = setops.sql_in(a, "prem_num", old_app, "prem_num", "__in_old")
-    a = a.where(~F.col("__in_iee_rec") & (F.col("__in_late") | (~F.col("__in_iee_prem") & ~F.col("__in_old"))))
+    a = a.join(flags, a["prem_num"] == flags["__prem"], "left").join(recorders, a["rcrdr_id"] == recorders["__rec"], "left")
+
+    def member(hit: Column, key: str, n: Column, has_null: Column) -> Column:
+        return (F.when(F.coalesce(hit, F.lit(False)), F.lit(True)).when(n == 0, F.lit(False))
+                .when(F.col(key).isNull() | has_null, F.lit(None).cast("boolean")).otherwise(F.lit(False)))
+
+    in_rec = member(F.col("__in_rec"), "rcrdr_id", rec["n"], rec["null"])
+    in_late = member(F.col("__late"), "prem_num", nulls["n_late"], nulls["late"])
+    in_iee = member(F.col("__iee"), "prem_num", nulls["n_iee"], nulls["iee"])
+    in_old = member(F.col("__old"), "prem_num", nulls["n_old"], nulls["old"])
+    return a.where(~in_rec & (in_late | (~in_iee & ~in_old))).select(*app.columns)
+
+
+def _device_rows(t: Tables, p: RunParams, csnt: str, drop_g_recorders: bool) -> DataFrame:
+    """Both device sources in one shape (``tbl`` 1 = app, 2 = IEE)."""
+    iee = t["iee_pb_device"]
+    cutoff = lit_date(p.device_cutoff)
+    a = app_device_rows(t, p)
     a = a.select("prem_num", channel_number("fpl_mtr_num", "chnl_num", "rcrdr_seq_num").alias("rcrdr_seq_num"),
                  "rcrdr_id", "fpl_mtr_num", F.col("efct_strt_date").cast("date").alias("efct_strt_date"),
                  F.col("efct_end_date").cast("date").alias("efct_end_date"),
@@ -292,8 +336,8 @@ def _device_rows(t: Tables, p: RunParams, csnt: str, drop_g_recorders: bool) ->
                   & (F.col("rcrdr_end_date") >= cutoff.cast("timestamp_ntz")))
     if drop_g_recorders:
         i = i.where(~F.col("rcrdr_id").like("G%"))
-    i = dedupe.earliest_then_newest_load(i, ["prem_num", "rcrdr_id", "rcrdr_seq_num", "chnl_num", "rcrdr_end_date"],
-                                         "rcrdr_strt_date", "etl_batch_id")
+    key = ["prem_num", "rcrdr_id", "rcrdr_seq_num", "chnl_num", "rcrdr_end_date"]
+    i = dedupe.earliest_then_newest_load(i, key, "rcrdr_strt_date", "etl_batch_id", _rest(i, *key, "rcrdr_strt_date", "etl_batch_id"))
     i = i.select("prem_num", channel_number("fpl_mtr_num", "chnl_num", "rcrdr_seq_num").alias("rcrdr_seq_num"),
                  "rcrdr_id", "fpl_mtr_num", F.col("rcrdr_strt_date").cast("date").alias("efct_strt_date"),
                  F.col("rcrdr_end_date").cast("date").alias("efct_end_date"),
@@ -347,6 +391,7 @@ def meters_pb(t: Tables, p: RunParams) -> DataFrame:
 def commercial_reads(t: Tables, p: RunParams) -> DataFrame:
     """The five read sources of Q11 in one shape, each with its own unit and quality filter;
     ``src`` is the source priority tag, ``rcrdr_id`` has its letter prefix stripped."""
+    p.need("fetch_from", "fetch_to")
     lo, hi = lit_ts(p.fetch_from), lit_ts(p.fetch_to)
 
     def shape(df, tag, rid, meter, chnl, reading):
@@ -370,11 +415,12 @@ def commercial_reads(t: Tables, p: RunParams) -> DataFrame:
 
 
 def power_billing(t: Tables, p: RunParams) -> DataFrame:
-    """Q11: commercial interval reads matched to recorder intervals (2 keys + date, half-open at
-    the end), scaled by the constant, best source per (recorder, meter, channel, start) ∪ SST sums."""
+    """Q11: commercial interval reads matched to recorder intervals (2 keys + local date, half-open at
+    the end), scaled by the constant, best source per (recorder, meter, channel, start) ∪ SST sums.
+    ``read_strt_time`` is wall time in ``p.zone``, ``read_ts_utc`` the instant, as in Q12 and Q13."""
     f = commercial_reads(t, p)
     f = f.withColumn("read_start_time", minutes_before("read_end_time", READ_MINUTES)).withColumn(
-        "date_for", F.col("read_start_time").cast("date"))
+        "date_for", local_day("read_start_time", p.zone))
     d = recorder_intervals(t, p, "ke_csnt", drop_g_recorders=False).select(
         F.col("prem_num").alias("d_prem"), F.col("rcrdr_id").alias("d_rcrdr"), F.col("fpl_mtr_num").alias("d_mtr"),
         F.col("channel").alias("d_channel"), F.col("chnl_num").alias("d_chnl"), F.col("csnt").alias("d_csnt"),
@@ -385,37 +431,36 @@ def power_billing(t: Tables, p: RunParams) -> DataFrame:
     j = j.select(F.col("d_prem").alias("prem_num"), "src", "rcrdr_id", F.col("d_mtr").alias("fpl_mtr_num"),
                  F.col("d_channel").alias("channel"), F.round(F.col("mrdg") * F.col("d_csnt"), 6).alias("kwh"),
                  "read_start_time", "uom")
-    best = dedupe.priority_dedupe(j, ["rcrdr_id", "fpl_mtr_num", "channel", "read_start_time"], "src", "kwh")
+    best = dedupe.priority_dedupe(j, ["rcrdr_id", "fpl_mtr_num", "channel", "read_start_time"], "src", "kwh",
+                                  [F.col("prem_num").asc_nulls_last(), F.col("uom").asc_nulls_last()])
     reads = best.select(F.col("prem_num").cast("string").alias("premiseid"), F.col("fpl_mtr_num").alias("metertype"),
-                        F.col("read_start_time").alias("read_strt_time"), F.col("kwh").cast("double").alias("kwh"),
-                        F.col("rcrdr_id").alias("meterid"), "channel", "uom", F.lit(15).alias("spi"))
+                        wall_time("read_start_time", p.zone).alias("read_strt_time"), F.col("kwh").cast("double").alias("kwh"),
+                        F.col("rcrdr_id").alias("meterid"), "channel", "uom", F.lit(15).alias("spi"), F.col("read_start_time").alias("read_ts_utc"))
     sst = t["iee_pb_duration_read_fact"].where(
         F.col("itvl_chnl_num").cast("string").isin(*SST_CHANNELS) & P.closed("read_end_time", lit_ts(p.fetch_from), lit_ts(p.fetch_to))
         & P.status_ok("stat_code", "mrdg"))
     s = sst.groupBy("prem_num", "read_start_time", "itvl_len").agg(F.sum("mrdg").alias("kwh")).select(
         F.col("prem_num").cast("string").alias("premiseid"), F.lit(SST_TYPE).alias("metertype"),
-        F.col("read_start_time").alias("read_strt_time"), F.col("kwh").cast("double"), F.lit(SST_METER).alias("meterid"),
-        F.lit(SST_CHANNEL).alias("channel"), F.lit(UNIT_KWH).alias("uom"), F.col("itvl_len").cast("int").alias("spi"))
+        wall_time("read_start_time", p.zone).alias("read_strt_time"), F.col("kwh").cast("double"), F.lit(SST_METER).alias("meterid"),
+        F.lit(SST_CHANNEL).alias("channel"), F.lit(UNIT_KWH).alias("uom"), F.col("itvl_len").cast("int").alias("spi"),
+        F.col("read_start_time").alias("read_ts_utc"))
     return setops.union_all(reads.withColumn("channel", F.col("channel").cast("int")), s)
 
 
 # ---------------------------------------------------------------- Q12, Q13: mass-market reads
 
-def _ev_reads(t: Tables, p: RunParams, scope: DataFrame | None, public_only: bool) -> DataFrame:
+def _ev_reads(t: Tables, p: RunParams) -> DataFrame:
     """EV reads joined to the current site (2 keys) and the charger valid at the read
     (3 keys + closed range: a read on a shared edge matches twice, as in the reference)."""
     rh, s, cb = t["ev_read_hist"], _current_sites(t), t["ev_charge_box"]
     r = rh.where(F.lower("uom").isin("kwh", "wh") & P.half_open("read_strt_dttm", lit_ts(p.fetch_from), lit_ts(p.fetch_to))
                  & (F.col("mrdg") >= 0))
-    j = r.join(s, on=[r["site_pk"] == s["site_pk"], r["prod_id"] == s["prod_id"]], how="inner")
-    j = j.join(cb, on=[r["charge_box_id"] == cb["charge_box_id"], cb["connector_id"] == r["connector_id"],
-                       cb["site_pk"] == r["site_pk"], r["read_strt_dttm"] >= cb["efct_strt_dttm"],
-                       r["read_strt_dttm"] <= cb["efct_end_dttm"]], how="inner")
-    if public_only:
-        j = j.where(s["prod_id"] != PUBLIC_PRODUCT)
-    j = j.select(s["site_id"], cb["connector_type"], cb["charge_box_id"].cast("string").alias("charge_box_id"),
-                 r["read_strt_dttm"], r["mrdg"], r["uom"])
-    return _scoped(j, scope, "site_id")
+    j = r.join(s, on=[r["site_pk"] == s["site_pk"], r["prod_id"] == s["prod_id"]], how="inner").select(*[r[c] for c in r.columns], s["site_id"])
+    boxes = cb.select(*[F.col(c).alias(f"__{c}") for c in ("charge_box_id", "connector_id", "site_pk", "connector_type", "efct_strt_dttm", "efct_end_dttm")])
+    j = intervals.interval_join(j, boxes, [("charge_box_id", "__charge_box_id"), ("connector_id", "__connector_id"), ("site_pk", "__site_pk")],
+                                "read_strt_dttm", "__efct_strt_dttm", "__efct_end_dttm", closed=True)
+    return j.select("site_id", F.col("__connector_type").alias("connector_type"), F.col("charge_box_id").cast("string").alias("charge_box_id"),
+                    "read_strt_dttm", "mrdg", "uom", "prod_id")
 
 
 def _time_key(p: RunParams) -> Column:
@@ -428,6 +473,7 @@ def mass_market(t: Tables, p: RunParams, net_metered: bool) -> DataFrame:
     date (half-open); EV reads are summed per site, connector type, time, charger and unit.
     ``p.legacy_wall_time`` groups EV reads by wall time as the reference does (the two fall-back
     01:00 hours merge); ``False`` groups by the instant and still outputs wall time."""
+    p.need("fetch_from", "fetch_to")
     iv = utility_meter_intervals(t, patterns=NET_METER_PATTERNS if net_metered else None)
     m = t["meter_duration_read_fact"].where(P.half_open("read_strt_time", lit_ts(p.fetch_from), lit_ts(p.fetch_to))
                                             & P.good_reading("read_chnl_flag", "mrdg"))
@@ -441,25 +487,23 @@ def mass_market(t: Tables, p: RunParams, net_metered: bool) -> DataFrame:
     meter_reads = j.select(F.col("premiseid").cast("string"), F.col("metertype"), wall_time("read_strt_time", p.zone).alias("read_strt_time"),
                            F.round(F.col("mrdg") * F.col("metermtpl"), 4).cast("double").alias("kwh"),
                            F.col("ami_dvc_name").alias("meterid"), F.col("uiq_chnl_num").cast("int").alias("channel"),
-                           "uom", F.col("mrdg_drtn_scnd").cast("int").alias("spi"))
-    ev = _ev_reads(t, p, p.scopes.ev, public_only=False)
-    ev = ev.groupBy("site_id", "connector_type", _time_key(p).alias("__t"), "charge_box_id", "uom").agg(
-        F.sum("mrdg").alias("__sum"))
-    ev = ev.withColumn("kwh", F.when(F.lower("uom") == "wh", F.round("__sum", 4) / 1000).otherwise(F.round("__sum", 4)))
-    ev = ev.where(F.col("kwh") < EV_KWH_CAP)
+                           "uom", F.col("mrdg_drtn_scnd").cast("int").alias("spi"), F.col("read_strt_time").alias("read_ts_utc"))
+    joined = _ev_reads(t, p)
+    ev = _scoped(joined, p.scopes.ev, "site_id")
+    ev = units.sum_kwh_after(ev, ["site_id", "connector_type", _time_key(p).alias("__t"), "charge_box_id", "uom"], "mrdg", "uom", name="kwh", below=EV_KWH_CAP,
+                             also=[F.min("read_strt_dttm").alias("read_ts_utc")])
     wall = F.col("__t") if p.legacy_wall_time else wall_time("__t", p.zone)
     ev = ev.select(F.col("site_id").cast("string").alias("premiseid"), F.lit(EV_METER_TYPE).alias("metertype"),
                    wall.alias("read_strt_time"), F.col("kwh").cast("double"), F.col("charge_box_id").alias("meterid"),
-                   F.lit(EV_CHANNEL).alias("channel"), F.lit(UNIT_KWH).alias("uom"), F.lit(15).alias("spi"))
+                   F.lit(EV_CHANNEL).alias("channel"), F.lit(UNIT_KWH).alias("uom"), F.lit(15).alias("spi"), "read_ts_utc")
     parts = [meter_reads, ev]
     if not net_metered:
-        u = _ev_reads(t, p, p.scopes.uev_site, public_only=True)
+        u = _scoped(joined.where(F.col("prod_id") != PUBLIC_PRODUCT), p.scopes.uev_site, "site_id")
         u = units.sum_kwh_before(u, ["site_id", _time_key(p).alias("__t")], "mrdg", "uom", name="kwh",
-                                 round_each=4, case_insensitive=True, below=UEV_KWH_CAP)
-        wall = F.col("__t") if p.legacy_wall_time else wall_time("__t", p.zone)
+                                 round_each=4, case_insensitive=True, below=UEV_KWH_CAP, also=[F.min("read_strt_dttm").alias("read_ts_utc")])
         parts.append(u.select(F.col("site_id").cast("string").alias("premiseid"), F.lit(UEV_METER_TYPE).alias("metertype"),
                               wall.alias("read_strt_time"), F.col("kwh").cast("double"), F.lit(UEV_METER_ID).alias("meterid"),
-                              F.lit(UEV_CHANNEL).alias("channel"), F.lit(UNIT_KWH).alias("uom"), F.lit(15).alias("spi")))
+                              F.lit(UEV_CHANNEL).alias("channel"), F.lit(UNIT_KWH).alias("uom"), F.lit(15).alias("spi"), "read_ts_utc"))
     return setops.union_all(*parts)
 
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from decimal import Decimal
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadgrid.functions.columns import month_key
-from loadgrid.params import RunParams
+from loadgrid.params import RunParams, Scopes
 from loadgrid.plans import datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,7 +126,7 @@ def _views(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
                   F.trunc(F.col("o_orderdate").cast("date"), "month").alias("mtr_set_date"),
                   F.col("o_orderdate").cast("date").alias("efct_strt_date"),
                   F.date_add(F.col("o_orderdate").cast("date"), 90).alias("efct_end_date"))
-    cb = l.where(F.col("l_linenumber") <= 2).select(
+    cb = l.select(
         F.col("l_partkey").cast("string").alias("charge_box_id"), F.col("l_linenumber").alias("connector_id"),
         F.col("l_returnflag").alias("connector_type"), F.col("l_linestatus").alias("charge_point_serial_number"),
         F.col("l_suppkey").alias("site_pk"), F.lit(1).alias("prod_id"),
@@ -202,7 +203,7 @@ ev_charge_box AS (SELECT CAST(l_partkey AS VARCHAR) AS charge_box_id, l_linenumb
                          l_shipdate + to_days(CAST(l_quantity * 10 AS INTEGER)) AS efct_end_dttm,
                          CASE WHEN l_returnflag = 'R' THEN 'Asset In-Service' WHEN l_returnflag = 'A' THEN NULL ELSE 'Retired' END AS asset_status,
                          CASE WHEN l_linestatus = 'O' THEN 1500 ELSE NULL END AS sub_comp_cd
-                  FROM lineitem WHERE l_linenumber <= 2),
+                  FROM lineitem),
 ev_site AS (SELECT s_suppkey AS site_pk, 1 AS prod_id, 'SITE' || CAST(s_suppkey AS VARCHAR) AS site_id,
                    s_acctbal > 0 AS crnt_row_flag, CAST(s_nationkey AS VARCHAR) AS zip, s_name AS addr FROM supplier)
 """
@@ -226,9 +227,9 @@ _BACK_COND = f"""billingdata = true AND backdated_flag = true AND active_flag =
 _REPRO_JOIN = f"""study s JOIN study_to_reprocess r ON r.studyid = s.studyid AND r.validation_run_date IS NULL
   AND r.rltv_mo = {MONTH} WHERE s.billingdata = true"""
 
-_P_DAILY = RunParams(mode="daily", run_date=RUN_DATE)
-_P_BACK = RunParams(mode="backdate", month=MONTH, as_of=AS_OF)
-_P_REPRO = RunParams(mode="reprocess", month=MONTH, as_of=AS_OF)
+_P_DAILY = RunParams(mode="daily", run_date=RUN_DATE, company="FPL")
+_P_BACK = RunParams(mode="backdate", month=MONTH, as_of=AS_OF, company="FPL")
+_P_REPRO = RunParams(mode="reprocess", month=MONTH, as_of=AS_OF, company="FPL")
 
 
 @query("study_active", _with(f"SELECT s.*, DATE '{RUN_DATE}' AS greg_date FROM study s WHERE {_DAILY_COND}"))
@@ -455,20 +456,8 @@ def q_recorder_islands(spark, sf):
 @query("flag_rewrite", _with(_RECORDER_SQL.split("dev_rows AS")[0].rstrip().rstrip(",") + """
 SELECT prem_num, rcrdr_id, fpl_mtr_num, efct_strt_date, efct_end_date, chnl_num FROM app_ok"""))
 def q_flag_rewrite(spark, sf):
-    from loadgrid.operators import setops
-    v = _views(spark, sf)
-    app, iee = v["pb_app_device"], v["iee_pb_device"]
-    cutoff = F.lit(str(DEVICE_CUTOFF)).cast("date")
-    late = (iee.groupBy("prem_num", "rcrdr_seq_num", "chnl_num").agg(F.min("rcrdr_strt_date").alias("m"))
-               .where(F.col("m") > cutoff.cast("timestamp_ntz")).select("prem_num"))
-    old = app.groupBy("prem_num").agg(F.max("efct_end_date").alias("m")).where(F.col("m") < cutoff).select("prem_num")
-    a = app.where(~F.col("chnl_num").isin(3, 4))
-    a = setops.sql_in(a, "rcrdr_id", iee, "rcrdr_id", "in_rec")
-    a = setops.sql_in(a, "prem_num", late, "prem_num", "in_late")
-    a = setops.sql_in(a, "prem_num", iee, "prem_num", "in_iee")
-    a = setops.sql_in(a, "prem_num", old, "prem_num", "in_old")
-    a = a.where(~F.col("in_rec") & (F.col("in_late") | (~F.col("in_iee") & ~F.col("in_old"))))
-    return a.select("prem_num", "rcrdr_id", "fpl_mtr_num", "efct_strt_date", "efct_end_date", "chnl_num")
+    p = RunParams(mode="daily", run_date=RUN_DATE, device_cutoff=DEVICE_CUTOFF)
+    return datasets.app_device_rows(_views(spark, sf), p).select("prem_num", "rcrdr_id", "fpl_mtr_num", "efct_strt_date", "efct_end_date", "chnl_num")
 
 
 @query("device_dedupe", """
@@ -700,8 +689,14 @@ def _utc_sql(wall: str) -> str:
 _SHIFTED = f"ev AS (SELECT event_id, ts + INTERVAL {SHIFT_DAYS} DAY AS ts, user_id, event_type, value FROM events)"
 
 
-def _shifted(spark, sf):
+def _shifted(spark, sf, day: dt.date | None = None):
+    """Events moved by SHIFT_DAYS; with ``day`` bounded on the unshifted column, so that the bound reaches the scan."""
     e = _t(spark, sf, "events")
+    if day is not None:
+        from loadgrid.operators.timeseries import day_start_utc
+        shift = F.expr(f"INTERVAL {SHIFT_DAYS} DAYS")
+        d = F.lit(str(day)).cast("date")
+        e = e.where((F.col("ts") >= day_start_utc(d, ZONE) - shift) & (F.col("ts") < day_start_utc(F.date_add(d, 1), ZONE) - shift))
     return e.select("event_id", (F.col("ts") + F.expr(f"INTERVAL {SHIFT_DAYS} DAYS")).alias("ts"), "user_id", "event_type", "value")
 
 
@@ -745,18 +740,43 @@ def q_hour_histogram(spark, sf):
     return hour_histogram(e, "ts", ZONE)
 
 
-@query("day_completeness", f"""
-WITH {_SHIFTED}, d AS (SELECT CAST({_WALL} AS DATE) AS day, user_id, ts FROM ev)
-SELECT day, user_id, count(*) AS interval_count, count(DISTINCT date_trunc('hour', ts)) AS hour_count,
-       count(DISTINCT date_trunc('hour', {_WALL})) AS wall_hour_count,
-       {_expected_sql('day')} AS expected_intervals,
-       {_expected_sql('day')} - count(*) AS deficit
-FROM d GROUP BY day, user_id""")
+_COMPLETE_SQL = f"""
+WITH {_SHIFTED}, d AS (SELECT CAST({_WALL} AS DATE) AS day, user_id, ts FROM ev {{where}}),
+c AS (SELECT day, user_id, count(*) AS interval_count, count(DISTINCT date_trunc('hour', ts)) AS hour_count,
+             count(DISTINCT date_trunc('hour', {_WALL})) AS wall_hour_count FROM d GROUP BY day, user_id),
+s AS (SELECT user_id, CAST(unnest(generate_series(CAST({{lo}} AS TIMESTAMP), CAST({{hi}} AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM c GROUP BY user_id)
+SELECT s.day, s.user_id, coalesce(interval_count, 0) AS interval_count, coalesce(hour_count, 0) AS hour_count,
+       coalesce(wall_hour_count, 0) AS wall_hour_count, {_expected_sql('s.day')} AS expected_intervals,
+       {_expected_sql('s.day')} - coalesce(interval_count, 0) AS deficit
+FROM s LEFT JOIN c ON s.user_id = c.user_id AND s.day = c.day"""
+
+
+@query("day_completeness", _COMPLETE_SQL.format(where="", lo="min(day)", hi="max(day)"))
 def q_day_completeness(spark, sf):
     from loadgrid.operators.timeseries import completeness
     return completeness(_shifted(spark, sf), ["user_id"], "ts", ZONE)
 
 
+_DAY0, _DAY1 = FALL_BACK_DAY - dt.timedelta(days=2), FALL_BACK_DAY + dt.timedelta(days=2)
+
+
+@query("day_completeness_range", _COMPLETE_SQL.format(
+    where=f"WHERE CAST({_WALL} AS DATE) BETWEEN DATE '{_DAY0}' AND DATE '{_DAY1}'", lo=f"DATE '{_DAY0}'", hi=f"DATE '{_DAY1}'"))
+def q_day_completeness_range(spark, sf):
+    from loadgrid.operators.timeseries import completeness
+    return completeness(_shifted(spark, sf), ["user_id"], "ts", ZONE, first_day=_DAY0, last_day=_DAY1)
+
+
+@query("date_counts", f"""
+WITH {_SHIFTED}, d AS (SELECT CAST({_WALL} AS DATE) AS day, ts FROM ev),
+c AS (SELECT day, count(*) AS interval_count, count(DISTINCT date_trunc('hour', ts)) AS hour_count,
+             count(DISTINCT date_trunc('hour', {_WALL})) AS wall_hour_count FROM d GROUP BY day)
+SELECT *, {_expected_sql('day')} AS expected_intervals, {_expected_sql('day')} - interval_count AS deficit FROM c""")
+def q_date_counts(spark, sf):
+    from loadgrid.operators.timeseries import completeness
+    return completeness(_shifted(spark, sf), [], "ts", ZONE)
+
+
 def _bucket_sql(t: str) -> str:
     return f"(date_trunc('hour', {t}) + to_minutes(CAST(floor(minute({t}) / 15) * 15 AS INTEGER)))"
 
@@ -779,13 +799,14 @@ WHERE ts >= {_utc_sql(f"TIMESTAMP '{FALL_BACK_DAY} 00:00:00'")}
 def q_dst_day_bounds(spark, sf):
     from loadgrid.functions.columns import wall_time
     from loadgrid.operators.timeseries import local_day_filter
-    e = local_day_filter(_shifted(spark, sf), "ts", FALL_BACK_DAY, ZONE)
+    e = local_day_filter(_shifted(spark, sf, FALL_BACK_DAY), "ts", FALL_BACK_DAY, ZONE)
     return e.select("event_id", "user_id", "ts", wall_time("ts", ZONE).alias("wall_time"))
 
 
 _GRID_SQL = f"""
 WITH {_SHIFTED},
-b AS (SELECT user_id, {_bucket_sql('ts')} AS ts, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value,
+b AS (SELECT user_id, {_bucket_sql('ts')} AS ts, CASE WHEN bool_or(event_type = 'error') AND user_id % 2 = 1 THEN NULL
+                  ELSE CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) END AS value,
              bool_or(event_type = 'error') AS bad
       FROM ev GROUP BY user_id, {_bucket_sql('ts')}),
 g AS (SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL 15 MINUTE)) AS ts FROM b GROUP BY user_id),
@@ -812,7 +833,7 @@ def q_grid_gapfill(spark, sf):
 
 
 def _flagged_grid(spark, sf, fill: bool):
-    from loadgrid.operators.timeseries import fill_between_readings, floor_minutes
+    from loadgrid.operators.timeseries import fill_between_readings
     b = _buckets(spark, sf).withColumn("__f", F.when(F.col("bad"), F.lit("B")).otherwise(F.lit("A")))
     out = fill_between_readings(b, ["user_id"], "ts", "value", 15, flag="flag", name="filled", flag_col="__f")
     return out if fill else out.drop("filled")
@@ -821,21 +842,10 @@ def _flagged_grid(spark, sf, fill: bool):
 def _buckets(spark, sf):
     from loadgrid.operators.timeseries import floor_minutes
     e = _shifted(spark, sf)
-    return e.groupBy("user_id", floor_minutes("ts").alias("ts")).agg(
+    b = e.groupBy("user_id", floor_minutes("ts").alias("ts")).agg(
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"),
         F.max(F.col("event_type") == "error").alias("bad"))
-
-
-def _flagged_grid_via_grid(spark, sf, fill: bool):
-    """The same result built literally: grid, left join, window fill (kept for tests)."""
-    from loadgrid.operators.timeseries import fill_linear, flag_gaps, time_grid
-    b = _buckets(spark, sf)
-    grid = time_grid(b, ["user_id"], "ts", 15)
-    f = flag_gaps(grid, b, ["user_id"], "ts")
-    f = f.withColumn("flag", F.when((F.col("flag") == "A") & F.col("bad"), F.lit("B")).otherwise(F.col("flag"))).drop("bad")
-    if fill:
-        f = fill_linear(f, ["user_id"], "ts", "value", "filled")
-    return f
+    return b.withColumn("value", F.when(~(F.col("bad") & (F.col("user_id") % 2 == 1)), F.col("value")))
 
 
 @query("interp_share", _GRID_SQL + f"""
@@ -846,34 +856,45 @@ SELECT CAST({_WALL} AS DATE) AS greg_date, user_id,
        count(*) AS n_intervals
 FROM f GROUP BY 1, 2""")
 def q_interp_share(spark, sf):
-    from loadgrid.operators.timeseries import interval_shares
     from loadgrid.operators.timeseries import interval_shares_from_readings
     # Shares need counts only: grid points per (user, local day) are computed from the bounds.
     b = _buckets(spark, sf).withColumn("flag", F.when(F.col("bad"), F.lit("B")).otherwise(F.lit("A")))
     return interval_shares_from_readings(b, ["user_id"], "ts", "flag", 15, ZONE)
 
 
-@query("stage_triage", f"""
+_TRIAGE_EXPECTED = (f"CAST((epoch({_utc_sql('CAST(day + INTERVAL 1 DAY AS TIMESTAMP)')}) - "
+                    f"epoch({_utc_sql('CAST(day AS TIMESTAMP)')})) / 3600 AS INTEGER)")
+_TRIAGE_SQL = f"""
 WITH {_SHIFTED},
-src AS (SELECT CAST({_WALL} AS DATE) AS day, count(DISTINCT date_trunc('hour', ts)) AS source_hours FROM ev GROUP BY 1),
-prc AS (SELECT CAST({_WALL} AS DATE) AS day, count(DISTINCT date_trunc('hour', ts)) AS processed_hours
-        FROM ev WHERE event_type <> 'error' GROUP BY 1),
-outp AS (SELECT CAST({_WALL} AS DATE) AS day, count(DISTINCT date_trunc('hour', {_WALL})) AS output_hours
-         FROM ev WHERE event_type <> 'error' GROUP BY 1),
-t AS (SELECT coalesce(src.day, prc.day, outp.day) AS day, coalesce(source_hours, 0) AS source_hours,
-             coalesce(processed_hours, 0) AS processed_hours, coalesce(output_hours, 0) AS output_hours
-      FROM src FULL JOIN prc ON src.day = prc.day FULL JOIN outp ON coalesce(src.day, prc.day) = outp.day)
-SELECT day, source_hours, processed_hours, output_hours,
-       CAST((epoch({_utc_sql("CAST(day + INTERVAL 1 DAY AS TIMESTAMP)")}) - epoch({_utc_sql("CAST(day AS TIMESTAMP)")})) / 3600 AS INTEGER) AS expected_hours,
-       CASE WHEN source_hours < CAST((epoch({_utc_sql("CAST(day + INTERVAL 1 DAY AS TIMESTAMP)")}) - epoch({_utc_sql("CAST(day AS TIMESTAMP)")})) / 3600 AS INTEGER) THEN 'upstream'
-            WHEN processed_hours < source_hours THEN 'processing'
-            WHEN output_hours < processed_hours THEN 'output' ELSE 'ok' END AS verdict
-FROM t""")
+h AS (SELECT user_id % 3 AS grp, CAST({_WALL} AS DATE) AS day, date_trunc('hour', ts) AS h, date_trunc('hour', {_WALL}) AS wh,
+             event_type <> 'error' OR user_id % 3 = 0 AS p, (event_type <> 'error' AND value < 400) OR user_id % 3 < 2 AS o FROM ev),
+t AS (SELECT grp, day, count(DISTINCT h) AS source_hours, count(DISTINCT CASE WHEN p THEN h END) AS processed_hours,
+             count(DISTINCT CASE WHEN p THEN wh END) AS processed_wall,
+             count(DISTINCT CASE WHEN p AND o THEN {{hour}} END) AS output_hours FROM h GROUP BY grp, day)
+SELECT grp, day, source_hours, processed_hours, output_hours, {_TRIAGE_EXPECTED} AS expected_hours,
+       CASE WHEN source_hours < {_TRIAGE_EXPECTED} THEN 'upstream' WHEN processed_hours < source_hours THEN 'processing'
+            WHEN output_hours < {{before}} THEN 'output' ELSE 'ok' END AS verdict
+FROM t"""
+
+
+def _stages(spark, sf):
+    e = _shifted(spark, sf).withColumn("grp", F.col("user_id") % 3)
+    processed = e.where((F.col("event_type") != "error") | (F.col("grp") == 0))
+    return e, processed, processed.where(((F.col("event_type") != "error") & (F.col("value") < 400)) | (F.col("grp") < 2))
+
+
+@query("stage_triage", _TRIAGE_SQL.format(hour="h", before="processed_hours"))
 def q_stage_triage(spark, sf):
     from loadgrid.operators.timeseries import stage_triage
-    e = _shifted(spark, sf)
-    kept = e.where(F.col("event_type") != "error")
-    return stage_triage(e, kept, kept, "ts", ZONE)
+    return stage_triage(*_stages(spark, sf), "ts", ZONE, keys=["grp"])
+
+
+@query("stage_triage_wall", _TRIAGE_SQL.format(hour="wh", before="processed_wall"))
+def q_stage_triage_wall(spark, sf):
+    from loadgrid.functions.columns import wall_time
+    from loadgrid.operators.timeseries import stage_triage
+    e, processed, output = _stages(spark, sf)
+    return stage_triage(e, processed, output.select("grp", wall_time("ts", ZONE).alias("wall")), "ts", ZONE, keys=["grp"], output_wall="wall")
 
 
 # ------------------------------------------------------------------ audit gate, monthly average
@@ -882,34 +903,36 @@ def q_stage_triage(spark, sf):
 WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS audit_id, c_mktsegment AS etl_process_detail_id,
                   CASE WHEN o_orderpriority = '1-URGENT' THEN 'target-write' ELSE 'transform' END AS step,
                   CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'success' END AS etl_process_status
-           FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'),
+           FROM orders JOIN customer ON o_custkey = c_custkey),
 g AS (SELECT audit_id, etl_process_detail_id, count(*) AS n_rows, count(*) FILTER (WHERE step = 'target-write') AS target_writes,
              count(*) FILTER (WHERE etl_process_status = 'error') AS errors FROM a GROUP BY 1, 2),
-r AS (SELECT CAST(c_custkey AS VARCHAR) AS audit_id, c_mktsegment AS etl_process_detail_id FROM customer)
-SELECT r.audit_id, r.etl_process_detail_id, coalesce(n_rows, 0) AS n_rows, coalesce(target_writes, 0) AS target_writes,
+r AS (SELECT CAST(c_custkey AS VARCHAR) AS audit_id, c_mktsegment AS etl_process_detail_id,
+             CAST(c_custkey % 4 + 1 AS INTEGER) AS expected_steps FROM customer)
+SELECT r.audit_id, r.etl_process_detail_id, r.expected_steps, coalesce(n_rows, 0) AS n_rows, coalesce(target_writes, 0) AS target_writes,
        coalesce(errors, 0) AS errors,
-       CASE WHEN n_rows IS NULL THEN 'ED125' WHEN target_writes <> 1 THEN 'ED124' WHEN errors > 0 THEN 'ED126' ELSE 'PASS' END AS status_code
+       CASE WHEN n_rows IS NULL THEN 'ED125' WHEN target_writes <> expected_steps THEN 'ED124' WHEN errors > 0 THEN 'ED126' ELSE 'PASS' END AS status_code
 FROM r LEFT JOIN g ON r.audit_id = g.audit_id AND r.etl_process_detail_id = g.etl_process_detail_id""")
 def q_audit_gate(spark, sf):
     from loadgrid.operators.audit import audit_gate
     o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
-    a = o.where(F.col("o_orderdate") >= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")).join(c, o["o_custkey"] == c["c_custkey"]).select(
+    a = o.join(c, o["o_custkey"] == c["c_custkey"]).select(
         F.col("o_custkey").cast("string").alias("audit_id"), F.col("c_mktsegment").alias("etl_process_detail_id"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "target-write").otherwise("transform").alias("step"),
         F.when(F.col("o_orderstatus") == "P", "error").otherwise("success").alias("etl_process_status"))
-    runs = c.select(F.col("c_custkey").cast("string").alias("audit_id"), F.col("c_mktsegment").alias("etl_process_detail_id"))
-    return audit_gate(runs, a, expected_steps=1)
+    runs = c.select(F.col("c_custkey").cast("string").alias("audit_id"), F.col("c_mktsegment").alias("etl_process_detail_id"),
+                    (F.col("c_custkey") % 4 + 1).cast("int").alias("expected_steps"))
+    return audit_gate(runs, a, expected_steps="expected_steps")
 
 
 @query("last_n_periods", """
 WITH bills AS (SELECT o_custkey AS prem_num, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS rltv_mo,
-                      CAST(day(o_orderdate) + 20 AS INTEGER) AS service_days, CAST(o_totalprice AS DECIMAL(18,2)) AS total_kwh
+                      CAST(day(o_orderdate) + 20 AS INTEGER) AS service_days, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 1.25 AS DECIMAL(18,4)) AS total_kwh
                FROM orders),
 m AS (SELECT prem_num, rltv_mo, service_days, sum(total_kwh) AS total_kwh,
              dense_rank() OVER (PARTITION BY prem_num ORDER BY rltv_mo DESC NULLS FIRST) AS seq_num
       FROM bills GROUP BY prem_num, rltv_mo, service_days)
 SELECT prem_num,
-       CAST((2 * CAST(sum(total_kwh) * 100 AS HUGEINT) * 3000 + sum(service_days)) // (2 * sum(service_days)) AS DOUBLE)
+       CAST((2 * CAST(sum(total_kwh) * 10000 AS HUGEINT) * 30 + sum(service_days)) // (2 * sum(service_days)) AS DOUBLE)
          / 10000 AS avgmonthlykwh,
        count(DISTINCT rltv_mo) AS num_months_monthlyavg
 FROM m WHERE seq_num <= 6 GROUP BY prem_num""")
@@ -917,7 +940,7 @@ def q_last_n_periods(spark, sf):
     o = _t(spark, sf, "orders")
     bills = o.select(F.col("o_custkey").alias("prem_num"), month_key("o_orderdate").alias("rltv_mo"),
                      (F.dayofmonth("o_orderdate") + 20).alias("service_days"),
-                     F.col("o_totalprice").cast("decimal(18,2)").alias("total_kwh"))
+                     (F.col("o_totalprice").cast("decimal(18,2)") * F.lit(Decimal("1.25"))).cast("decimal(18,4)").alias("total_kwh"))
     return _dbl(datasets.monthly_average(bills, 6), "avgmonthlykwh")
 
 
@@ -953,7 +976,7 @@ def _bill_views(spark, sf):
     acct = F.concat(F.lit("A"), F.col("o_custkey").cast("string"))
     bdf = o.select(month_key("o_orderdate").alias("rltv_mo"), acct.alias("cust_acct_num"), F.col("o_custkey").alias("prem_num"),
                    F.date_sub(od, 30).alias("rdg_from_date"), od.alias("rdg_to_date"),
-                   F.col("o_totalprice").cast("decimal(18,2)").alias("total_kwh"),
+                   (F.col("o_totalprice").cast("decimal(18,2)") * F.lit(Decimal("1.25"))).cast("decimal(18,4)").alias("total_kwh"),
                    F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("string")).otherwise(F.col("o_orderpriority")).alias("rate_schd_cd"),
                    F.col("o_custkey").cast("string").alias("cust_num"), F.date_add(od, 3).alias("bill_date"),
                    (F.dayofmonth(od) + 20).alias("service_days"),
@@ -962,10 +985,10 @@ def _bill_views(spark, sf):
                    F.lit(1).cast("decimal(18,2)").alias("ev_off_peak_kwh"),
                    F.when(F.col("o_orderpriority") == "5-LOW", F.lit(1)).otherwise(F.lit(2)).alias("debit_stat_cd"),
                    F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("1091")).otherwise(F.lit("1000")).alias("bus_cd"))
-    nm = o.where(F.col("o_orderpriority") == "1-URGENT").select(
+    nm = o.select(
         F.col("o_custkey").alias("prem_num"), od.alias("stat_date"),
         F.when(F.col("o_orderstatus") == "F", F.lit("Completed")).otherwise(F.lit("Pending")).alias("stat_name"),
-        F.lit(1500).alias("cd_sub_cmpny"))
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(1500)).otherwise(F.lit(1600)).alias("cd_sub_cmpny"))
     prem = c.select(F.col("c_custkey").alias("prem_num"), F.col("c_nationkey").cast("string").alias("prem_zip_cd"),
                     F.lit("1900-01-01 00:00:00").cast("timestamp_ntz").alias("efct_strt_dttm"),
                     F.when(F.col("c_acctbal") < 0, F.lit("1998-01-01 00:00:00")).otherwise(F.lit("9999-12-31 00:00:00"))
@@ -988,7 +1011,7 @@ _BILL_SQL = f"""
 WITH bill_detail_fact AS (
   SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS rltv_mo, 'A' || CAST(o_custkey AS VARCHAR) AS cust_acct_num,
          o_custkey AS prem_num, CAST(CAST(o_orderdate AS DATE) - INTERVAL 30 DAY AS DATE) AS rdg_from_date,
-         CAST(o_orderdate AS DATE) AS rdg_to_date, CAST(o_totalprice AS DECIMAL(18,2)) AS total_kwh,
+         CAST(o_orderdate AS DATE) AS rdg_to_date, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 1.25 AS DECIMAL(18,4)) AS total_kwh,
          CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS rate_schd_cd, CAST(o_custkey AS VARCHAR) AS cust_num,
          CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 DAY AS DATE) AS bill_date, CAST(day(o_orderdate) + 20 AS INTEGER) AS service_days,
          CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_totalprice / 100 AS DECIMAL(18,2)) END AS ev_on_peak_kwh,
@@ -998,8 +1021,9 @@ WITH bill_detail_fact AS (
   FROM orders),
 net_meter_application AS (
   SELECT o_custkey AS prem_num, CAST(o_orderdate AS DATE) AS stat_date,
-         CASE WHEN o_orderstatus = 'F' THEN 'Completed' ELSE 'Pending' END AS stat_name, 1500 AS cd_sub_cmpny
-  FROM orders WHERE o_orderpriority = '1-URGENT'),
+         CASE WHEN o_orderstatus = 'F' THEN 'Completed' ELSE 'Pending' END AS stat_name,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 1500 ELSE 1600 END AS cd_sub_cmpny
+  FROM orders),
 premise AS (
   SELECT c_custkey AS prem_num, CAST(c_nationkey AS VARCHAR) AS prem_zip_cd, TIMESTAMP '1900-01-01 00:00:00' AS efct_strt_dttm,
          CASE WHEN c_acctbal < 0 THEN TIMESTAMP '1998-01-01 00:00:00' ELSE TIMESTAMP '9999-12-31 00:00:00' END AS efct_end_dttm,
@@ -1023,7 +1047,7 @@ m AS (SELECT prem_num, rltv_mo, service_days, sum(total_kwh) AS total_kwh,
       FROM usable WHERE bill_date >= DATE '1997-06-01' AND bill_date < DATE '1998-07-15' AND rltv_mo <= {BILL_MONTH}
       GROUP BY prem_num, rltv_mo, service_days),
 amu AS (SELECT prem_num,
-               CAST((2 * CAST(sum(total_kwh) * 100 AS HUGEINT) * 3000 + sum(service_days)) // (2 * sum(service_days)) AS DOUBLE)
+               CAST((2 * CAST(sum(total_kwh) * 10000 AS HUGEINT) * 30 + sum(service_days)) // (2 * sum(service_days)) AS DOUBLE)
                  / 10000 AS avgmonthlykwh,
                count(DISTINCT rltv_mo) AS num_months_monthlyavg
         FROM m WHERE seq_num <= 6 GROUP BY prem_num),
@@ -1054,3 +1078,321 @@ def q_bill_enriched(spark, sf):
                   avg_months=6)
     out = datasets.mada(_bill_views(spark, sf), p)
     return _dbl(out, "billkwh", "avgmonthlykwh", "evkwh")
+
+
+# ------------------------------------------------------------------ the read datasets (Q10-Q14) over derived read tables
+
+#: January 2024 moved to October 1998: the fall-back day is 1998-10-25 and the devices of lineitem are in service.
+READ_SHIFT_DAYS = 9213
+READ_FROM, READ_TO = dt.datetime(1990, 1, 1), dt.datetime(2010, 1, 1)
+SST_CUTOFF = dt.date(1998, 10, 20)
+READ_FALL_BACK = dt.date(1998, 10, 25)
+
+_READ_SQL = f"""
+ev AS (SELECT event_id, user_id, event_type, value, CAST(user_id % 50 + 1 AS VARCHAR) AS rid, CAST(event_id % 2 + 1 AS INTEGER) AS chnl,
+              date_trunc('hour', ts - INTERVAL {READ_SHIFT_DAYS} DAY) + to_minutes(CAST(event_id % 4 * 15 AS INTEGER)) AS slot,
+              CAST(floor(value / 5) AS DECIMAL(18,2)) AS reading FROM events),
+iee_pb_duration_read_fact AS (
+  SELECT user_id AS prem_num, 'AM' || rid AS ami_dvc_name, chnl AS phys_chnl_num,
+         CASE event_id % 3 WHEN 0 THEN '622' WHEN 1 THEN '623' ELSE '1' END AS itvl_chnl_num, slot - INTERVAL 15 MINUTE AS read_start_time,
+         slot AS read_end_time, reading AS mrdg, CAST(CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 2 END AS DECIMAL(18,2)) AS pulse_multp,
+         CASE WHEN event_id % 11 = 0 THEN 'KVARH' ELSE 'KWH' END AS uom, CASE WHEN event_id % 13 = 0 THEN 'Register' ELSE 'Interval' END AS read_type,
+         'Interval' AS channel_type, CASE WHEN event_id % 7 = 0 THEN NULL WHEN value > 300 THEN 'POWER_FAIL' WHEN value < 10 THEN 'IRREGULAR' ELSE 'OK' END AS stat_code,
+         15 AS itvl_len FROM ev WHERE event_type = 'purchase'),
+pb_tms_duration_read_fact AS (SELECT rid AS rcrdr_id, chnl AS phys_chnl_num, slot AS read_end_time, reading AS mrdg_raw_valu, 'kwh' AS uom FROM ev WHERE event_type = 'error'),
+pb_duration_read_fact AS (
+  SELECT 'SG' || rid AS ami_dvc_name, chnl AS uiq_chnl_num, slot AS read_end_time, reading AS mrdg_raw_valu,
+         CASE event_id % 4 WHEN 0 THEN 'KWH (REC)' WHEN 1 THEN 'kwhreceive' WHEN 2 THEN 'KVA' ELSE 'KWH' END AS uom,
+         CASE WHEN value > 300 THEN 'Skipped' WHEN value < 10 THEN 'Partial' ELSE NULL END AS read_chnl_flag FROM ev WHERE event_type = 'view'),
+pb_app_duration_read_fact AS (SELECT rid AS rcrdr_id, 'M' || rid AS fpl_mtr_num, chnl AS phys_chnl_num, slot AS read_end_time, reading AS mrdg_raw_valu, 'KWH' AS uom
+                              FROM ev WHERE event_type = 'click'),
+pb_mv90_duration_read_fact AS (
+  SELECT rid AS rcrdr_id, 'M' || rid AS fpl_mtr_num, chnl AS phys_chnl_num, slot AS read_end_time, reading AS mrdg_raw_valu, 'KWH' AS uom,
+         CASE WHEN value > 300 THEN 'PO' WHEN value < 10 THEN 'E' ELSE NULL END AS itvl_stat FROM ev WHERE event_type = 'signup'),
+meter_duration_read_fact AS (
+  SELECT 'M' || CAST(user_id AS VARCHAR) AS ami_dvc_name, slot AS read_strt_time, CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(value AS DECIMAL(18,4)) END AS mrdg,
+         CAST(event_id % 4 + 1 AS INTEGER) AS uiq_chnl_num, CASE event_id % 3 WHEN 0 THEN 'KWH' WHEN 1 THEN 'mywh' ELSE 'KVARH' END AS uom, 900 AS mrdg_drtn_scnd,
+         CASE WHEN event_id % 19 = 0 THEN 'Skipped' ELSE NULL END AS read_chnl_flag FROM ev),
+ev_read_hist AS (
+  SELECT l_suppkey AS site_pk, CASE WHEN l_linenumber = 3 THEN 3 ELSE 1 END AS prod_id, CAST(l_partkey AS VARCHAR) AS charge_box_id, l_linenumber AS connector_id,
+         l_shipdate + to_hours(CAST(l_orderkey % 48 AS INTEGER)) AS read_strt_dttm, CAST(CAST(l_quantity AS DECIMAL(18,2)) * 0.1 AS DECIMAL(18,4)) AS mrdg,
+         CASE l_returnflag WHEN 'R' THEN 'Wh' WHEN 'A' THEN 'kWh' ELSE 'KWH' END AS uom FROM lineitem),
+mm_meter AS (
+  SELECT c_custkey AS prem_num, 'M' || CAST(c_custkey AS VARCHAR) AS ami_dvc_name, CASE c_custkey % 3 WHEN 0 THEN 'ABCDEN' WHEN 1 THEN 'ABCDEFG' ELSE 'ABCDENX' END AS fpl_mtr_num,
+         CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CAST(c_custkey % 4 + 1 AS DECIMAL(18,2)) END AS kwh_csnt,
+         CAST(DATE '1998-01-01' + CAST(c_custkey % 200 + 250 * k AS INTEGER) AS DATE) AS mtr_set_date, CAST(DATE '1998-01-01' + CAST(c_custkey % 200 + 250 * k AS INTEGER) AS DATE) AS efct_strt_date,
+         CAST(DATE '1999-06-30' + CAST(k AS INTEGER) AS DATE) AS efct_end_date FROM customer, range(2) r(k) WHERE k = 0 OR c_custkey % 2 = 0)"""
+
+
+def _read_views(spark, sf):
+    e = _t(spark, sf, "events")
+    n = F.col("event_id")
+    slot = (F.date_trunc("hour", F.col("ts") - F.expr(f"INTERVAL {READ_SHIFT_DAYS} DAYS")) + F.make_dt_interval(mins=(n % 4 * 15).cast("int"))).alias("slot")
+    e = e.select("event_id", "user_id", "event_type", "value", (F.col("user_id") % 50 + 1).cast("string").alias("rid"), (n % 2 + 1).cast("int").alias("chnl"), slot,
+                 F.floor(F.col("value") / 5).cast("decimal(18,2)").alias("reading"))
+    v = F.col("value")
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    end, reading = F.col("slot").alias("read_end_time"), F.col("reading").alias("mrdg_raw_valu")
+    rid, chnl, mtr = F.col("rid").alias("rcrdr_id"), F.col("chnl").alias("phys_chnl_num"), F.concat(F.lit("M"), F.col("rid")).alias("fpl_mtr_num")
+    iee = of("purchase").select(
+        F.col("user_id").alias("prem_num"), F.concat(F.lit("AM"), F.col("rid")).alias("ami_dvc_name"), chnl,
+        F.when(n % 3 == 0, "622").when(n % 3 == 1, "623").otherwise("1").alias("itvl_chnl_num"), (F.col("slot") - F.expr("INTERVAL 15 MINUTES")).alias("read_start_time"), end,
+        F.col("reading").alias("mrdg"), F.when(n % 5 == 0, 0).when(n % 5 == 1, 4).otherwise(2).cast("decimal(18,2)").alias("pulse_multp"),
+        F.when(n % 11 == 0, "KVARH").otherwise("KWH").alias("uom"), F.when(n % 13 == 0, "Register").otherwise("Interval").alias("read_type"), F.lit("Interval").alias("channel_type"),
+        F.when(n % 7 == 0, F.lit(None)).when(v > 300, "POWER_FAIL").when(v < 10, "IRREGULAR").otherwise("OK").alias("stat_code"), F.lit(15).alias("itvl_len"))
+    tms = of("error").select(rid, chnl, end, reading, F.lit("kwh").alias("uom"))
+    sg = of("view").select(F.concat(F.lit("SG"), F.col("rid")).alias("ami_dvc_name"), F.col("chnl").alias("uiq_chnl_num"), end, reading,
+                           F.when(n % 4 == 0, "KWH (REC)").when(n % 4 == 1, "kwhreceive").when(n % 4 == 2, "KVA").otherwise("KWH").alias("uom"),
+                           F.when(v > 300, "Skipped").when(v < 10, "Partial").alias("read_chnl_flag"))
+    app = of("click").select(rid, mtr, chnl, end, reading, F.lit("KWH").alias("uom"))
+    mv = of("signup").select(rid, mtr, chnl, end, reading, F.lit("KWH").alias("uom"), F.when(v > 300, "PO").when(v < 10, "E").alias("itvl_stat"))
+    meter = e.select(F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("ami_dvc_name"), F.col("slot").alias("read_strt_time"),
+                     F.when(n % 17 != 0, v.cast("decimal(18,4)")).alias("mrdg"), (n % 4 + 1).cast("int").alias("uiq_chnl_num"),
+                     F.when(n % 3 == 0, "KWH").when(n % 3 == 1, "mywh").otherwise("KVARH").alias("uom"), F.lit(900).alias("mrdg_drtn_scnd"),
+                     F.when(n % 19 == 0, "Skipped").alias("read_chnl_flag"))
+    l = _t(spark, sf, "lineitem")
+    hist = l.select(F.col("l_suppkey").alias("site_pk"), F.when(F.col("l_linenumber") == 3, 3).otherwise(1).alias("prod_id"), F.col("l_partkey").cast("string").alias("charge_box_id"),
+                    F.col("l_linenumber").alias("connector_id"), (F.col("l_shipdate") + F.make_dt_interval(hours=(F.col("l_orderkey") % 48).cast("int"))).alias("read_strt_dttm"),
+                    (F.col("l_quantity").cast("decimal(18,2)") * F.lit(Decimal("0.1"))).cast("decimal(18,4)").alias("mrdg"),
+                    F.when(F.col("l_returnflag") == "R", "Wh").when(F.col("l_returnflag") == "A", "kWh").otherwise("KWH").alias("uom"))
+    c = _t(spark, sf, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    k = F.col("c_custkey")
+    c = c.where((F.col("k") == 0) | (k % 2 == 0))
+    set_date = F.date_add(F.lit("1998-01-01").cast("date"), (k % 200 + 250 * F.col("k")).cast("int"))
+    pm = c.select(k.alias("prem_num"), F.concat(F.lit("M"), k.cast("string")).alias("ami_dvc_name"),
+                  F.when(k % 3 == 0, "ABCDEN").when(k % 3 == 1, "ABCDEFG").otherwise("ABCDENX").alias("fpl_mtr_num"),
+                  F.when(k % 10 != 0, (k % 4 + 1).cast("decimal(18,2)")).alias("kwh_csnt"), set_date.alias("mtr_set_date"), set_date.alias("efct_strt_date"),
+                  F.date_add(F.lit("1999-06-30").cast("date"), F.col("k").cast("int")).alias("efct_end_date"))
+    return {**_views(spark, sf), "iee_pb_duration_read_fact": iee, "pb_tms_duration_read_fact": tms, "pb_duration_read_fact": sg, "pb_app_duration_read_fact": app,
+            "pb_mv90_duration_read_fact": mv, "meter_duration_read_fact": meter, "ev_read_hist": hist, "premise_meter": pm}
+
+
+def _read_params(**more) -> RunParams:
+    return RunParams(mode="daily", run_date=RUN_DATE, device_cutoff=DEVICE_CUTOFF, sst_cutoff=SST_CUTOFF, fetch_from=READ_FROM, fetch_to=READ_TO, **more)
+
+
+def _with_reads(sql: str) -> str:
+    return "WITH " + VIEWS_SQL.strip() + ",\n" + _READ_SQL.strip() + ",\n" + sql.strip()
+
+
+def _wall_sql(t: str) -> str:
+    return f"(({t} AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')"
+
+
+_STRIP = "CASE WHEN regexp_matches({0}, '[A-Za-z]') THEN substring({0}, 3) ELSE {0} END"
+_WINDOW = f"read_end_time BETWEEN TIMESTAMP '{READ_FROM}' AND TIMESTAMP '{READ_TO}'"
+_STATUS = "stat_code NOT LIKE '%POWER_FAIL%' AND NOT (stat_code LIKE '%IRREGULAR%' AND mrdg = 0)"
+_COMMERCIAL_SQL = f"""
+reads AS (
+  SELECT '1_IEE' AS src, {_STRIP.format('ami_dvc_name')} AS rcrdr_id, phys_chnl_num AS chnl_num, read_end_time,
+         CAST(mrdg / nullif(pulse_multp, 0) AS DECIMAL(18,6)) AS mrdg, uom
+  FROM iee_pb_duration_read_fact WHERE uom IN ('KWH') AND {_WINDOW} AND read_type = 'Interval' AND channel_type = 'Interval' AND {_STATUS}
+  UNION ALL SELECT '5_TMS', {_STRIP.format('rcrdr_id')}, phys_chnl_num, read_end_time, mrdg_raw_valu, uom FROM pb_tms_duration_read_fact WHERE upper(uom) = 'KWH' AND {_WINDOW}
+  UNION ALL SELECT '3_SG', {_STRIP.format('ami_dvc_name')}, uiq_chnl_num, read_end_time, mrdg_raw_valu, uom FROM pb_duration_read_fact
+  WHERE upper(uom) IN ('KWH', 'KWH (RECEIVED)', 'KWH (REC)', 'KWHRECEIVE') AND {_WINDOW}
+    AND coalesce(read_chnl_flag, '') NOT LIKE '%Skipped%' AND NOT (coalesce(read_chnl_flag, '') LIKE '%Partial%' AND mrdg_raw_valu = 0)
+  UNION ALL SELECT '2_APP', {_STRIP.format('rcrdr_id')}, phys_chnl_num, read_end_time, mrdg_raw_valu, uom FROM pb_app_duration_read_fact WHERE upper(uom) = 'KWH' AND {_WINDOW}
+  UNION ALL SELECT '4_MV90', {_STRIP.format('rcrdr_id')}, phys_chnl_num, read_end_time, mrdg_raw_valu, uom FROM pb_mv90_duration_read_fact
+  WHERE upper(uom) = 'KWH' AND {_WINDOW} AND coalesce(itvl_stat, '') <> 'PO' AND NOT (itvl_stat IS NOT NULL AND mrdg_raw_valu = 0)),
+timed AS (SELECT *, read_end_time - INTERVAL 15 MINUTE AS read_start_time FROM reads),
+dated AS (SELECT *, CAST(CAST({_wall_sql('read_start_time')} AS DATE) AS TIMESTAMP) AS date_for FROM timed),
+matched AS (SELECT d.prem_num, f.src, f.rcrdr_id, d.fpl_mtr_num, d.channel, round(f.mrdg * d.csnt, 6) AS kwh, f.read_start_time, f.uom
+            FROM dated f JOIN recorders d ON d.rcrdr_id = f.rcrdr_id AND d.chnl_num = f.chnl_num AND d.end_date > f.date_for AND d.start_date <= f.date_for),
+best AS (SELECT *, row_number() OVER (PARTITION BY rcrdr_id, fpl_mtr_num, channel, read_start_time
+                                      ORDER BY src ASC NULLS LAST, kwh ASC NULLS LAST, prem_num ASC NULLS LAST, uom ASC NULLS LAST) AS rn FROM matched)"""
+_SST_SQL = f"""SELECT CAST(prem_num AS VARCHAR), 'XXXXXXX', {_wall_sql('read_start_time')}, CAST(sum(mrdg) AS DOUBLE), 'SST', 629, 'kwh', CAST(itvl_len AS INTEGER), read_start_time
+FROM iee_pb_duration_read_fact WHERE itvl_chnl_num IN ('622', '623') AND {_WINDOW} AND {_STATUS} GROUP BY prem_num, read_start_time, itvl_len"""
+
+
+@query("power_billing", _with_reads(_RECORDER_SQL.format(csnt="ke_csnt", g_filter="") + "," + _COMMERCIAL_SQL + f"""
+SELECT CAST(prem_num AS VARCHAR) AS premiseid, fpl_mtr_num AS metertype, {_wall_sql('read_start_time')} AS read_strt_time, CAST(kwh AS DOUBLE) AS kwh,
+       rcrdr_id AS meterid, CAST(channel AS INTEGER) AS channel, uom, 15 AS spi, read_start_time AS read_ts_utc FROM best WHERE rn = 1
+UNION ALL {_SST_SQL}"""))
+def q_power_billing(spark, sf):
+    return datasets.power_billing(_read_views(spark, sf), _read_params())
+
+
+@query("meters_pb", _with_reads(_RECORDER_SQL.format(csnt="rgstr_csnt", g_filter="AND rcrdr_id NOT LIKE 'G%'") + f"""
+SELECT prem_num AS premiseid, rcrdr_id AS meterid, fpl_mtr_num AS metertype, channel, chnl_num, CAST(csnt AS DOUBLE) AS metermtpl, CAST(grp AS BIGINT) AS grp,
+       start_date AS meterstart, end_date AS meterstop FROM recorders
+UNION ALL
+SELECT prem_num, 'SST', 'XXXXXXX', 629, 1, CAST(1 AS DOUBLE), CAST(0 AS BIGINT), min(read_start_time), TIMESTAMP '9999-12-31 00:00:00'
+FROM iee_pb_duration_read_fact WHERE itvl_chnl_num = '622' AND read_end_time >= TIMESTAMP '{SST_CUTOFF} 00:00:00' GROUP BY prem_num"""))
+def q_meters_pb(spark, sf):
+    return _dbl(datasets.meters_pb(_read_views(spark, sf), _read_params()), "metermtpl")
+
+
+_EV_JOIN_SQL = f"""
+evj AS (SELECT s.site_id, cb.connector_type, r.charge_box_id, r.read_strt_dttm, r.mrdg, r.uom, r.prod_id
+        FROM ev_read_hist r JOIN ev_site s ON r.site_pk = s.site_pk AND r.prod_id = s.prod_id AND s.crnt_row_flag = true
+        JOIN ev_charge_box cb ON r.charge_box_id = cb.charge_box_id AND cb.connector_id = r.connector_id AND cb.site_pk = r.site_pk
+         AND r.read_strt_dttm >= cb.efct_strt_dttm AND r.read_strt_dttm <= cb.efct_end_dttm
+        WHERE lower(r.uom) IN ('kwh', 'wh') AND r.read_strt_dttm >= TIMESTAMP '{READ_FROM}' AND r.read_strt_dttm < TIMESTAMP '{READ_TO}' AND r.mrdg >= 0)"""
+
+
+def _mass_market_sql(channels: str, patterns: str, public: bool, legacy: bool = False, scope: tuple[str, str, str] = ("", "", "")) -> str:
+    t = _wall_sql("read_strt_dttm") if legacy else "read_strt_dttm"
+    wall = "t" if legacy else _wall_sql("t")
+    chain = _CHAIN_SQL.replace("premise_meter", "mm_meter").format(extra=patterns)
+    sql = chain + "," + _EV_JOIN_SQL + f""",
+evg AS (SELECT site_id, connector_type, {t} AS t, charge_box_id, uom, min(read_strt_dttm) AS first_utc,
+               CASE WHEN lower(uom) = 'wh' THEN round(sum(mrdg), 4) * 0.001 ELSE round(sum(mrdg), 4) END AS kwh
+        FROM evj {scope[1]} GROUP BY site_id, connector_type, {t}, charge_box_id, uom),
+uev AS (SELECT site_id, {t} AS t, min(read_strt_dttm) AS first_utc, sum(CASE WHEN lower(uom) = 'wh' THEN round(mrdg, 4) * 0.001 ELSE round(mrdg, 4) END) AS kwh
+        FROM (SELECT * FROM evj {scope[2]}) e WHERE prod_id <> 3 GROUP BY site_id, {t}
+        HAVING sum(CASE WHEN lower(uom) = 'wh' THEN round(mrdg, 4) * 0.001 ELSE round(mrdg, 4) END) < 150)
+SELECT CAST(c.premiseid AS VARCHAR) AS premiseid, c.metertype, {_wall_sql('m.read_strt_time')} AS read_strt_time, CAST(round(m.mrdg * c.metermtpl, 4) AS DOUBLE) AS kwh,
+       m.ami_dvc_name AS meterid, CAST(m.uiq_chnl_num AS INTEGER) AS channel, m.uom, CAST(m.mrdg_drtn_scnd AS INTEGER) AS spi, m.read_strt_time AS read_ts_utc
+FROM meter_duration_read_fact m JOIN chain c ON m.ami_dvc_name = c.meterid
+ AND c.meterstart <= CAST({_wall_sql('m.read_strt_time')} AS DATE) AND c.meterstop > CAST({_wall_sql('m.read_strt_time')} AS DATE)
+WHERE m.read_strt_time >= TIMESTAMP '{READ_FROM}' AND m.read_strt_time < TIMESTAMP '{READ_TO}' AND m.read_chnl_flag IS NULL AND m.mrdg IS NOT NULL AND {channels} {scope[0]}
+UNION ALL
+SELECT site_id, 'evmeter', {wall}, CAST(kwh AS DOUBLE), charge_box_id, 1000, 'kwh', 15, first_utc FROM evg WHERE kwh < 6"""
+    if public:
+        sql += f"\nUNION ALL\nSELECT site_id, 'uevmeter', {wall}, CAST(kwh AS DOUBLE), 'uevmeterid', 2000, 'kwh', 15, first_utc FROM uev"
+    return _with_reads(sql)
+
+
+_NM = ("m.uiq_chnl_num IN (2, 4)", "AND (fpl_mtr_num LIKE '%N' OR fpl_mtr_num LIKE '_____N%')", False)
+_NOT_NM = ("m.uiq_chnl_num = 1 AND upper(m.uom) IN ('MYWH', 'KWH')", "", True)
+
+
+@query("mass_market_nm", _mass_market_sql(*_NM))
+def q_mass_market_nm(spark, sf):
+    return datasets.mass_market_nm(_read_views(spark, sf), _read_params())
+
+
+@query("mass_market_nm_wall", _mass_market_sql(*_NM, legacy=True))
+def q_mass_market_nm_wall(spark, sf):
+    return datasets.mass_market_nm(_read_views(spark, sf), _read_params(legacy_wall_time=True))
+
+
+@query("mass_market_not_nm", _mass_market_sql(*_NOT_NM))
+def q_mass_market_not_nm(spark, sf):
+    return datasets.mass_market_not_nm(_read_views(spark, sf), _read_params())
+
+
+@query("ev_time_probe", _with_reads(f"""
+p AS (SELECT r.read_strt_dttm, {_wall_sql('r.read_strt_dttm')} AS eastern_time, cb.charge_box_id
+      FROM ev_read_hist r JOIN ev_site s ON r.site_pk = s.site_pk AND s.crnt_row_flag = true AND s.site_id = 'SITE7'
+      JOIN ev_charge_box cb ON r.charge_box_id = cb.charge_box_id AND cb.connector_id = r.connector_id
+      WHERE r.read_strt_dttm >= {_utc_sql(f"TIMESTAMP '{READ_FALL_BACK} 00:00:00'")}
+        AND r.read_strt_dttm < {_utc_sql(f"TIMESTAMP '{READ_FALL_BACK + dt.timedelta(days=1)} 00:00:00'")})
+SELECT * FROM p ORDER BY read_strt_dttm NULLS LAST, charge_box_id NULLS LAST LIMIT 20"""))
+def q_ev_time_probe(spark, sf):
+    return datasets.tz_probe(_read_views(spark, sf), "SITE7", READ_FALL_BACK, ZONE)
+
+
+# ------------------------------------------------------------------ other run modes, scopes, diagnostics' arguments
+
+@query("month_join_daily", _with(_UEVMADA_SQL.format(cal_filter="AND greg_date = DATE '1998-08-08'")))
+def q_month_join_daily(spark, sf):
+    out = datasets.uevmada(_views(spark, sf), RunParams(mode="daily", run_date=dt.date(1998, 8, 8)))
+    return _dbl(out, "billkwh", "evkwh")
+
+
+@query("latest_per_key_backdate", ORACLE["latest_per_key"])
+def q_latest_per_key_backdate(spark, sf):
+    return datasets.uevcust(_views(spark, sf), RunParams(mode="backdate", month=MONTH, as_of=AS_OF, bill_to_date=ACCOUNT_CUTOFF))
+
+
+BILL_DAY = dt.date(1998, 7, 6)
+_BASE_DAILY = f"base AS (SELECT * FROM usable WHERE rltv_mo BETWEEN 199806 AND 199808 AND bill_date = DATE '{BILL_DAY}' AND bus_cd NOT IN ('1091', '1092', '1093')),"
+_BILL_DAILY_SQL = (_BILL_SQL[:_BILL_SQL.index("base AS (")] + _BASE_DAILY + "\n" + _BILL_SQL[_BILL_SQL.index("m AS (SELECT"):]).replace(
+    f"FROM usable WHERE bill_date >= DATE '1997-06-01' AND bill_date < DATE '1998-07-15' AND rltv_mo <= {BILL_MONTH}",
+    f"FROM usable WHERE bill_date >= DATE '{AS_OF}' - INTERVAL 60 MONTH")
+
+
+def _daily_bills(**more) -> RunParams:
+    return RunParams(mode="daily", run_date=BILL_DAY, as_of=AS_OF, month_from=199806, month_to=199808, interval_months=60, avg_months=6, **more)
+
+
+@query("bill_enriched_daily", _BILL_DAILY_SQL)
+def q_bill_enriched_daily(spark, sf):
+    return _dbl(datasets.mada(_bill_views(spark, sf), _daily_bills()), "billkwh", "avgmonthlykwh", "evkwh")
+
+
+def _scope(spark, sf, table: str, key: str, name: str, where) -> DataFrame:
+    return _t(spark, sf, table).where(where).select(F.col(key).alias(name))
+
+
+@query("scope_mada", _BILL_DAILY_SQL + "\nWHERE b.prem_num IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def q_scope_mada(spark, sf):
+    keys = _scope(spark, sf, "customer", "c_custkey", "prem_num", F.col("c_mktsegment") == "BUILDING")
+    return _dbl(datasets.mada(_bill_views(spark, sf), _daily_bills(scopes=Scopes(mada=keys))), "billkwh", "avgmonthlykwh", "evkwh")
+
+
+@query("scope_uev", ORACLE["latest_per_key"] + " AND premiseid IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def q_scope_uev(spark, sf):
+    keys = _scope(spark, sf, "customer", "c_custkey", "install_num", F.col("c_mktsegment") == "BUILDING")
+    return datasets.uevcust(_views(spark, sf), RunParams(mode="daily", run_date=ACCOUNT_CUTOFF, scopes=Scopes(uev=keys)))
+
+
+@query("scope_pb", (ORACLE["flag_rewrite"] + " WHERE prem_num IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"))
+def q_scope_pb(spark, sf):
+    keys = _scope(spark, sf, "supplier", "s_suppkey", "prem_num", F.col("s_acctbal") > 0)
+    p = RunParams(mode="daily", run_date=RUN_DATE, device_cutoff=DEVICE_CUTOFF, scopes=Scopes(pb=keys))
+    return datasets.app_device_rows(_views(spark, sf), p).select("prem_num", "rcrdr_id", "fpl_mtr_num", "efct_strt_date", "efct_end_date", "chnl_num")
+
+
+@query("scope_reads", _mass_market_sql(*_NOT_NM, scope=(
+    "AND m.ami_dvc_name IN (SELECT 'M' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)",
+    "WHERE site_id IN (SELECT 'SITE' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey < 10)",
+    "WHERE site_id IN (SELECT 'SITE' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey > 15)")))
+def q_scope_reads(spark, sf):
+    s = _t(spark, sf, "supplier").select("s_nationkey", F.concat(F.lit("SITE"), F.col("s_suppkey").cast("string")).alias("site_id"))
+    meters = _t(spark, sf, "customer").where(F.col("c_acctbal") > 0).select(F.concat(F.lit("M"), F.col("c_custkey").cast("string")).alias("ami_dvc_name"))
+    scopes = Scopes(meter=meters, ev=s.where(F.col("s_nationkey") < 10).select("site_id"), uev_site=s.where(F.col("s_nationkey") > 15).select("site_id"))
+    return datasets.mass_market_not_nm(_read_views(spark, sf), _read_params(scopes=scopes))
+
+
+@query("variable", "SELECT r_name AS name, CAST(r_regionkey AS VARCHAR) AS value FROM region")
+def q_variable(spark, sf):
+    t = {"variable": _t(spark, sf, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("string").alias("value"))}
+    return datasets.variable(t)
+
+
+@query("hour_histogram_day", f"""
+WITH {_SHIFTED}
+SELECT date_trunc('hour', {_WALL}) AS hour_local, date_trunc('hour', ts) AS utc_hour, count(*) AS record_count
+FROM ev WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND CAST({_WALL} AS DATE) = DATE '{FALL_BACK_DAY}'
+GROUP BY 1, 2 ORDER BY 1, 2""")
+def q_hour_histogram_day(spark, sf):
+    from loadgrid.operators.timeseries import hour_histogram
+    c = _t(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("user_id"))
+    return hour_histogram(_shifted(spark, sf, FALL_BACK_DAY), "ts", ZONE, day=FALL_BACK_DAY, series=c, ordered=True)
+
+
+@query("interp_share_range", ORACLE["interp_share"].replace("FROM f GROUP BY 1, 2", f"FROM f WHERE CAST({_WALL} AS DATE) BETWEEN DATE '{_DAY0}' AND DATE '{_DAY1}' GROUP BY 1, 2"))
+def q_interp_share_range(spark, sf):
+    from loadgrid.operators.timeseries import interval_shares_from_readings
+    b = _buckets(spark, sf).withColumn("flag", F.when(F.col("bad"), F.lit("B")).otherwise(F.lit("A")))
+    return interval_shares_from_readings(b, ["user_id"], "ts", "flag", 15, ZONE, first_day=_DAY0, last_day=_DAY1, ordered=True)
+
+
+@query("epoch_round_trip", "SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS secs, date_trunc('second', ts) AS back FROM events")
+def q_epoch_round_trip(spark, sf):
+    from loadgrid.functions.columns import epoch_seconds, from_epoch_seconds
+    return _t(spark, sf, "events").select("event_id", epoch_seconds("ts").alias("secs"), from_epoch_seconds(epoch_seconds("ts")).alias("back"))
+
+
+@query("control_totals", """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END) AS declared_rows FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1),
+l AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS loaded_rows FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1)
+SELECT coalesce(d.d, l.d) AS file_date, CAST(declared_rows AS BIGINT) AS declared_rows, loaded_rows, coalesce(declared_rows = loaded_rows, false) AS matches
+FROM d FULL JOIN l ON d.d = l.d""")
+def q_control_totals(spark, sf):
+    from loadgrid.operators.audit import control_totals
+    o = _t(spark, sf, "orders").withColumn("file_date", F.col("o_orderdate").cast("date"))
+    declared = o.where(F.col("o_orderpriority") != "5-LOW").select("file_date", F.when(F.col("o_orderstatus") == "P", 2).otherwise(1).alias("number_rows"))
+    return control_totals(declared, o.where(F.col("o_orderpriority") != "4-NOT SPECIFIED"), "file_date")
+
+
+@query("positional_read", "SELECT n_nationkey AS c0, n_name AS c1, n_regionkey AS c2 FROM nation")
+def q_positional_read(spark, sf):
+    from pyspark.sql.types import StructType
+    from loadgrid.sources.catalog import unloaded_files
+    path = os.path.join(sf, "nation.parquet")
+    kinds = {f.name: f for f in spark.read.parquet(path).schema.fields}
+    schema = StructType([kinds[c] for c in ("n_nationkey", "n_name", "n_regionkey")])
+    return unloaded_files(spark, path, schema, ["c0", "c1", "c2"])

@@ -53,8 +53,9 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    Uses ``spark.checkpoint.dir`` (or an already set SparkContext checkpoint dir). Only when
-    neither is set — local tests — a scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` (or an already set SparkContext checkpoint dir). Only where
+    neither is set and driver and executors are one local process - tests - a scratch folder is
+    created and registered.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,7 +65,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="loadgrid-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)

@@ -184,20 +184,72 @@ def test_audit_store_roundtrip(spark):
     assert len(got) == 1 and got[0].step == "target-write"
 
 
+def _flagged_grid_via_grid(spark, sf, fill):
+    """The result built literally: grid, left join, window fill."""
+    from loadgrid.plans.driver_queries import _buckets
+    b = _buckets(spark, sf)
+    f = timeseries.flag_gaps(timeseries.time_grid(b, ["user_id"], "ts", 15), b, ["user_id"], "ts")
+    f = f.withColumn("flag", F.when((F.col("flag") == "A") & F.col("bad"), F.lit("B")).otherwise(F.col("flag"))).drop("bad")
+    return timeseries.fill_linear(f, ["user_id"], "ts", "value", "filled") if fill else f
+
+
 def test_fill_between_readings_equals_grid_form(spark):
-    from loadgrid.plans.driver_queries import _flagged_grid, _flagged_grid_via_grid
+    from loadgrid.plans.driver_queries import _flagged_grid
     sf = "/root/testdata/sf0.001"
     fast = _flagged_grid(spark, sf, fill=True)
     slow = _flagged_grid_via_grid(spark, sf, fill=True)
+    assert fast.where("value IS NULL AND flag = 'B'").count() > 0        # readings without a value are filled too
     cols = ("user_id", "ts", "value", "flag", "filled")
     assert rows(fast, *cols) == rows(slow, *cols)
 
 
+def test_fill_between_readings_with_nulls_and_long_gap(spark):
+    base = T(2024, 1, 1, 22, 0)
+    at = lambda i: base + dt.timedelta(minutes=15 * i)
+    got = timeseries.fill_between_readings(spark.createDataFrame(
+        [(1, at(0), 1.0), (1, at(1), None), (1, at(4), 5.0), (1, at(404), 405.0), (2, at(0), None)], "u int, ts timestamp_ntz, v double"), ["u"], "ts", "v").collect()
+    one = sorted((r.ts, r.v, r.flag, r.filled) for r in got if r.u == 1 and r.ts <= at(4))
+    assert [(r[2], r[3]) for r in one] == [("A", 1.0), ("A", 2.0), ("I", 3.0), ("I", 4.0), ("A", 5.0)]
+    assert sorted(r.filled for r in got if r.u == 1) == [float(i) for i in range(1, 406)]
+    assert [r.filled for r in got if r.u == 2] == [None]
+
+
+def test_completeness_reports_missing_days(spark):
+    d0 = T(2025, 11, 1, 4, 0)
+    ts = [d0 + dt.timedelta(minutes=15 * i) for i in range(96)] + [d0 + dt.timedelta(hours=49, minutes=15 * i) for i in range(96)]
+    df = spark.createDataFrame([("m", t) for t in ts], "k string, ts timestamp_ntz")
+    got = {r.day: (r.interval_count, r.expected_intervals, r.deficit) for r in timeseries.completeness(df, ["k"], "ts").collect()}
+    assert got == {D(2025, 11, 1): (96, 96, 0), D(2025, 11, 2): (0, 100, 100), D(2025, 11, 3): (96, 96, 0)}
+    wide = timeseries.completeness(df, ["k"], "ts", first_day="2025-10-31", last_day="2025-11-04")
+    assert [r[1] for r in rows(wide, "day", "interval_count")] == [0, 96, 0, 96, 0]
+    assert [r[1] for r in rows(timeseries.completeness(df, [], "ts"), "day", "interval_count")] == [96, 0, 96]
+
+
+def test_stage_triage_per_series(spark):
+    day = [T(2025, 11, 2, 4, 0) + dt.timedelta(hours=i) for i in range(25)]           # the fall-back day
+    mk = lambda spec: spark.createDataFrame([(k, t) for k, hours in spec for t in hours], "k string, ts timestamp_ntz")
+    src = mk([("ok", day), ("up", day[:20]), ("proc", day), ("out", day)])
+    prc = mk([("ok", day), ("up", day[:20]), ("proc", day[:24]), ("out", day)])
+    out = mk([("ok", day), ("up", day[:20]), ("proc", day[:24]), ("out", day[:-1])])
+    want = {"ok": "ok", "up": "upstream", "proc": "processing", "out": "output"}
+    assert dict(rows(timeseries.stage_triage(src, prc, out, "ts", keys=["k"]), "k", "verdict")) == want
+    wall = out.select("k", C.wall_time("ts").alias("w"))
+    assert dict(rows(timeseries.stage_triage(src, prc, wall, "ts", keys=["k"], output_wall="w"), "k", "verdict")) == want
+
+
+def test_islands_by_bucket_equal_plain_islands(spark):
+    rows_ = [(i % 3, "a" if (i // 4) % 2 else "b", T(2024, 1, 1) + dt.timedelta(hours=5 * i), i) for i in range(60)]
+    df = spark.createDataFrame(rows_, "k int, run string, ts timestamp_ntz, id int")
+    order = [F.col("ts").asc(), F.col("id").asc()]
+    cols = ("k", "run", "ts", "id", "grp")
+    plain = intervals.islands(df, ["k"], ["run"], order)
+    assert rows(intervals.islands(df, ["k"], ["run"], order, bucket=F.to_date("ts")), *cols) == rows(plain, *cols)
+
+
 def test_shares_from_readings_equal_grid_shares(spark):
-    from loadgrid.operators.timeseries import interval_shares, interval_shares_from_readings
-    from loadgrid.plans.driver_queries import ZONE, _buckets, _flagged_grid_via_grid
+    from loadgrid.plans.driver_queries import ZONE, _buckets
     sf = "/root/testdata/sf0.001"
-    slow = interval_shares(_flagged_grid_via_grid(spark, sf, fill=False), ["user_id"], "ts", "flag", ZONE)
+    slow = timeseries.interval_shares(_flagged_grid_via_grid(spark, sf, fill=False), ["user_id"], "ts", "flag", ZONE)
     b = _buckets(spark, sf).withColumn("flag", F.when(F.col("bad"), F.lit("B")).otherwise(F.lit("A")))
-    fast = interval_shares_from_readings(b, ["user_id"], "ts", "flag", 15, ZONE)
+    fast = timeseries.interval_shares_from_readings(b, ["user_id"], "ts", "flag", 15, ZONE)
     assert rows(fast, *slow.columns) == rows(slow)

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from loadgrid.plans import driver_queries
 from tools.oracle_check import TABLES, compare
 
 SF = os.environ.get("LOADGRID_TEST_SF", "/root/testdata/sf0.001")
@@ -22,7 +23,7 @@ def con():
 
 
 def test_every_query_has_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(driver_queries.QUERIES) - set(driver_queries.ORACLE)
     assert not missing, missing
 
 
@@ -31,7 +32,7 @@ def test_entry_runs(spark):
     assert df.count() >= 0 and len(df.columns) > 0
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(driver_queries.QUERIES))
 def test_query_matches_oracle(spark, con, name):
     ok, msg, _ = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
     assert ok, "\n".join(map(str, msg))
