@@ -13,8 +13,10 @@ stored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -47,26 +49,48 @@ class WordIds:
     """Ids of white-space separated words as little-endian uint32 bytes, kept between batches.
 
     The tokenizer drops white space and never lets a token span it, so a text's ids are those of its
-    words in order. New words are encoded together and cut apart by their offsets.
+    words in order. New words are encoded together. A word of lower-case letters alone is one piece, whose last
+    token is marked as the end of a word; all other words are cut apart by their offsets.
+    Words that were not seen for a while are forgotten, half of the kept ones at a time.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path, self.known, self.tokenizer = path, {}, Tokenizer.from_file(path)
+        self.path, self.known, self.old, self.tokenizer = path, {}, {}, Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _keep(self, words: list[str], ids: np.ndarray, cut: list[int]) -> None:
+        raw = ids.tobytes()
+        for k, w in enumerate(words):
+            self.known[w.encode()] = raw[4 * cut[k]:4 * cut[k + 1]]
 
     def learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), CALL_WORDS):
-            part = [w.decode() for w in words[i:i + CALL_WORDS]]
+        plain, other = [], []
+        for raw in words:
+            w = raw.decode()
+            letters = self.ends is not None and w.isalpha() and w.islower() and is_normalized("NFC", w)
+            (plain if letters else other).append(w)
+        for i in range(0, len(plain), CALL_WORDS):
+            part = plain[i:i + CALL_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cut) == len(part) + 1:
+                self._keep(part, ids, cut)
+            else:
+                other += part
+        for i in range(0, len(other), CALL_WORDS):
+            part = other[i:i + CALL_WORDS]
             enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(enc.ids, "<u4")
             starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
             at = np.array([o[0] for o in enc.offsets], np.int64) if len(ids) else np.zeros(0, np.int64)
-            cut = [*np.searchsorted(at, starts).tolist(), len(ids)]
-            raw = ids.tobytes()
-            for k, w in enumerate(words[i:i + CALL_WORDS]):
-                self.known[w] = raw[4 * cut[k]:4 * cut[k + 1]]
+            self._keep(part, ids, [*np.searchsorted(at, starts).tolist(), len(ids)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes, without the end id."""
@@ -74,18 +98,21 @@ class WordIds:
         for t in texts:
             raw = t.encode()
             split.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens are case-sensitive
-        new = set().union(*split) - self.known.keys()
+        if len(self.known) > KEPT_WORDS // 2:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = set().union(*split) - known.keys()
         if new:
-            if len(self.known) + 2 * len(new) > KEPT_WORDS:
-                self.known.clear()
-                new = set().union(*split)
+            known.update((w, old[w]) for w in new & old.keys())
+            new -= known.keys()
             # A mark after a letter is a token of its own: such a word is its stem's ids and the mark's.
             marked = {w for w in new if w[-1] in MARKS and len(w) > 1 and 97 <= w[-2] <= 122 and b"<|" not in w}
-            stems = {w[:-1] for w in marked} | {w[-1:] for w in marked}
-            self.learn(sorted((new - marked | stems) - self.known.keys()))
+            stems = ({w[:-1] for w in marked} | {w[-1:] for w in marked}) - known.keys()
+            known.update((w, old[w]) for w in stems & old.keys())
+            self.learn(sorted((new - marked | stems) - known.keys()))
             for w in marked:
-                self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+                known[w] = known[w[:-1]] + known[w[-1:]]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _ENCODERS: dict[str, WordIds] = {}
