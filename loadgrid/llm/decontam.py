@@ -32,11 +32,12 @@ NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 UNITS = ("km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|"
          "weeks?|months?|years?|mph|kmh|dollars?|euros?|cents?|usd|eur|percent|degrees?")
 
-_NUMBER = r"(?<![^ ])[-+(]*[$€£]?[0-9][0-9.,:/]*[0-9]?[%€$)]*[.,;:!?]*(?![^ ])"
-_GLUED = rf"(?<![^ ])[-+(]*[0-9][0-9.,]*(?i:{UNITS})[)]*[.,;:!?]*(?![^ ])"
-_UNIT = rf"(?<={NUM} )(?i:{UNITS})[.,;:!?)]*(?![^ ])"
-_NAME = r"(?<=[^ .!?:] )[(\"']*\p{Lu}\p{Ll}[\p{L}'-]*[.,;:!?)\"']*(?![^ ])"
-_EDGE = r"(?<![^ ])[^\p{L}\p{N}< ]+|[^\p{L}\p{N}> ]+(?![^ ])"
+# Possessive and anchored at a token's edge, so that long runs of marks or digits cost no second look.
+_NUMBER = r"(?<![^ ])[-+(]*+[$€£]?[0-9][0-9.,:/]*+[%€$)]*+[.,;:!?]*+(?![^ ])"
+_GLUED = rf"(?<![^ ])[-+(]*+[0-9][0-9.,]*+(?i:{UNITS})[)]*+[.,;:!?]*+(?![^ ])"
+_UNIT = rf"(?<={NUM} )(?i:{UNITS})[.,;:!?)]*+(?![^ ])"
+_NAME = r"(?<=[^ .!?:] )[(\"']*+\p{Lu}\p{Ll}[\p{L}'-]*+[.,;:!?)\"']*+(?![^ ])"
+_EDGE = r"(?<![^ ])[^\p{L}\p{N}< ]++|(?<=[\p{L}\p{N}>])[^\p{L}\p{N}> ]++(?![^ ])"
 
 
 def raw_text(text: Column) -> Column:

@@ -73,7 +73,7 @@ RULES = (
 )
 
 #: A sentence ends at . ! ? ; : before white space or the end, and at an empty line.
-END = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|\n[\x20\x09]*\n"
+END = r"(?<![.!?;:])[.!?;:]++(?:[\x20\x09-\x0D]+|$)|\n[\x20\x09]*\n"
 
 
 def normalised(sentence: Column) -> Column:
@@ -90,7 +90,8 @@ def known_sentences(docs: DataFrame, sentences: DataFrame) -> DataFrame:
     pieces = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", END)).alias("piece", "_p"))
     lines = F.when(F.contains(F.col("_p"), F.lit("\n")), F.concat(F.array("_p"), F.split("_p", "\n"))).otherwise(F.array("_p"))
     parts = pieces.select("doc_id", "_text", "piece", F.posexplode(lines).alias("line", "_s"))
-    return (parts.withColumn("sentence", normalised(F.col("_s"))).filter(F.col("sentence") != "")
+    # The key is never null (no known sentence is empty), so that no null test computes it a second time.
+    return (parts.withColumn("sentence", F.coalesce(normalised(F.col("_s")), F.lit("")))
             .join(sentences, "sentence").select("doc_id", "_text", "piece", "line", "sentence_id"))
 
 
