@@ -517,26 +517,22 @@ WHERE rn = 1""")
 def q_priority_dedupe(spark, sf):
     from loadgrid.functions import predicates as P
     from loadgrid.functions.columns import minutes_before, strip_id_prefix
-    from loadgrid.operators import dedupe, setops
-    e = _t(spark, sf, "events").select(
-        "user_id", "event_type", "value", (F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")).alias("read_end_time"),
-        F.floor(F.col("value") / 5).cast("decimal(18,2)").alias("mrdg"))
-    v = F.col("value")
-    by = {t: e.where(F.col("event_type") == t) for t, _ in _SOURCES}
-    iee = by["purchase"].withColumn("stat_code", F.when(v > 300, "POWER_FAIL").when(v < 10, "IRREGULAR").otherwise("OK")) \
-        .where(P.status_ok("stat_code", "mrdg"))
-    sg = by["view"].withColumn("flag", F.when(v > 300, "Skipped").when(v < 10, "Partial")) \
-        .where(P.channel_flag_ok("flag", "mrdg"))
-    mv = by["signup"].withColumn("itvl_stat", F.when(v > 300, "PO").when(v < 10, "E")) \
-        .where(P.interval_status_ok("itvl_stat", "mrdg"))
-
-    def shape(df, tag, prefix):
-        rid = F.concat(F.lit(prefix), F.col("user_id").cast("string")) if prefix else F.col("user_id").cast("string")
-        return df.select(F.lit(tag).alias("src"), strip_id_prefix(rid).alias("rcrdr_id"), "read_end_time", "mrdg")
-
-    f = setops.union_all(shape(iee, "1_IEE", "AM"), shape(by["click"], "2_APP", None), shape(sg, "3_SG", "SG"),
-                         shape(mv, "4_MV90", None), shape(by["error"], "5_TMS", None))
-    f = f.withColumn("date_for", minutes_before("read_end_time").cast("date"))
+    from loadgrid.operators import dedupe
+    v, kind = F.col("value"), F.col("event_type")
+    reading = F.floor(v / 5).cast("decimal(18,2)")
+    # One scan: the source is a tag of the row, and so is the filter that applies to it.
+    status = F.when(v > 300, "POWER_FAIL").when(v < 10, "IRREGULAR").otherwise("OK")
+    flag = F.when(v > 300, "Skipped").when(v < 10, "Partial")
+    itvl = F.when(v > 300, "PO").when(v < 10, "E")
+    good = (F.when(kind == "purchase", P.status_ok(status, reading)).when(kind == "view", P.channel_flag_ok(flag, reading))
+            .when(kind == "signup", P.interval_status_ok(itvl, reading)).otherwise(F.lit(True)))
+    src = None
+    for k, tag in _SOURCES:
+        src = F.when(kind == k, tag) if src is None else src.when(kind == k, tag)
+    prefix = F.when(kind == "purchase", "AM").when(kind == "view", "SG").otherwise("")
+    f = _t(spark, sf, "events").where(kind.isin(*[k for k, _ in _SOURCES]) & good).select(
+        src.alias("src"), strip_id_prefix(F.concat(prefix, F.col("user_id").cast("string"))).alias("rcrdr_id"), reading.alias("mrdg"),
+        minutes_before(F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")).cast("date").alias("date_for"))
     best = dedupe.priority_dedupe(f, ["rcrdr_id", "date_for"], "src", "mrdg")
     return best.select("rcrdr_id", "date_for", "src", F.col("mrdg").cast("double").alias("kwh"))
 
@@ -1274,13 +1270,13 @@ def q_mass_market_not_nm(spark, sf):
 
 @query("ev_time_probe", _with_reads(f"""
 p AS (SELECT r.read_strt_dttm, {_wall_sql('r.read_strt_dttm')} AS eastern_time, cb.charge_box_id
-      FROM ev_read_hist r JOIN ev_site s ON r.site_pk = s.site_pk AND s.crnt_row_flag = true AND s.site_id = 'SITE7'
+      FROM ev_read_hist r JOIN ev_site s ON r.site_pk = s.site_pk AND s.crnt_row_flag = true AND s.site_id = 'SITE91'
       JOIN ev_charge_box cb ON r.charge_box_id = cb.charge_box_id AND cb.connector_id = r.connector_id
       WHERE r.read_strt_dttm >= {_utc_sql(f"TIMESTAMP '{READ_FALL_BACK} 00:00:00'")}
         AND r.read_strt_dttm < {_utc_sql(f"TIMESTAMP '{READ_FALL_BACK + dt.timedelta(days=1)} 00:00:00'")})
 SELECT * FROM p ORDER BY read_strt_dttm NULLS LAST, charge_box_id NULLS LAST LIMIT 20"""))
 def q_ev_time_probe(spark, sf):
-    return datasets.tz_probe(_read_views(spark, sf), "SITE7", READ_FALL_BACK, ZONE)
+    return datasets.tz_probe(_read_views(spark, sf), "SITE91", READ_FALL_BACK, ZONE)
 
 
 # ------------------------------------------------------------------ other run modes, scopes, diagnostics' arguments
