@@ -85,7 +85,9 @@ def test_mass_market_fall_back(spark):
     fixed = datasets.mass_market_nm(t, RunParams(**DAILY))
     assert rows(fixed.where(F.col("metertype") == "evmeter"), "meterid", "kwh") == [("CB1", 2.0), ("CB1", 3.0), ("CB2", 2.0)]
     nn = datasets.mass_market_not_nm(t, RunParams(**DAILY))
-    assert rows(nn.where(F.col("metertype") == "uevmeter"), "premiseid", "kwh") == [("5730", 5.0), ("6000", 2.0)]
+    assert rows(nn.where(F.col("metertype") == "uevmeter"), "premiseid", "kwh") == [("5730", 2.0), ("5730", 3.0), ("6000", 2.0)]
+    summed = datasets.mass_market_not_nm(t, RunParams(**DAILY, legacy_wall_time=True))
+    assert rows(summed.where(F.col("metertype") == "uevmeter"), "premiseid", "kwh") == [("5730", 5.0), ("6000", 2.0)]
     assert nn.where(F.col("meterid") == "MB").count() == 4
 
 
