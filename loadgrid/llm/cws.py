@@ -37,7 +37,7 @@ def signatures(texts: DataFrame, key: list[str], sides: list[str], samples: int
     """For each row of ``texts`` (told apart by ``key`` and partitioned by it) an array of entries for
     each text column of ``sides``, null where the text has no word."""
     each = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("s")) for i, c in enumerate(sides)])
-    words = texts.select(*key, F.inline(each)).select(*key, "side", F.explode(F.split("s", WS)).alias("w")).filter("w <> ''")
+    words = texts.select(*key, F.inline(each)).select(*key, "side", F.explode_outer(F.split("s", WS)).alias("w")).filter("w <> ''")
     weights = words.select(*key, "side", F.xxhash64("w").alias("h")).groupBy(*key, "h").agg(
         *[F.sum((F.col("side") == i).cast("int")).alias(f"s{i}") for i in range(len(sides))])
     logs = weights.select(*key, "h", *[F.when(F.col(f"s{i}") > 0, F.ln(F.col(f"s{i}").cast("double"))).alias(f"l{i}") for i in range(len(sides))])

@@ -87,9 +87,9 @@ def known_sentences(docs: DataFrame, sentences: DataFrame) -> DataFrame:
     ``sentences`` is the table (sentence, sentence_id); it is joined by equality. Whole pieces have
     line 0; the lines of a piece of several lines follow from 1.
     """
-    pieces = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", END)).alias("piece", "_p"))
+    pieces = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode_outer(F.split("text", END)).alias("piece", "_p"))
     lines = F.when(F.contains(F.col("_p"), F.lit("\n")), F.concat(F.array("_p"), F.split("_p", "\n"))).otherwise(F.array("_p"))
-    parts = pieces.select("doc_id", "_text", "piece", F.posexplode(lines).alias("line", "_s"))
+    parts = pieces.select("doc_id", "_text", "piece", F.posexplode_outer(lines).alias("line", "_s"))
     # The key is never null (no known sentence is empty), so that no null test computes it a second time.
     return (parts.withColumn("sentence", F.coalesce(normalised(F.col("_s")), F.lit("")))
             .join(sentences, "sentence").select("doc_id", "_text", "piece", "line", "sentence_id"))
