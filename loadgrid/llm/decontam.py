@@ -66,7 +66,9 @@ def _windows(tokens: DataFrame, width: int, keep: list[str]) -> DataFrame:
     n = F.size("_canon") - (width - 1)
     cols = [F.slice("_canon", i + 1, F.greatest(n, F.lit(0))) for i in range(width)]
     names = [f"_w{i}" for i in range(width)]
-    rows = tokens.filter(n > 0).select(*keep, "_raw", "_canon", F.posexplode(F.arrays_zip(*[c.alias(x) for c, x in zip(cols, names)])).alias("_pos", "_w"))
+    # Outer, and without a filter on the arrays: either would compute the canonical text once more below the generator.
+    # A text shorter than a window gives one row without a window, which no template equals.
+    rows = tokens.select(*keep, "_raw", "_canon", F.posexplode_outer(F.arrays_zip(*[c.alias(x) for c, x in zip(cols, names)])).alias("_pos", "_w"))
     return rows.withColumn("_hash", F.xxhash64(*[F.col(f"_w.{x}") for x in names])).drop("_w")
 
 
@@ -85,7 +87,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals:
         template, slots = _slots(width)
         literals = F.size(F.array_distinct(F.filter(F.slice("_canon", F.col("_pos") + 1, width), lambda x: ~x.isin(NUM, NAME, UNIT, ""))))
         part = (_windows(tokens.filter(F.col("width") == width), width, ["item_id", "_text", "width"])
-                .filter(literals >= min_literals)
+                .filter(F.col("_pos").isNotNull() & (literals >= min_literals))
                 .select("item_id", "_text", "width", F.col("_pos").alias("pos"), F.col("_hash").alias("hash"), template.alias("template"), slots.alias("slots")))
         out = part if out is None else out.unionByName(part)
     if out is None:
