@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Known sentences, as published in the license texts and in common notices. Identifier -> normalised
-#: sentence (lower case, runs of other characters than a-z 0-9 as one blank).
+#: sentence (lower case, runs of other characters than a-z 0-9 as one blank). A published sentence that END cuts is
+#: there in its pieces.
 SENTENCES = {
     "mit.ref": "released under the mit license",
     "mit.ref2": "licensed under the mit license",
@@ -31,7 +32,16 @@ SENTENCES = {
     "gpl3.ref": "this work is licensed under the gnu general public license version 3",
     "gpl.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl.free1": "this program is free software",
+    "gpl.free2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2.free2": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl.terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl.terms1": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl.version": "either version 3 of the license or at your option any later version",
+    "gpl2.version": "either version 2 of the license or at your option any later version",
     "gpl.hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl.hope1": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl.hope2": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "ccbync4.ref": "licensed under cc by nc 4 0",
     "ccby4.ref": "licensed under cc by 4 0",
     "ccbysa4.ref": "licensed under cc by sa 4 0",
@@ -44,9 +54,23 @@ SENTENCES = {
     "bsd.endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mpl2.ref": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl2.ref1": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2.ref2": "2 0",
     "unlicense.free": "this is free and unencumbered software released into the public domain",
 }
 
+
+def _notice(name: str, license: str, gpl: str) -> tuple:
+    """The rules of a GPL notice. END cuts it at the ':' or ';' of 'free software', the ';' before 'either' and the ';' of
+    the warranty; copies have commas or nothing there, so each way of cutting is a rule. The first is the published one's."""
+    published = "semicolons" if gpl == "gpl2" else "colon"
+    free = {"colon": ("gpl.free1", f"{gpl}.free2"), "semicolons": ("gpl.free1", "gpl.terms", f"{gpl}.version"),
+            "semicolon": ("gpl.terms1", f"{gpl}.version"), "plain": (f"{gpl}.free",)}
+    hope = {"": ("gpl.hope1", "gpl.hope2"), "-whole": ("gpl.hope",)}
+    order = sorted(free, key=lambda x: x != published)
+    return tuple((name + (f"-{f}" if f != published else "") + h, license, free[f] + hope[h]) for f in order for h in hope)
+
+
 #: License rules: name, license, ordered sentence identifiers. Where a rule's sequence contains another's, both hold and
 #: the report says which is the longest per license.
 RULES = (
@@ -57,8 +81,8 @@ RULES = (
     ("apache-ref", "Apache-2.0", ("apache2.ref",)),
     ("apache-header", "Apache-2.0", ("apache2.header", "apache2.comply", "apache2.copy")),
     ("gpl3-ref", "GPL-3.0-only", ("gpl3.ref",)),
-    ("gpl3-notice", "GPL-3.0-or-later", ("gpl.free", "gpl.hope")),
-    ("gpl2-notice", "GPL-2.0-or-later", ("gpl2.free", "gpl.hope")),
+    *_notice("gpl3-notice", "GPL-3.0-or-later", "gpl"),
+    *_notice("gpl2-notice", "GPL-2.0-or-later", "gpl2"),
     ("cc-by-nc-ref", "CC-BY-NC-4.0", ("ccbync4.ref",)),
     ("cc-by-ref", "CC-BY-4.0", ("ccby4.ref",)),
     ("cc-by-long", "CC-BY-4.0", ("ccby4.long",)),
@@ -68,7 +92,8 @@ RULES = (
     ("bsd-2", "BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")),
     ("bsd-3", "BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
     ("isc-text", "ISC", ("isc.grant",)),
-    ("mpl-ref", "MPL-2.0", ("mpl2.ref",)),
+    ("mpl-ref", "MPL-2.0", ("mpl2.ref1", "mpl2.ref2")),
+    ("mpl-ref-plain", "MPL-2.0", ("mpl2.ref",)),
     ("unlicense-text", "Unlicense", ("unlicense.free",)),
 )
 

@@ -80,6 +80,94 @@ def test_license_sequences(spark):
     assert got == {(1, "mit-text"): 1, (3, "mit-ref"): 1, (4, "apache-ref"): 1, (5, "mit-ref"): 2}
 
 
+GPL = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MIT = """The MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+#: Published notices, and all rules that hold on each.
+NOTICES = [
+    (MIT, {"mit-title", "mit-text"}), ("Released under the MIT License.", {"mit-ref"}), ("Licensed under the MIT License.", {"mit-ref-licensed"}),
+    ("Licensed under the Apache License, Version 2.0.", {"apache-ref"}),
+    ("""   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+""", {"apache-header"}),
+    ("This work is licensed under the GNU General Public License version 3.", {"gpl3-ref"}),
+    (GPL.format(":", ",", 3), {"gpl3-notice"}), (GPL.format(";", ";", 2), {"gpl2-notice"}), (GPL.format(":", ",", 2), {"gpl2-notice-colon"}), (GPL.format(";", ";", 3), {"gpl3-notice-semicolons"}),
+    (GPL.format(",", ",", 3).replace("WARRANTY;", "WARRANTY,"), {"gpl3-notice-plain-whole"}), (GPL.format(",", ",", 2), {"gpl2-notice-plain"}), (GPL.format(",", ";", 2), {"gpl2-notice-semicolon"}),
+    ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-ref"}), ("Licensed under CC BY 4.0.", {"cc-by-ref"}), ("Licensed under CC BY-SA 4.0.", {"cc-by-sa-ref"}),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by-long"}),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"cc-by-sa-long"}),
+    ("This work is dedicated to the public domain under CC0 1.0.", {"cc0-ref"}),
+    (BSD, {"bsd-2"}), (BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""", {"bsd-2", "bsd-3"}),
+    ("""Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""", {"isc-text"}),
+    ("""This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""", {"mpl-ref"}), ("This Source Code Form is subject to the terms of the Mozilla Public License, v 2.0.", {"mpl-ref-plain"}),
+    ("This is free and unencumbered software released into the public domain.\n", {"unlicense-text"}),
+]
+
+
+def test_license_rules_hold_on_their_published_notices(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)] + [(-1 - i, "".join(f" * {x}\n" for x in t.splitlines())) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in licenses.scan(docs).collect():
+        got[r.doc_id].add(r.rule)
+    for i, (_, rules) in enumerate(NOTICES):
+        assert got[i] == rules
+        if i:       # also as a comment block; there an empty line is " * " and ends no piece, so the title's piece goes on into the MIT grant
+            assert got[-1 - i] == rules
+    published = {n for n, _, _ in licenses.RULES if not n.startswith(("gpl2-notice-", "gpl3-notice-"))}
+    assert published <= set().union(*got.values())
+    # A rule of several ways to be cut asks for the right version in every one.
+    assert all((x[0] == "gpl2-notice" or x[0].startswith("gpl2-")) == any(i.startswith("gpl2.") for i in x[2]) for x in licenses.RULES)
+
+
 def test_revisits_against_brute_force(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = []
