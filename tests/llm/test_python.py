@@ -66,6 +66,24 @@ def test_wrapper_finds_content_without_an_article_element(spark):
     assert wrapper.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _texts(pages):
+    """The texts that the rule of one host's pages gives, and the rule."""
+    got = None
+    for t in pages:
+        got = wrapper._merged(got, [wrapper.summary(wrapper.parse(t)), [zlib.crc32(t.encode())]])
+    r = wrapper.rule(*got)
+    return [wrapper.extract(t, r) for t in pages], r
+
+
+@pytest.mark.parametrize("start,block,end", [
+    ("<main>", "<section><p>{}</p></section>", "</main>"), ("<div class=body>", "<div class=para{1}><div>{0}</div></div>", "</div>"), ("", "<article><h2>{}</h2></article>", ""),
+    ("<table>", "<tr><td>{}</td></tr>", "</table>"), ("<main><div class=x>", "<article><div><p>{}</p></div></article>", "</div></main>")])
+def test_wrapper_keeps_every_block_of_a_run(start, block, end):
+    want = [[f"Block {k} of page {i} has its own words {i * k}" for k in range(3 + i % 3)] for i in range(10)]
+    pages = ["<body><nav>Home</nav>" + start + "".join(block.format(x, k) for k, x in enumerate(w)) + end + "<footer>Foot</footer></body>" for w in want]
+    assert _texts(pages)[0] == [" ".join(w) for w in want]
+
+
 def test_simple_tree_matching_size():
     mk = lambda label, *kids: [label, "", 0, 1, 0, 0, [], list(kids)]
     a = mk("r", mk("x", mk("p"), mk("q")), mk("y"), mk("x", mk("q")))
