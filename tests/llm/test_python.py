@@ -84,6 +84,19 @@ def test_wrapper_keeps_every_block_of_a_run(start, block, end):
     assert _texts(pages)[0] == [" ".join(w) for w in want]
 
 
+def test_wrapper_keeps_text_beside_the_content_root():
+    body = lambda i: " ".join(f"word{i}x{k}" for k in range(300))
+    own = [(f"Title {i}", f"Lead of {i}", body(i), f"Closing {i}" if i % 4 else "") for i in range(20)]
+    wrap = "<body><nav>Home</nav><p>Our site</p><div class=links><a href=/{0}>Older story {0}</a></div><div class=wrap><h1>{1}</h1><p>{2}</p><{5}><p>{3}</p></{5}>{4}</div><footer>Foot</footer>"
+    for element in ("div class=body", "article", "main"):
+        pages = [wrap.format(i, t, lead, b, f"<p>{c}</p>" if c else "", element).replace("</div class=body>", "</div>") for i, (t, lead, b, c) in enumerate(own)]
+        pages.append("<body><nav>Home</nav><p>Our site</p><div class=wrap><h1>Other layout</h1><p>No body here</p></div><footer>Foot</footer>")
+        assert _texts(pages)[0] == [" ".join(filter(None, x)) for x in own] + ["Other layout No body here"]
+    # A label that is the same on every page does not take the text below it along.
+    pages = [f"<body><div class=by>By: <p>Author {i}</p></div><div class=body><p>{body(i)}</p></div>" for i in range(10)]
+    assert _texts(pages)[0] == [f"Author {i} {body(i)}" for i in range(10)]
+
+
 def test_simple_tree_matching_size():
     mk = lambda label, *kids: [label, "", 0, 1, 0, 0, [], list(kids)]
     a = mk("r", mk("x", mk("p"), mk("q")), mk("y"), mk("x", mk("q")))
