@@ -97,6 +97,23 @@ def test_wrapper_keeps_text_beside_the_content_root():
     assert _texts(pages)[0] == [f"Author {i} {body(i)}" for i in range(10)]
 
 
+@pytest.mark.parametrize("made", ["h2 p ul", "irregular", "layouts"])
+def test_wrapper_template_of_long_pages(made):
+    """Templates of more than MAX_NODES nodes keep their path and their constants."""
+    def body(i):
+        if made == "layouts":       # 12 layouts of 300 names each
+            return "".join(f"<div class=l{chr(97 + i % 12)}{chr(97 + k // 26)}{chr(97 + k % 26)}><p>word {i} {k}</p></div>" for k in range(300))
+        tags = ["h2", "p", "ul", "dl"]
+        return "".join(f"<{t}>word {i} {k}</{t}>" for k in range(2_500) for t in [tags[k % 3 if made == "h2 p ul" else zlib.crc32(b"%d %d" % (i, k)) % 4]])
+
+    for n in (6, 60):
+        pages = [f"<body><p>Our site</p><div class=links><a href=/{i}>Older {i}</a></div><div class=body><div class=note>Always the same note</div>{body(i)}</div><footer>Foot</footer>" for i in range(n)]
+        got, r = _texts(pages)
+        assert r["path"] and got == [" ".join(re.sub("<[^>]*>", " ", body(i)).split()) for i in range(n)]
+        if made != "layouts":
+            break
+
+
 def test_simple_tree_matching_size():
     mk = lambda label, *kids: [label, "", 0, 1, 0, 0, [], list(kids)]
     a = mk("r", mk("x", mk("p"), mk("q")), mk("y"), mk("x", mk("q")))
