@@ -1,13 +1,14 @@
 """Benchmark decontamination by template canonicalisation (built-in functions only).
 
 Numbers, names and units become typed placeholders, windows of ``WINDOW`` canonical tokens of the
-benchmark and of the documents are hash-joined, and the values in the slots of aligned windows must
-map one to one: the same question with other numbers or names is caught, a chance agreement of
-placeholders is not.
+benchmark and of the documents are hash-joined, and a value of the item must have one value in the slots of
+aligned windows: the same question with other numbers or names is caught, a chance agreement of
+placeholders is not. A capitalised word at a sentence's start is tried as a word and as a name, and
+windows are joined verbatim (but for case and marks at the tokens' edges) as well.
 
 Defined results: null or empty text has no windows; an item shorter than a window is one window of
-its own length; windows with fewer than ``MIN_LITERALS`` different literal tokens are not used, and
-an item without any usable window matches nothing. A document repeated with the same text counts
+its own length; windows with fewer than ``MIN_LITERALS`` different literal tokens match only verbatim; an item
+without any token matches nothing. A document repeated with the same text counts
 once; rows with null doc_id are told apart by their text. Empty tables give no rows. Extra
 columns are ignored.
 """
@@ -29,6 +30,9 @@ BROADCAST_WINDOWS = 50_000
 
 #: Placeholders, and the units that follow a number.
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
+#: Mark of a capitalised word at a sentence's start, which may be a name. The forms of a text: such words as literals, as
+#: names, and every token verbatim but for case and marks at its edges.
+START, FORMS, VERBATIM = "<s>", ("_plain", "_named", "_low"), 2
 UNITS = ("km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|"
          "weeks?|months?|years?|mph|kmh|dollars?|euros?|cents?|usd|eur|percent|degrees?")
 
@@ -37,6 +41,8 @@ _NUMBER = r"(?<![^ ])[-+(]*+[$€£]?[0-9][0-9.,:/]*+[%€$)]*+[.,;:!?]*+(?![^ ]
 _GLUED = rf"(?<![^ ])[-+(]*+[0-9][0-9.,]*+(?i:{UNITS})[)]*+[.,;:!?]*+(?![^ ])"
 _UNIT = rf"(?<={NUM} )(?i:{UNITS})[.,;:!?)]*+(?![^ ])"
 _NAME = r"(?<=[^ .!?:] )[(\"']*+\p{Lu}\p{Ll}[\p{L}'-]*+[.,;:!?)\"']*+(?![^ ])"
+_FIRST = r"(?<![^ ])[(\"']*+(?=\p{Lu}\p{Ll}[\p{L}'-]*+[.,;:!?)\"']*+(?![^ ]))"
+_MARKS = r"(?<![^ ])[^\p{L}\p{N} ]++(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}])[^\p{L}\p{N} ]++(?![^ ])"
 _EDGE = r"(?<![^ ])[^\p{L}\p{N}< ]++|(?<=[\p{L}\p{N}>])[^\p{L}\p{N}> ]++(?![^ ])"
 
 
@@ -47,8 +53,9 @@ def raw_text(text: Column) -> Column:
 
 def canonical_text(raw: Column) -> Column:
     """One canonical token for each blank-separated token of ``raw``; a capitalised word inside a
-    sentence is a name, other words lose case and punctuation at their edges."""
+    sentence is a name, one at its start has the mark ``START``, other words lose case and punctuation at their edges."""
     t = F.regexp_replace(raw, _NAME, NAME)
+    t = F.regexp_replace(t, _FIRST, START)
     t = F.regexp_replace(t, _NUMBER, NUM)
     t = F.regexp_replace(t, _GLUED, NUM)
     t = F.regexp_replace(t, _UNIT, UNIT)
@@ -56,58 +63,81 @@ def canonical_text(raw: Column) -> Column:
 
 
 def _tokens(table: DataFrame, key: str) -> DataFrame:
+    """The tokens of each text as they are, and in the forms of ``FORMS``."""
     raw = raw_text(F.col("text"))
     out = table.filter(F.col("text").isNotNull()).select(F.col(key), F.xxhash64("text").alias("_text"), raw.alias("_raw"))
-    return out.select(key, "_text", F.split("_raw", " ").alias("_raw"), F.split(canonical_text(F.col("_raw")), " ").alias("_canon"))
+    out = out.select(key, "_text", "_raw", canonical_text(F.col("_raw")).alias("_canon"))
+    return out.select(key, "_text", F.split("_raw", " ").alias("_raw"), F.split(F.replace("_canon", F.lit(START), F.lit("")), " ").alias("_plain"),
+                      F.split(F.regexp_replace("_canon", f"{START}[^ ]*+", NAME), " ").alias("_named"),
+                      F.split(F.lower(F.regexp_replace("_raw", _MARKS, "")), " ").alias("_low"))
 
 
 def _windows(tokens: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """A row per window: position (from 0), ``_hash`` of its canonical tokens; the arrays stay by reference."""
-    n = F.size("_canon") - (width - 1)
-    cols = [F.slice("_canon", i + 1, F.greatest(n, F.lit(0))) for i in range(width)]
-    names = [f"_w{i}" for i in range(width)]
+    """A row per window and form: position (from 0), ``_form``, ``_hash`` of its tokens in that form, null behind the last window; the arrays stay by reference."""
     # Outer, and without a filter on the arrays: either would compute the canonical text once more below the generator.
-    # A text shorter than a window gives one row without a window, which no template equals.
-    rows = tokens.select(*keep, "_raw", "_canon", F.posexplode_outer(F.arrays_zip(*[c.alias(x) for c, x in zip(cols, names)])).alias("_pos", "_w"))
-    return rows.withColumn("_hash", F.xxhash64(*[F.col(f"_w.{x}") for x in names])).drop("_w")
+    rows = tokens.select(*keep, "_raw", *FORMS, F.posexplode_outer("_plain").alias("_pos", "_token")).drop("_token")
+    inside = F.col("_pos") <= F.size("_raw") - width
+    return rows.select("*", F.posexplode(F.array(*[F.when(inside, F.xxhash64(F.slice(f, F.col("_pos") + 1, width))) for f in FORMS])).alias("_form", "_hash"))
 
 
 def _slots(width: int) -> tuple[Column, Column]:
-    """The canonical window as text, and its raw values at placeholders in order."""
-    canon, raw = F.slice("_canon", F.col("_pos") + 1, width), F.slice("_raw", F.col("_pos") + 1, width)
+    """The window in its form as text, and its raw values at placeholders in order."""
+    form = F.when(F.col("_form") == 0, F.col(FORMS[0])).when(F.col("_form") == 1, F.col(FORMS[1])).otherwise(F.col(FORMS[2]))
+    canon, raw = F.slice(form, F.col("_pos") + 1, width), F.slice("_raw", F.col("_pos") + 1, width)
     pairs = F.filter(F.arrays_zip(canon.alias("c"), raw.alias("r")), lambda x: x["c"].isin(NUM, NAME, UNIT))
-    return F.concat_ws(" ", canon), F.transform(pairs, lambda x: F.lower(F.regexp_replace(x["r"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    slots = F.transform(pairs, lambda x: F.lower(F.regexp_replace(x["r"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    return F.concat_ws(" ", canon), F.when(F.col("_form") < VERBATIM, slots).otherwise(F.array().cast("array<string>"))
+
+
+def _literals(tokens: Column) -> Column:
+    return F.size(F.array_distinct(F.filter(tokens, lambda x: ~x.isin(NUM, NAME, UNIT, ""))))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """(item_id, width, pos, hash, template, slots, n_windows) of the usable windows; small: one row a benchmark word."""
-    tokens = checkpointed(_tokens(benchmark, "item_id").withColumn("width", F.least(F.size("_canon"), F.lit(window))))
+    """(item_id, width, pos, form, hash, template, slots, literals, first, n_windows, n_usable) of the windows; small: up to three rows a benchmark word.
+
+    A window is there verbatim if any of its tokens has a character, and in the other forms if it has enough literals.
+    In the named form a word at a sentence's start (``first``) is a literal only where the document has the same."""
+    tokens = checkpointed(_tokens(benchmark, "item_id").withColumn("width", F.least(F.size("_plain"), F.lit(window))))
     out = None
     for (width,) in sorted(tokens.select("width").distinct().collect()):
         template, slots = _slots(width)
-        literals = F.size(F.array_distinct(F.filter(F.slice("_canon", F.col("_pos") + 1, width), lambda x: ~x.isin(NUM, NAME, UNIT, ""))))
-        part = (_windows(tokens.filter(F.col("width") == width), width, ["item_id", "_text", "width"])
-                .filter(F.col("_pos").isNotNull() & (literals >= min_literals))
-                .select("item_id", "_text", "width", F.col("_pos").alias("pos"), F.col("_hash").alias("hash"), template.alias("template"), slots.alias("slots")))
+        plain, named = (F.slice(f, F.col("_pos") + 1, width) for f in FORMS[:2])
+        first = F.transform(F.filter(F.arrays_zip(plain.alias("p"), named.alias("n")), lambda x: x["p"] != x["n"]), lambda x: x["p"])
+        part = (_windows(tokens.filter(F.col("width") == width), width, ["item_id", "_text", "width"]).filter(F.col("_hash").isNotNull())
+                .select("item_id", "_text", "width", F.col("_pos").alias("pos"), F.col("_form").alias("form"), F.col("_hash").alias("hash"), template.alias("template"), slots.alias("slots"),
+                        _literals(plain).alias("_literals"), _literals(named).alias("literals"), F.array_distinct(first).alias("first")))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = tokens.select("item_id", "_text", "width", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("template"), F.array(F.lit("")).alias("slots"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("item_id", "_text"))
-    return checkpointed(out.select("item_id", F.col("_text").alias("item_text"), "width", "pos", "hash", "template", "slots", n.alias("n_windows")))
+        out = tokens.select("item_id", "_text", "width", F.lit(0).alias("pos"), F.lit(0).alias("form"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("template"), F.array(F.lit("")).alias("slots"),
+                            F.lit(0).alias("_literals"), F.lit(0).alias("literals"), F.array(F.lit("")).alias("first"))
+    out = out.filter(F.when(F.col("form") == VERBATIM, F.trim("template") != "").otherwise(F.col("_literals") >= min_literals))
+    item = Window.partitionBy("item_id", "_text")
+    n, usable = F.size(F.collect_set("pos").over(item)), F.size(F.collect_set(F.when(F.col("form") < VERBATIM, F.col("pos"))).over(item))
+    return checkpointed(out.select("item_id", F.col("_text").alias("item_text"), "width", "pos", "form", "hash", "template", "slots", "literals", "first", n.cast("long").alias("n_windows"), usable.cast("long").alias("n_usable")))
+
+
+def _pairs(hits: Column, form: int) -> Column:
+    return F.array_distinct(F.flatten(F.transform(F.filter(hits, lambda x: x["form"] == form), lambda x: x["pairs"])))
+
+
+def _kept_as_is(pairs: Column, value: Column) -> Column:
+    return F.exists(pairs, lambda y: (y["b"] == value) & (y["d"] == value))
 
 
-def _one_to_one(pairs: Column) -> Column:
-    n = F.size(F.array_distinct(pairs))
-    return (F.size(F.array_distinct(F.transform(pairs, lambda x: x["b"]))) == n) & (F.size(F.array_distinct(F.transform(pairs, lambda x: x["d"]))) == n)
+def _contradicts(pairs: Column) -> Column:
+    """Whether a value of the item has several values in the document and none is the item's own."""
+    return F.exists(pairs, lambda x: F.exists(pairs, lambda y: (y["b"] == x["b"]) & (y["d"] != x["d"])) & ~_kept_as_is(pairs, x["b"]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS,
                  min_windows: int = MIN_WINDOWS) -> DataFrame:
     """(doc_id, _text, item_id, n_matched, n_windows, first_word, exact): the documents that hold a benchmark item.
 
-    Windows that agree are grouped by their alignment (document position minus item position); an
-    alignment counts if all its slot values map one to one. A document holds the item if its
-    consistent windows number at least ``min_windows``, or all windows of a shorter item.
+    Windows that agree are grouped by their alignment (document position minus item position). A
+    value of the item must have one value in the alignment; where some of its places have the item's own, only the windows
+    with another one do not count. A document holds the item if its windows number at least
+    ``min_windows``, or all windows of a shorter item, or all those with enough literals.
     """
     bench = benchmark_windows(benchmark, window, min_literals)
     tokens = _tokens(docs, "doc_id")
@@ -116,21 +146,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
         template, slots = _slots(width)
         side = small_side(bench.filter(F.col("width") == width).drop("width"), BROADCAST_WINDOWS)
         part = (_windows(tokens, width, ["doc_id", "_text"]).join(side, F.col("_hash") == F.col("hash"))
-                .filter(template == F.col("template"))
-                .select("doc_id", "_text", "item_id", "item_text", "n_windows", "pos", F.col("_pos").alias("word"),
-                        F.arrays_zip(F.col("slots").alias("b"), slots.alias("d")).alias("pairs")))
+                # Not as keys of the join, which every window would compute; no lambdas here, they would end the generated code and copy the arrays a row.
+                .filter(F.coalesce((F.col("_form") == F.col("form")) & (template == F.col("template")), F.lit(False)))
+                .select("doc_id", "_text", "item_id", "item_text", "n_windows", "n_usable", "pos", "form", F.col("_pos").alias("word"),
+                        F.arrays_zip(F.col("slots").alias("b"), slots.alias("d")).alias("pairs"), "literals", "first"))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return docs.select("doc_id", F.xxhash64("text").alias("_text"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"),
                            F.lit(0).cast("long").alias("n_windows"), F.lit(0).alias("first_word"), F.lit(False).alias("exact")).limit(0)
-    aligned = (hits.groupBy("doc_id", "_text", "item_id", "item_text", "n_windows", (F.col("word") - F.col("pos")).alias("_at"))
-               .agg(F.count_distinct("pos").alias("n"), F.min("word").alias("word"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-               .filter(_one_to_one(F.col("pairs"))))
-    same = F.forall("pairs", lambda x: x["b"] == x["d"])
-    found = (aligned.groupBy("doc_id", "_text", "item_id", "item_text", "n_windows")
-             .agg(F.max("n").alias("_run"), F.sum("n").alias("_n"), F.min("word").alias("first_word"), F.min(same).alias("exact"))
+    item = ["doc_id", "_text", "item_id", "item_text", "n_windows", "n_usable"]
+
+    def enough(x: Column) -> Column:
+        same = F.transform(F.filter(x["pairs"], lambda y: y["b"] == y["d"]), lambda y: y["b"])
+        return (x["form"] != 1) | (x["literals"] + F.size(F.array_intersect(same, x["first"])) >= min_literals)
+
+    aligned = (hits.groupBy(*item, (F.col("word") - F.col("pos")).alias("_at")).agg(F.collect_set(F.struct("pos", "form", "pairs", "literals", "first")).alias("_hits"))
+               .withColumn("_hits", F.filter("_hits", enough))
+               .select("*", _pairs(F.col("_hits"), 0).alias("_p0"), _pairs(F.col("_hits"), 1).alias("_p1"))
+               .select("*", _contradicts(F.col("_p0")).alias("_no0"), _contradicts(F.col("_p1")).alias("_no1")))
+
+    def holds(x: Column) -> Column:
+        def fits(pairs: str) -> Column:
+            return F.forall(x["pairs"], lambda y: (y["b"] == y["d"]) | ~_kept_as_is(F.col(pairs), y["b"]))
+        # The named form is as good as the plain one where the plain one finds nothing amiss; verbatim windows follow the plain one.
+        return F.when(x["form"] == 0, ~F.col("_no0") & fits("_p0")).when(x["form"] == 1, ~F.col("_no0") & ~F.col("_no1") & fits("_p1")).otherwise(~F.col("_no0"))
+
+    aligned = aligned.withColumn("_hits", F.filter("_hits", holds)).filter(F.size("_hits") > 0)
+    positions = F.array_distinct(F.transform("_hits", lambda x: x["pos"]))
+    usable = F.array_distinct(F.transform(F.filter("_hits", lambda x: x["form"] < VERBATIM), lambda x: x["pos"]))
+    same = F.forall(F.concat("_p0", "_p1"), lambda x: x["b"] == x["d"])
+    found = (aligned.groupBy(*item)
+             .agg(F.sum(F.size(positions)).alias("_n"), F.sum(F.size(usable)).alias("_u"), F.min(F.col("_at") + F.array_min(positions)).alias("first_word"), F.min(same).alias("exact"))
              .withColumn("n_matched", F.least("_n", "n_windows")))
-    return (found.filter(F.col("n_matched") >= F.least(F.lit(min_windows), F.col("n_windows")))
+    return (found.filter((F.col("n_matched") >= F.least(F.lit(min_windows), F.col("n_windows")))
+                         | (F.col("n_usable") > 0) & (F.col("_u") >= F.least(F.lit(min_windows), F.col("n_usable"))))
             .select("doc_id", "_text", "item_id", "n_matched", "n_windows", "first_word", "exact"))
 
 

@@ -221,6 +221,17 @@ def test_decontamination_finds_reparameterised_items(spark):
     assert [r.item_id for r in decontam.contaminated(short, bench).collect()] == [8]
 
 
+def _leaks(spark, item, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+
+
+def test_decontamination_names_do_not_depend_on_the_neighbour(spark):
+    short, tom = "What is the capital of France?", "Tom has 5 apples. Tom gives Mary 3 apples. How many apples does Tom have left?"
+    assert _leaks(spark, short, [f"Some heading {short} Paris", f"Some heading. {short}", "So, what is the capital of France?", "What is the capital of Spain?", "What is a capital of France?"]) == {0, 1, 2, 3}
+    assert _leaks(spark, tom, ["Pedro has 7 apples. Pedro gives Anna 2 apples. How many apples does Pedro have left?", f"A heading {tom}", tom.lower(), "Pedro has 7 pears and eats them all."]) == {0, 1, 2}
+
+
 def test_decontamination_against_brute_force(spark):
     """Whole exact passages of the benchmark in the given documents, found by plain windows of words."""
     docs = [(r.doc_id, r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
