@@ -232,6 +232,14 @@ def test_decontamination_names_do_not_depend_on_the_neighbour(spark):
     assert _leaks(spark, tom, ["Pedro has 7 apples. Pedro gives Anna 2 apples. How many apples does Pedro have left?", f"A heading {tom}", tom.lower(), "Pedro has 7 pears and eats them all."]) == {0, 1, 2}
 
 
+def test_decontamination_keeps_consistent_windows(spark):
+    item = "A basket holds 3 red apples next to the wall and another basket holds 5 green pears close to the open kitchen door"
+    assert _leaks(spark, item, [item.replace("3", "4").replace("5", "4"), item.replace("3", "5"), item.replace("3", "6").replace("5", "7")]) == {0, 1, 2}
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(10)]
+    twice = " ".join(words[:4] + ["12"] + words[4:45] + ["12"] + words[45:])
+    assert _leaks(spark, twice, [twice.replace("12", "13", 1), twice.replace("12", "13")]) == {0, 1}
+
+
 def test_decontamination_against_brute_force(spark):
     """Whole exact passages of the benchmark in the given documents, found by plain windows of words."""
     docs = [(r.doc_id, r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
