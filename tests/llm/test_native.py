@@ -240,6 +240,11 @@ def test_decontamination_keeps_consistent_windows(spark):
     assert _leaks(spark, twice, [twice.replace("12", "13", 1), twice.replace("12", "13")]) == {0, 1}
 
 
+def test_decontamination_finds_verbatim_items_with_few_literals(spark):
+    for item in ("What is 12 + 34 ?", "Anna Bert Carla Dora Emil Frida Gustav Hans Ida Jan", "1 2 3 4 5 6 7 8 9 10 11", "Two words"):
+        assert _leaks(spark, item, [f"First a line here {item} and more", item, "What is 13 + 35 ? Max Eva 1 2 4 6 7 9 or two other words"]) == {0, 1}
+
+
 def test_decontamination_against_brute_force(spark):
     """Whole exact passages of the benchmark in the given documents, found by plain windows of words."""
     docs = [(r.doc_id, r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
