@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadgrid.llm import chosen_path, ctw, cws, decontam, hard_negatives, langid, licenses, merkle, mixing, revisits, token_store, wrapper
+from loadgrid.llm import chosen_path, ctw, cws, decontam, hard_negatives, langid, licenses, merkle, mixing, pii, revisits, token_store, wrapper
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,17 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.report(_t(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark, sf_dir):
+    return pii.report(_t(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark, sf_dir):
     return hard_negatives.report(_t(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_warc_revisits, op2_wrapper_induction, op3_license_scan, op4_language_id, op5_context_tree_weighting, op6_weighted_sampling, op7_decontamination,
-    op8_mixing, op9_chosen_path_join, op10_token_store, op11_merkle_manifest, op13_hard_negatives)}
+    op8_mixing, op9_chosen_path_join, op10_token_store, op11_merkle_manifest, op12_personal_data, op13_hard_negatives)}
 
 ORACLE = {"op1_warc_revisits": revisits.ORACLE_SQL, "op3_license_scan": licenses.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL,
           "op11_merkle_manifest": merkle.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
