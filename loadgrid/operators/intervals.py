@@ -99,6 +99,31 @@ def bucketed_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     return out.withColumn(name, F.col("__off") + F.col("__local")).drop(b, "__local", "__off")
 
 
+def ordered_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str],
+                      bucket: str | Column, names: Sequence[str], ahead: bool = True, descending: bool = False) -> DataFrame:
+    """Exact ``lead`` (``ahead``) or ``lag`` of ``values`` over (keys) by ``order``, computed per (keys, bucket).
+
+    ``bucket`` must be monotone along ``order``: non-decreasing with nulls last, or non-increasing
+    with nulls first if ``descending``. Inside a bucket a plain window; across buckets the first (last) row
+    of the next (previous) bucket of the key comes from one boundary row per (keys, bucket). A key with a
+    third of all rows is spread over its buckets; rows with a null key form a key of their own, as in a window.
+    """
+    b, keys = "__bucket", list(keys)
+    # Explicit distribution on (keys, bucket): a partitioning on the keys alone would satisfy the window.
+    d = df.withColumn(b, col(bucket)).repartition(*keys, b).withColumn("__row", F.struct(*values))
+    w = Window.partitionBy(*keys, b).orderBy(*order)
+    near = (F.lead if ahead else F.lag)("__row").over(w)
+    # What the neighbouring bucket needs of this one: its first row for lead, its last one for lag.
+    edge = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumn("__near", near).withColumn("__edge", (F.first if ahead else F.last)("__row").over(edge))
+    edges = d.groupBy(*keys, b).agg(F.first("__edge").alias("__edge"))
+    along = Window.partitionBy(*keys).orderBy(F.col(b).desc_nulls_first() if descending else F.col(b).asc_nulls_last())
+    edges = edges.select((F.lead if ahead else F.lag)("__edge").over(along).alias("__next"), *[F.col(c).alias(f"__k_{c}") for c in (*keys, b)])
+    cond = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in (*keys, b)]
+    found = F.coalesce("__near", "__next")
+    return d.join(edges, cond, "inner").select(*df.columns, *[found[v].alias(n) for v, n in zip(values, names, strict=True)])
+
+
 def islands(df: DataFrame, keys: Sequence[str], run_keys: Sequence[str], order: Sequence[Column],
             name: str = "grp", bucket: str | Column | None = None) -> DataFrame:
     """Gaps and islands: ``row_number over (keys) - row_number over (keys + run_keys)``, both by
