@@ -53,6 +53,8 @@ class RunParams:
     fetch_from: dt.datetime | None = None                # reading window (instants, UTC)
     fetch_to: dt.datetime | None = None
     zone: str = "America/New_York"
+    interval_index: bool = False                         # join reads to intervals by (key, time bin): for keys with many of either
+    spread_chains: str | None = None                     # "year", "month": chain premises by such stretches: for premises with very many rows
     legacy_wall_time: bool = False                       # True: group EV reads by wall time as the reference
     scopes: Scopes = field(default_factory=Scopes)
 

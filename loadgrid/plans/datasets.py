@@ -7,6 +7,8 @@ Decisions that differ from a literal reading of the reference are listed in READ
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +47,15 @@ UNIT_KWH = "kwh"
 READ_COLUMNS = ("premiseid", "metertype", "read_strt_time", "kwh", "meterid", "channel", "uom", "spi", "read_ts_utc")
 
 
+def _interval_join(p: RunParams):
+    """The join of readings or bills to intervals; for the index the run's reading window, a day wider on both sides for local dates, bounds the time."""
+    if not p.interval_index:
+        return intervals.interval_join
+    day = dt.timedelta(days=1)
+    bounds = (p.fetch_from - day, p.fetch_to + day) if p.fetch_from and p.fetch_to else None
+    return functools.partial(intervals.interval_index_join, bounds=bounds)
+
+
 def _scoped(df: DataFrame, scope: DataFrame | None, col: str) -> DataFrame:
     """Apply an optional scope (the reference's injected condition) as a semi-join on ``col``."""
     if scope is None:
@@ -122,7 +133,7 @@ def pb_accounts(t: Tables, p: RunParams) -> DataFrame:
 
 # ---------------------------------------------------------------- Q6: meter and charger intervals
 
-def utility_meter_intervals(t: Tables, exclude_premises=(), patterns: tuple[str, ...] | None = None) -> DataFrame:
+def utility_meter_intervals(t: Tables, exclude_premises=(), patterns: tuple[str, ...] | None = None, spread: str | None = None) -> DataFrame:
     """Q6(a) chained meter intervals (also inlined by Q12/Q13 with a meter-type pattern)."""
     pm = t["premise_meter"].where(F.col("kwh_csnt").isNotNull() & (F.col("ami_dvc_name") != F.lit("1")))
     if exclude_premises:
@@ -133,7 +144,7 @@ def utility_meter_intervals(t: Tables, exclude_premises=(), patterns: tuple[str,
             c = F.col("fpl_mtr_num").like(pat)
             cond = c if cond is None else (cond | c)
         pm = pm.where(cond)
-    return intervals.chain_meter_intervals(pm)
+    return intervals.chain_meter_intervals(pm, spread=spread)
 
 
 def _current_sites(t: Tables) -> DataFrame:
@@ -155,7 +166,7 @@ def _charger_rows(t: Tables, public: bool) -> DataFrame:
 def meters(t: Tables, p: RunParams) -> DataFrame:
     """Q6: utility meters ∪ private chargers (per premise and charger) ∪ public chargers (per site)."""
     mult = "decimal(18,6)"
-    a = utility_meter_intervals(t, p.exclude_premises).select(
+    a = utility_meter_intervals(t, p.exclude_premises, spread=p.spread_chains).select(
         F.col("premiseid").cast("string"), F.col("meterid").cast("string"), F.col("metermtpl").cast(mult),
         "metertype", "meterstart", "meterstop")
     b = intervals.envelope(_charger_rows(t, public=False), ["premiseid", "meterid"], "meterstart", "meterstop")
@@ -227,7 +238,7 @@ def monthly_average(bills: DataFrame, n_months: int) -> DataFrame:
         F.count_distinct("rltv_mo").alias("num_months_monthlyavg"))
 
 
-def enrich_bills(base: DataFrame, t: Tables, avg: DataFrame) -> DataFrame:
+def enrich_bills(base: DataFrame, t: Tables, avg: DataFrame, join=intervals.interval_join) -> DataFrame:
     """Shared part of Q9: net-meter flag (left join that fans out per earlier application), premise
     zip (half-open effective interval), newest billing row of the month, and the monthly average."""
     nm = t["net_meter_application"].where((F.col("stat_name") == NET_METER_STATUS) & (F.col("cd_sub_cmpny") == SUB_COMPANY))
@@ -243,8 +254,7 @@ def enrich_bills(base: DataFrame, t: Tables, avg: DataFrame) -> DataFrame:
                    F.col("prem_addr").alias("streetaddress"))
     a = avg.select(F.col("prem_num").alias("amu_prem"), "avgmonthlykwh", "num_months_monthlyavg")
     j = base.join(nm, on=[base["prem_num"] == nm["nm_prem"], nm["nm_date"] < base["rdg_to_date"]], how="left")
-    to_ts = F.col("rdg_to_date").cast("timestamp_ntz")
-    j = j.join(prem, on=[F.col("prem_num") == prem["pr_prem"], to_ts >= prem["pr_start"], to_ts < prem["pr_end"]], how="left")
+    j = join(j, prem, [("prem_num", "pr_prem")], j["rdg_to_date"].cast("timestamp_ntz"), "pr_start", "pr_end", how="left")
     j = j.join(bf, on=[F.col("cust_acct_num") == bf["bf_acct"], F.col("prem_num") == bf["bf_prem"],
                        F.col("rltv_mo") == bf["bf_mo"]], how="left")
     j = j.join(a, on=F.col("prem_num") == a["amu_prem"], how="left")
@@ -275,7 +285,7 @@ def mada(t: Tables, p: RunParams) -> DataFrame:
                          & (F.col("rltv_mo") <= p.month))
     base = base.where(~F.col("bus_cd").isin(*EXCLUDED_BUSINESS_CODES))
     base = _scoped(base, p.scopes.mada, "prem_num")
-    return enrich_bills(base, t, monthly_average(hist, p.avg_months))
+    return enrich_bills(base, t, monthly_average(hist, p.avg_months), _interval_join(p))
 
 
 # ---------------------------------------------------------------- Q10, Q11: commercial recorders and reads
@@ -351,21 +361,30 @@ def recorder_intervals(t: Tables, p: RunParams, csnt: str = "rgstr_csnt", drop_g
     """Q10 core: islands of equal (channel, constant) per recorder and meter, each island's start,
     its end chained from the next-ending row of the channel, then one envelope per island.
     Output: prem_num, rcrdr_id, fpl_mtr_num, channel, chnl_num, csnt, grp, start_date, end_date.
-    Ties the reference leaves open are broken by the remaining device columns."""
+    Ties the reference leaves open are broken by the remaining device columns. With ``p.spread_chains`` all
+    numberings and neighbours are found per stretch of time, so that no premise is chained in one task."""
     d = _device_rows(t, p, csnt, drop_g_recorders)
     tie = [F.col(c).asc_nulls_last() for c in ("rcrdr_seq_num", "csnt", "efct_end_date", "tbl", "chnl_num", "mtr_efct_strt_date")]
-    d = d.withColumn("end_order", F.row_number().over(
-        Window.partitionBy("prem_num", "rcrdr_seq_num").orderBy(
-            F.col("efct_end_date").desc_nulls_first(), F.col("tbl").desc_nulls_first(), F.col("rcrdr_id").asc_nulls_last(),
-            F.col("fpl_mtr_num").asc_nulls_last(), F.col("efct_strt_date").asc_nulls_last(),
-            F.col("chnl_num").asc_nulls_last(), F.col("csnt").asc_nulls_last())))
-    d = intervals.islands(d, ["prem_num", "rcrdr_id", "fpl_mtr_num"], ["rcrdr_seq_num", "csnt"],
-                          [F.col("efct_strt_date").asc_nulls_last(), *tie])
-    island = Window.partitionBy("prem_num", "rcrdr_id", "fpl_mtr_num", "rcrdr_seq_num", "csnt", "grp")
-    chain = Window.partitionBy("prem_num", "rcrdr_seq_num").orderBy(F.col("end_order").desc())
-    d = d.withColumn("start_date", F.min("mtr_efct_strt_date").over(island)).withColumn(
-        "end_date", F.when(F.col("end_order") == 1, F.col("efct_end_date").cast("timestamp_ntz"))
-                     .otherwise(F.lead("mtr_efct_strt_date").over(chain)))
+    by_end = [F.col("efct_end_date").desc_nulls_first(), F.col("tbl").desc_nulls_first(), F.col("rcrdr_id").asc_nulls_last(),
+              F.col("fpl_mtr_num").asc_nulls_last(), F.col("efct_strt_date").asc_nulls_last(),
+              F.col("chnl_num").asc_nulls_last(), F.col("csnt").asc_nulls_last()]
+    channel, island = ["prem_num", "rcrdr_seq_num"], ["prem_num", "rcrdr_id", "fpl_mtr_num", "rcrdr_seq_num", "csnt", "grp"]
+    by_start = [F.col("efct_strt_date").asc_nulls_last(), *tie]
+    if p.spread_chains is None:
+        d = d.withColumn("end_order", F.row_number().over(Window.partitionBy(*channel).orderBy(*by_end)))
+        d = intervals.islands(d, island[:3], island[3:5], by_start)
+        nxt = F.lead("mtr_efct_strt_date").over(Window.partitionBy(*channel).orderBy(F.col("end_order").desc()))
+        d = d.withColumn("start_date", F.min("mtr_efct_strt_date").over(Window.partitionBy(*island))).withColumn("__next", nxt)
+    else:
+        stretch = lambda c: F.date_trunc(p.spread_chains, F.col(c).cast("timestamp_ntz"))
+        # Stretches count back along a descending order, and an open date is the last of an ascending one.
+        back = -F.timestamp_diff("DAY", lit_ts("1970-01-01 00:00:00"), stretch("efct_end_date"))
+        d = intervals.bucketed_row_number(d, channel, by_end, back, "end_order")
+        d = intervals.islands(d, island[:3], island[3:5], by_start, bucket=F.coalesce(stretch("efct_strt_date"), lit_ts(OPEN_END_TS)))
+        d = intervals.ordered_neighbour(d, channel, [F.col("end_order").desc()], ["mtr_efct_strt_date"], stretch("efct_end_date"), ["__next"])
+        starts = d.groupBy(*island).agg(F.min("mtr_efct_strt_date").alias("start_date")).select("start_date", *[F.col(c).alias(f"__i_{c}") for c in island])
+        d = d.join(starts, [F.col(c).eqNullSafe(F.col(f"__i_{c}")) for c in island])
+    d = d.withColumn("end_date", F.when(F.col("end_order") == 1, F.col("efct_end_date").cast("timestamp_ntz")).otherwise(F.col("__next")))
     d = d.where(P.non_empty("start_date", "end_date"))
     g = d.groupBy("prem_num", "rcrdr_id", "fpl_mtr_num", "rcrdr_seq_num", "chnl_num", "csnt", "grp").agg(
         F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"))
@@ -425,9 +444,7 @@ def power_billing(t: Tables, p: RunParams) -> DataFrame:
         F.col("prem_num").alias("d_prem"), F.col("rcrdr_id").alias("d_rcrdr"), F.col("fpl_mtr_num").alias("d_mtr"),
         F.col("channel").alias("d_channel"), F.col("chnl_num").alias("d_chnl"), F.col("csnt").alias("d_csnt"),
         "start_date", "end_date")
-    j = f.join(d, on=[f["rcrdr_id"] == d["d_rcrdr"], f["chnl_num"] == d["d_chnl"],
-                      d["end_date"] > F.col("date_for").cast("timestamp_ntz"),
-                      d["start_date"] <= F.col("date_for").cast("timestamp_ntz")], how="inner")
+    j = _interval_join(p)(f, d, [("rcrdr_id", "d_rcrdr"), ("chnl_num", "d_chnl")], f["date_for"].cast("timestamp_ntz"), "start_date", "end_date")
     j = j.select(F.col("d_prem").alias("prem_num"), "src", "rcrdr_id", F.col("d_mtr").alias("fpl_mtr_num"),
                  F.col("d_channel").alias("channel"), F.round(F.col("mrdg") * F.col("d_csnt"), 6).alias("kwh"),
                  "read_start_time", "uom")
@@ -457,8 +474,8 @@ def _ev_reads(t: Tables, p: RunParams) -> DataFrame:
                  & (F.col("mrdg") >= 0))
     j = r.join(s, on=[r["site_pk"] == s["site_pk"], r["prod_id"] == s["prod_id"]], how="inner").select(*[r[c] for c in r.columns], s["site_id"])
     boxes = cb.select(*[F.col(c).alias(f"__{c}") for c in ("charge_box_id", "connector_id", "site_pk", "connector_type", "efct_strt_dttm", "efct_end_dttm")])
-    j = intervals.interval_join(j, boxes, [("charge_box_id", "__charge_box_id"), ("connector_id", "__connector_id"), ("site_pk", "__site_pk")],
-                                "read_strt_dttm", "__efct_strt_dttm", "__efct_end_dttm", closed=True)
+    j = _interval_join(p)(j, boxes, [("charge_box_id", "__charge_box_id"), ("connector_id", "__connector_id"), ("site_pk", "__site_pk")],
+                          "read_strt_dttm", "__efct_strt_dttm", "__efct_end_dttm", closed=True)
     return j.select("site_id", F.col("__connector_type").alias("connector_type"), F.col("charge_box_id").cast("string").alias("charge_box_id"),
                     "read_strt_dttm", "mrdg", "uom", "prod_id")
 
@@ -474,7 +491,7 @@ def mass_market(t: Tables, p: RunParams, net_metered: bool) -> DataFrame:
     ``p.legacy_wall_time`` groups EV reads by wall time as the reference does (the two fall-back
     01:00 hours merge); ``False`` groups by the instant and still outputs wall time."""
     p.need("fetch_from", "fetch_to")
-    iv = utility_meter_intervals(t, patterns=NET_METER_PATTERNS if net_metered else None)
+    iv = utility_meter_intervals(t, patterns=NET_METER_PATTERNS if net_metered else None, spread=p.spread_chains)
     m = t["meter_duration_read_fact"].where(P.half_open("read_strt_time", lit_ts(p.fetch_from), lit_ts(p.fetch_to))
                                             & P.good_reading("read_chnl_flag", "mrdg"))
     if net_metered:
@@ -483,7 +500,7 @@ def mass_market(t: Tables, p: RunParams, net_metered: bool) -> DataFrame:
         m = m.where((F.col("uiq_chnl_num") == 1) & F.upper("uom").isin(*MASS_MARKET_UNITS))
     m = _scoped(m, p.scopes.meter, "ami_dvc_name")
     m = m.withColumn("__read_day", local_day("read_strt_time", p.zone))
-    j = intervals.interval_join(m, iv, on=[("ami_dvc_name", "meterid")], at="__read_day", start="meterstart", stop="meterstop")
+    j = _interval_join(p)(m, iv, on=[("ami_dvc_name", "meterid")], at="__read_day", start="meterstart", stop="meterstop")
     meter_reads = j.select(F.col("premiseid").cast("string"), F.col("metertype"), wall_time("read_strt_time", p.zone).alias("read_strt_time"),
                            F.round(F.col("mrdg") * F.col("metermtpl"), 4).cast("double").alias("kwh"),
                            F.col("ami_dvc_name").alias("meterid"), F.col("uiq_chnl_num").cast("int").alias("channel"),

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loadgrid.plans.driver_queries import ZONE, _t, _utc_sql, query
+from loadgrid.plans import datasets
+from loadgrid.plans.driver_queries import ORACLE, ZONE, _dbl, _read_params, _read_views, _t, _utc_sql, _views, query
 
 _DAYS = {0: 300, 1: 60}
 _SWITCH = {0: "2024-11-03 12:00:00", 1: "2024-03-10 12:00:00"}
@@ -186,3 +187,63 @@ def q_clock_offsets(spark, sf):
     local = (F.when(s == 1, wall_time("ts", "America/Chicago")).when(s == 2, F.col("ts")).when(s == 3, wall_time(wall_time("ts", ZONE), ZONE))
              .when(s == 4, F.col("ts") - F.expr("INTERVAL 5 HOURS")).otherwise(wall_time("ts", ZONE)))
     return clock_offsets(r.withColumn("local", local), ["site"], "ts", "local", ZONE)
+
+
+# ------------------------------------------------------------------ many intervals a key
+
+_HOURS_SQL = """
+WITH h AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2),
+iv AS (SELECT event_type AS kind, h AS start, CASE WHEN n % 7 = 0 THEN NULL WHEN n % 5 = 0 THEN TIMESTAMP '9999-12-31 00:00:00' ELSE h + to_minutes(CAST(15 * (n % 9) AS INTEGER)) END AS stop FROM h),
+f AS (SELECT event_id, event_type, date_trunc('hour', ts) + to_minutes(CAST(floor(minute(ts) / 15) * 15 AS INTEGER)) AS at FROM events)
+SELECT f.event_id, f.event_type, count(iv.start) AS n_intervals, min(iv.start) AS first_start, max(iv.start) AS last_start
+FROM f {how} JOIN iv ON f.event_type = iv.kind AND iv.start <= f.at AND f.at {upper} iv.stop GROUP BY f.event_id, f.event_type"""
+
+
+def _indexed(spark, sf, **options) -> DataFrame:
+    """Events against an interval for every hour of their type, short, empty, open and endless ones: some hundred intervals a key."""
+    from loadgrid.operators.intervals import interval_index_join
+    from loadgrid.operators.timeseries import floor_minutes
+    e = _t(spark, sf, "events")
+    n, h = F.col("n"), F.col("start")
+    stop = F.when(n % 7 == 0, F.lit(None)).when(n % 5 == 0, F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")).otherwise(h + F.make_dt_interval(mins=(15 * (n % 9)).cast("int")))
+    iv = e.groupBy(F.col("event_type").alias("kind"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.count(F.lit(1)).alias("n")).select("kind", "start", stop.alias("stop"))
+    f = e.select("event_id", "event_type", floor_minutes("ts", 15).alias("at"))
+    j = interval_index_join(f, iv, [("event_type", "kind")], "at", "start", "stop", **options)
+    return j.groupBy("event_id", "event_type").agg(F.count("start").alias("n_intervals"), F.min("start").alias("first_start"), F.max("start").alias("last_start"))
+
+
+@query("interval_index_halfopen", _HOURS_SQL.format(how="", upper="<"))
+def q_interval_index_halfopen(spark, sf):
+    return _indexed(spark, sf)
+
+
+@query("interval_index_closed", _HOURS_SQL.format(how="", upper="<="))
+def q_interval_index_closed(spark, sf):
+    return _indexed(spark, sf, closed=True)
+
+
+@query("interval_index_left", _HOURS_SQL.format(how="LEFT", upper="<"))
+def q_interval_index_left(spark, sf):
+    return _indexed(spark, sf, how="left")
+
+
+@query("power_billing_indexed", ORACLE["power_billing"])
+def q_power_billing_indexed(spark, sf):
+    return datasets.power_billing(_read_views(spark, sf), _read_params(interval_index=True))
+
+
+@query("mass_market_not_nm_indexed", ORACLE["mass_market_not_nm"])
+def q_mass_market_not_nm_indexed(spark, sf):
+    return datasets.mass_market_not_nm(_read_views(spark, sf), _read_params(interval_index=True))
+
+
+# ------------------------------------------------------------------ chains of premises with very many rows
+
+@query("interval_chain_spread", ORACLE["interval_chain"])
+def q_interval_chain_spread(spark, sf):
+    return _dbl(datasets.utility_meter_intervals(_views(spark, sf), exclude_premises=(1,), spread="month"), "metermtpl")
+
+
+@query("meters_pb_spread", ORACLE["meters_pb"])
+def q_meters_pb_spread(spark, sf):
+    return _dbl(datasets.meters_pb(_read_views(spark, sf), _read_params(spread_chains="month")), "metermtpl")
