@@ -247,3 +247,64 @@ def q_interval_chain_spread(spark, sf):
 @query("meters_pb_spread", ORACLE["meters_pb"])
 def q_meters_pb_spread(spark, sf):
     return _dbl(datasets.meters_pb(_read_views(spark, sf), _read_params(spread_chains="month")), "metermtpl")
+
+
+# ------------------------------------------------------------------ control files, audit table and specified runs, in files of the shared folder
+
+def _folder(spark, name: str) -> str:
+    import uuid
+    from loadgrid.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+@query("control_totals_files", ORACLE["control_totals"])
+def q_control_totals_files(spark, sf):
+    """The declared side goes through hidden control files, one a day, and is read back from them."""
+    from loadgrid.operators.audit import control_totals
+    from loadgrid.sources.files import read_control_files
+    from loadgrid.sources.named_files import write_named
+    o = _t(spark, sf, "orders").withColumn("file_date", F.col("o_orderdate").cast("date"))
+    declared = o.where(F.col("o_orderpriority") != "5-LOW").groupBy("file_date").agg(F.sum(F.when(F.col("o_orderstatus") == "P", 2).otherwise(1)).alias("n"))
+    path = _folder(spark, "control")
+    write_named(declared.select(F.concat(F.lit("_SUCCESS_"), F.date_format("file_date", "yyyyMMdd")).alias("name"), F.concat(F.col("n").cast("string"), F.lit("\n")).alias("body")), path)
+    read = read_control_files(spark, path, r"_SUCCESS_(\d{8})$", name_regex=r"^_SUCCESS_\d{8}$", hidden=True).withColumn("file_date", F.to_date("file_date", "yyyyMMdd"))
+    return control_totals(read, o.where(F.col("o_orderpriority") != "4-NOT SPECIFIED"), "file_date")
+
+
+@query("audit_gate_published", ORACLE["audit_gate"])
+def q_audit_gate_published(spark, sf):
+    """Two appends, the first one tried twice, then the gate over the table."""
+    from loadgrid.operators.audit import audit_gate
+    from loadgrid.sources.audit_store import publish_audit, published_audit
+    o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
+    none = F.lit(None).cast("string")
+    a = o.join(c, o["o_custkey"] == c["c_custkey"]).select(
+        F.col("o_custkey").cast("string"), F.col("c_mktsegment"), F.col("o_orderdate").cast("date"), F.col("o_orderdate").cast("timestamp_ntz"), F.col("o_orderdate").cast("timestamp_ntz"),
+        F.when(F.col("o_orderstatus") == "P", "error").otherwise("success"), F.lit(1).cast("long"), F.col("o_orderkey").cast("string"), none,
+        F.when(F.col("o_orderpriority") == "1-URGENT", "target-write").otherwise("transform")).toDF(*[f"c{i}" for i in range(10)])
+    path = _folder(spark, "audit-table")
+    writes = F.col("c9") == "target-write"
+    for part, append_id in ((a.where(writes), "run-1/target-write"), (a.where(~writes), "run-1/transform"), (a.where(writes), "run-1/target-write")):
+        publish_audit(spark, part, path, append_id)
+    runs = c.select(F.col("c_custkey").cast("string").alias("audit_id"), F.col("c_mktsegment").alias("etl_process_detail_id"), (F.col("c_custkey") % 4 + 1).cast("int").alias("expected_steps"))
+    return audit_gate(runs, published_audit(spark, path), expected_steps="expected_steps")
+
+
+_SPEC = ("study", "study_premise", "uevcust", "meters")
+
+
+@query("spec_run", "SELECT t.* FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS target, CAST({i} AS INTEGER) AS process_order, count(*) AS rows FROM ({ORACLE[q]})"
+    for n, i, q in (("study", 2, "study_active"), ("study_premise", 3, "scope_premises"), ("meters", 6, "envelope_3branch"), ("uevcust", 8, "latest_per_key"))) + ") t")
+def q_spec_run(spark, sf):
+    """Four datasets from a specification, the run started again after two: the manifest has each once."""
+    import uuid
+    from loadgrid.plans.driver_queries import ACCOUNT_CUTOFF, RUN_DATE
+    from loadgrid.plans.spec import RunSpec, parse_spec, run_manifest, run_spec, spec_text
+    spec = parse_spec(spec_text("daily", {"run_date": RUN_DATE, "company": "FPL", "exclude_premises": (1,)}, list(_SPEC)))
+    own = {"uevcust": (("run_date", ACCOUNT_CUTOFF),)}
+    spec = RunSpec(spec.mode, tuple(type(s)(s.dataset, s.process_order, s.target, own.get(s.dataset, ())) for s in spec.steps), spec.parameters)
+    tables, run_id = _views(spark, sf), uuid.uuid4().hex
+    run_spec(spark, tables, RunSpec(spec.mode, spec.steps[:2], spec.parameters), run_id)
+    run_spec(spark, tables, spec, run_id)
+    return run_manifest(spark, "daily", run_id).select("target", "process_order", "rows")
