@@ -2,12 +2,14 @@
 of its canonical URL, if the validators agree, and the permitted headers are merged.
 
 Input: one row per record: record_id, record_type ('response' or 'revisit'), url, ts (timestamp),
-etag, last_modified, headers (map of lower-case names to values).
+etag, last_modified, headers (map of names, in any case, to values).
 
-Defined results: a response has status 'full' and keeps its headers; a revisit has status
+Defined results: record types count without regard to case and blanks around them; a response has status 'full' and keeps its
+headers as they are; a revisit has status
 'resolved', 'validator_mismatch' (the latest earlier response has other validators),
 'no_validator' (the revisit carries none) or 'no_response' (none is earlier; also a null url or
-time). Only 'resolved' rows carry merged headers. Equal times: a response at the
+time); a record of any other or of no type has status 'other' and answers nothing. Only 'resolved' rows carry merged headers, their
+names in lower case; of names that differ in case only the greatest (by code point) counts. Equal times: a response at the
 revisit's own instant is not earlier; among responses of one instant the greatest record_id counts.
 Null headers count as empty. Repeated rows give repeated results. Extra columns are ignored.
 """
@@ -23,21 +25,36 @@ from loadgrid.llm.common import written
 BODY_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
 HOP_HEADERS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "upgrade")
 #: Query parameters that do not change a resource.
-TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
+TRACKING = "utm_[a-z]+|fbclid|gclid"
 #: Length in seconds of the stretches that a URL's captures are dealt out by.
 STRETCH_S = 6 * 3600
 
 
+def _decoded(s: Column) -> Column:
+    """Percent codes of unreserved characters as those characters, the others in capital letters."""
+    def one(p: Column, i: Column) -> Column:
+        code = F.upper(F.substring(p, 1, 2))
+        char = F.char(F.conv(code, 16, 10).cast("int"))
+        rest = F.substr(p, F.lit(3))
+        good = F.when(char.rlike("^[A-Za-z0-9._~-]$"), F.concat(char, rest)).otherwise(F.concat(F.lit("%"), code, rest))
+        return F.when(i == 0, p).when(p.rlike("^[0-9A-Fa-f]{2}"), good).otherwise(F.concat(F.lit("%"), p))
+
+    return F.array_join(F.transform(F.split(s, "%"), one), "")
+
+
 def canonical_url(url: Column) -> Column:
-    """No scheme, fragment, user info, leading ``www.``, tracking parameters, closing slash or default port; host in lower case."""
+    """No scheme, fragment, user info, leading ``www.``, tracking parameters, closing slash or default port; host in lower case, percent codes only
+    where they are needed, query parameters in the order of their names (those of one name in their own)."""
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
     u = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     u = F.regexp_replace(u, r"^[^/?@]*@", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r"^www\.|:(80|443)$", "")
     rest = F.regexp_replace(u, r"^[^/?]*", "")
-    rest = F.regexp_replace(rest, rf"([?&])(?:(?:{TRACKING})=[^&]*(?:&|$))+", "$1")
-    rest = F.regexp_replace(rest, r"[?&/]+$", "")
-    return F.concat(host, rest)
+    rest = _decoded(F.regexp_replace(rest, rf"([?&])(?:(?:{TRACKING})=[^&]*(?:&|$))+", "$1"))
+    query = F.filter(F.split(F.regexp_replace(rest, r"^[^?]*\??", ""), "&"), lambda x: x != "")
+    named = F.array_sort(F.transform(query, lambda x, i: F.struct(F.regexp_replace(x, "=.*", "").alias("name"), i.alias("i"), x.alias("x"))))
+    tail = F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(F.transform(named, lambda x: x["x"]), "&"))).otherwise(F.lit(""))
+    return F.concat(host, F.regexp_replace(F.concat(F.regexp_extract(rest, r"^[^?]*", 0), tail), r"[?&/]+$", ""))
 
 
 def weak(etag: Column) -> Column:
@@ -45,11 +62,17 @@ def weak(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), "^W/", "")
 
 
+def _lowered(headers: Column) -> Column:
+    """Headers by lower-case names; of names that differ in case only the greatest counts."""
+    entries = F.map_entries(F.coalesce(headers, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(F.trim(e["key"]))))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.array_sort(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == n)), -1)["value"]))
+
+
 def merged_headers(stored: Column, update: Column) -> Column:
-    """The stored headers, with those of the update that a not-modified answer may replace or add."""
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    permitted = F.map_filter(F.coalesce(update, empty), lambda k, v: ~k.isin(*BODY_HEADERS, *HOP_HEADERS))
-    kept = F.map_filter(F.coalesce(stored, empty), lambda k, v: ~F.map_contains_key(permitted, k))
+    """The stored headers, with those of the update that a not-modified answer may replace or add; names in lower case."""
+    permitted = F.map_filter(_lowered(update), lambda k, v: ~k.isin(*BODY_HEADERS, *HOP_HEADERS))
+    kept = F.map_filter(_lowered(stored), lambda k, v: ~F.map_contains_key(permitted, k))
     return F.map_concat(kept, permitted)
 
 
@@ -63,8 +86,11 @@ def resolve(records: DataFrame, stretch_s: int = STRETCH_S) -> DataFrame:
     """
     r = records.select("record_id", "record_type", "url", "ts", "etag", "last_modified", "headers")
     r = r.withColumn("_key", canonical_url(F.col("url"))).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    r = r.withColumn("_stretch", F.floor(F.col("_at") / F.lit(stretch_s * 1_000_000)))
-    full = (F.col("record_type") == "response") & F.col("_key").isNotNull() & F.col("_at").isNotNull()
+    r = r.withColumn("_type", F.lower(F.trim("record_type")))
+    # Records that no response can match or be, for want of a URL or time, are dealt out by their id.
+    r = r.withColumn("_stretch", F.coalesce(F.floor(F.col("_at") / F.lit(stretch_s * 1_000_000)), F.xxhash64("record_id", "ts")))
+    r = r.withColumn("_stretch", F.when(F.col("_key").isNull(), F.xxhash64("record_id", "ts")).otherwise(F.col("_stretch")))
+    full = (F.col("_type") == "response") & F.col("_key").isNotNull() & F.col("_at").isNotNull()
     answer = F.when(full, F.struct("_at", "record_id", "etag", "last_modified", "headers"))
     r = r.withColumn("_answer", answer).repartition("_key", "_stretch")
     # Order of an instant: revisits first, so that a response at the same instant is not earlier.
@@ -74,7 +100,7 @@ def resolve(records: DataFrame, stretch_s: int = STRETCH_S) -> DataFrame:
     top = F.max_by("_answer", F.struct(F.col("_answer._at"), F.col("_answer.record_id")))
     last = (r.filter("_answer IS NOT NULL").select("_key", "_stretch", "_answer").groupBy("_key", "_stretch").agg(top.alias("_far")))
     # A stretch without revisits asks nothing; one with revisits asks for the last response of the stretches before it.
-    asks = r.filter((F.col("record_type") == "revisit") & F.col("_near").isNull()).select("_key", "_stretch").distinct()
+    asks = r.filter((F.col("_type") == "revisit") & F.col("_near").isNull() & F.col("_at").isNotNull() & F.col("_key").isNotNull()).select("_key", "_stretch").distinct()
     both = (last.select("_key", "_stretch", "_far", F.lit(False).alias("_asks"))
             .unionByName(asks.select("_key", "_stretch", F.lit(None).cast(last.schema["_far"].dataType).alias("_far"), F.lit(True).alias("_asks"))))
     before = Window.partitionBy("_key").orderBy("_stretch", F.col("_asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +109,7 @@ def resolve(records: DataFrame, stretch_s: int = STRETCH_S) -> DataFrame:
     tag = F.col("etag").isNotNull()
     agree = F.when(tag, F.coalesce(weak(F.col("etag")) == weak(F.col("_hit.etag")), F.lit(False))).otherwise(
         F.coalesce(F.col("last_modified") == F.col("_hit.last_modified"), F.lit(False)))
-    status = (F.when(F.col("record_type") == "response", "full").when(F.col("_hit").isNull(), "no_response")
+    status = (F.when(F.col("_type") == "response", "full").when(~F.coalesce(F.col("_type") == "revisit", F.lit(False)), "other").when(F.col("_hit").isNull() | F.col("_at").isNull(), "no_response")
               .when(~tag & F.col("last_modified").isNull(), "no_validator").when(agree, "resolved").otherwise("validator_mismatch"))
     r = r.withColumn("status", status)
     ok = F.col("status") == "resolved"
@@ -141,10 +167,19 @@ WITH c AS (
          CASE WHEN h % 13 = 0 THEN NULL ELSE 'day ' || version * 30 END AS modified,
          regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?@]*@', '') AS u
   FROM v
+), w1 AS (
+  SELECT *, array_to_string(list_transform(string_split(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '([?&])(?:(?:utm_[a-z]+|fbclid|gclid)=[^&]*(?:&|$))+', '\1', 'g'), '%'), lambda p, i:
+           CASE WHEN i = 1 THEN p WHEN NOT regexp_matches(p, '^[0-9A-Fa-f]{2}') THEN '%' || p
+                WHEN regexp_matches(chr(('0x' || substr(p, 1, 2))::INTEGER), '^[A-Za-z0-9._~-]$') THEN chr(('0x' || substr(p, 1, 2))::INTEGER) || substr(p, 3)
+                ELSE '%' || upper(substr(p, 1, 2)) || substr(p, 3) END), '') AS rest
+  FROM w
+), w2 AS (
+  SELECT *, list_filter(string_split(regexp_replace(rest, '^[^?]*\??', ''), '&'), lambda x: x <> '') AS query FROM w1
 ), x AS (
   SELECT *, regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '', 'g')
-         || regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '([?&])(?:(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*(?:&|$))+', '\1', 'g'), '[?&/]+$', '') AS key
-  FROM w
+         || regexp_replace(regexp_extract(rest, '^[^?]*') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(list_transform(list_sort(list_transform(query, lambda q, i:
+              {'name': regexp_replace(q, '=.*', ''), 'i': i, 'x': q})), lambda e: e.x), '&') ELSE '' END, '[?&/]+$', '') AS key
+  FROM w2
 ), y AS (
   SELECT *, last_value(CASE WHEN NOT revisit THEN {'id': record_id, 'tag': tag, 'modified': modified, 'n': n} END IGNORE NULLS)
             OVER (PARTITION BY key ORDER BY secs, NOT revisit, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r

@@ -18,7 +18,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
@@ -199,9 +199,24 @@ def test_revisits_against_brute_force(spark):
 
 
 def test_canonical_url(spark):
-    urls = ["HTTPS://User@WWW.Example.com:443/A/b/?utm_source=f&x=1&ref=q#top", "http://example.com", "http://example.com/?ref=x&utm_a=b"]
-    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(revisits.canonical_url(F.col("u"))).collect()]
-    assert got == ["example.com/A/b/?x=1", "example.com", "example.com"]
+    cases = {"HTTPS://User@WWW.Example.com:443/A/b/?utm_source=f&x=1&fbclid=q#top": "example.com/A/b/?x=1", "http://example.com": "example.com", "http://example.com/?gclid=x&utm_a=b": "example.com",
+             "http://h/x?ref=dev": "h/x?ref=dev", "http://h/x?ref=main": "h/x?ref=main", "http://h/?b=2&a=1": "h/?a=1&b=2", "http://h/?a=1&b=2": "h/?a=1&b=2", "http://h/?a=2&&b=0&a=1&": "h/?a=2&a=1&b=0",
+             "http://h/%7Eme/%41%2f%zz%": "h/~me/A%2F%zz%", "http://h/~me/A%2F%zz%25": "h/~me/A%2F%zz%25", "http://h/a/?": "h/a", "": "", None: None}
+    got = spark.createDataFrame([(u,) for u in cases], "u string").select("u", revisits.canonical_url(F.col("u")).alias("c")).collect()
+    assert {r.u: r.c for r in got} == cases
+
+
+def test_headers_and_types_in_any_case(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda i: t0 + dt.timedelta(hours=i)
+    rows = [(1, " Response", "http://h/x", at(0), '"a"', None, {"Content-Length": "10", "Server": "s", "DATE": "1", "Via": "v"}),
+            (2, "REVISIT", "http://h/x", at(1), '"a"', None, {"content-length": "0", "Date": "2", "Connection": "close", "ETag": "x", "etag": "y"}),
+            (3, None, "http://h/x", at(2), '"a"', None, {"a": "b"}), (4, "request", "http://h/x", at(3), '"a"', None, None), (5, "revisit", None, at(4), '"a"', None, None),
+            (6, "revisit", "http://h/x", None, '"a"', None, None), (7, "response", None, at(0), '"a"', None, None), (None, "revisit", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "record_id long, record_type string, url string, ts timestamp, etag string, last_modified string, headers map<string,string>")
+    got = {r.record_id: r for r in revisits.resolve(df).collect()}
+    assert {i: r.status for i, r in got.items()} == {1: "full", 2: "resolved", 3: "other", 4: "other", 5: "no_response", 6: "no_response", 7: "full", None: "no_response"}
+    assert got[2].headers == {"content-length": "10", "server": "s", "date": "2", "via": "v", "etag": "y"} and got[1].headers["Content-Length"] == "10"
 
 
 ITEM = "A train leaves with 12 wagons and 30 seats at noon while Maria waits for 5 km near the old station gate and later counts 12 wagons again in the yard"
