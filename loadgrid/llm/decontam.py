@@ -136,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 
     Windows that agree are grouped by their alignment (document position minus item position). A
     value of the item must have one value in the alignment; where some of its places have the item's own, only the windows
-    with another one do not count. A document holds the item if its windows number at least
+    with another one do not count. Verbatim windows always count. A document holds the item if its windows number at least
     ``min_windows``, or all windows of a shorter item, or all those with enough literals.
     """
     bench = benchmark_windows(benchmark, window, min_literals)
@@ -168,8 +168,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     def holds(x: Column) -> Column:
         def fits(pairs: str) -> Column:
             return F.forall(x["pairs"], lambda y: (y["b"] == y["d"]) | ~_kept_as_is(F.col(pairs), y["b"]))
-        # The named form is as good as the plain one where the plain one finds nothing amiss; verbatim windows follow the plain one.
-        return F.when(x["form"] == 0, ~F.col("_no0") & fits("_p0")).when(x["form"] == 1, ~F.col("_no0") & ~F.col("_no1") & fits("_p1")).otherwise(~F.col("_no0"))
+        # The named form is as good as the plain one where the plain one finds nothing amiss; equal windows are a leak whatever the slots elsewhere say.
+        return F.when(x["form"] == 0, ~F.col("_no0") & fits("_p0")).when(x["form"] == 1, ~F.col("_no0") & ~F.col("_no1") & fits("_p1")).otherwise(F.lit(True))
 
     aligned = aligned.withColumn("_hits", F.filter("_hits", holds)).filter(F.size("_hits") > 0)
     positions = F.array_distinct(F.transform("_hits", lambda x: x["pos"]))

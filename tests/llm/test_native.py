@@ -222,14 +222,27 @@ def test_headers_and_types_in_any_case(spark):
 ITEM = "A train leaves with 12 wagons and 30 seats at noon while Maria waits for 5 km near the old station gate and later counts 12 wagons again in the yard"
 
 
+def test_contradicting_slots_are_no_leak_of_their_own(spark):
+    """An item with a slot in every window: one value for each of its values is a leak, two values for one are not, unless 13 tokens in a row are equal."""
+    item = "if Anna buys 12 apples and Carl buys 15 pears then Anna sells 12 apples and Carl eats 15 pears while Anna keeps 12 coins in boxes"
+    docs = spark.createDataFrame([(1, "well " + item.replace("Anna", "Eva").replace("Carl", "Hugo").replace("12", "31").replace("15", "44")),
+                                  (2, "well if Eva buys 31 apples and Hugo buys 44 pears then Lena sells 32 apples and Otto eats 45 pears while Maria keeps 33 coins in boxes"),
+                                  (3, "well " + item.replace("keeps 12", "keeps 14").replace("buys 12", "buys 13"))], "doc_id long, text string")
+    got = {r.doc_id for r in decontam.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {1, 3}
+    long = " ".join(f"word{i} stays" for i in range(40)).replace("word3 ", "12 ").replace("word30 ", "12 ")
+    docs = spark.createDataFrame([(1, long.replace("12", "13", 1).replace("12 stays word31", "14 stays word31"))], "doc_id long, text string")
+    assert decontam.contaminated(docs, spark.createDataFrame([(7, long)], "item_id long, text string")).count() == 1
+
+
 def test_decontamination_finds_reparameterised_items(spark):
     other = ITEM.replace("12", "77").replace("30", "41").replace("Maria", "Pedro").replace("5 km", "9 miles")
-    broken = ITEM.replace("12 wagons and", "77 wagons and").replace("counts 12", "counts 13")    # 12 maps to two values
+    broken = ITEM.replace("12 wagons and", "77 wagons and").replace("counts 12", "counts 13")    # 12 maps to two values, but long stretches are equal
     docs = spark.createDataFrame([(1, "Intro words here. " + ITEM + ". The end of it"), (2, "Some other start. " + other), (3, broken), (4, "Quite another text about wagons and seats " * 3),
                                   (5, ITEM.upper()), (None, ITEM)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, ITEM), (8, "short item with only six words")], "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.exact) for r in decontam.contaminated(docs, bench).collect()}
-    assert got[1] == (7, True) and got[2] == (7, False) and got[None] == (7, True) and 4 not in got and 3 not in got
+    assert got[1] == (7, True) and got[2] == (7, False) and got[None] == (7, True) and 4 not in got and got[3] == (7, False)
     left = decontam.decontaminated(docs, bench)
     assert left.columns == docs.columns and not {1, 2, None} & {r.doc_id for r in left.collect()}
     short = spark.createDataFrame([(1, "Look: short item with only six words, indeed")], "doc_id long, text string")
