@@ -48,6 +48,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers are reused by later tasks and stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``checkpoint()`` to the shared folder; for small tables that iterations reuse."""
     checkpoint_dir(df.sparkSession)

@@ -28,15 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadgrid.llm.common import ship_code, written
+from loadgrid.llm.common import release_memory, ship_code, written
 from loadgrid.llm.langid import held_out
 
 #: Bytes of context (at most 5: an n-gram and a document's number share 64 bits).
 DEPTH = 5
 #: Bytes of text of a block, on average.
 BLOCK_BYTES = 24 << 20
-#: Bytes of text handled at a time inside a block.
-PIECE_BYTES = 1 << 20
+#: Bytes of text handled at a time inside a block, and n-grams of its pieces from which on they are summed into one list.
+PIECE_BYTES, MERGE_GRAMS = 1 << 20, 1 << 21
 END = b"\n"
 #: The trees of contexts that share the most recent two bytes are built together; the two levels
 #: above (at most 257 contexts of 255 decisions) go to every task.
@@ -102,10 +102,14 @@ def gather(depth: int):
             n = np.diff(np.append(first, len(key)))
             key = key[first]
             parts.append(_summed(key >> np.uint64(1), np.where(key & np.uint64(1), n, 0)))
+            if len(parts) > 2 and sum(len(p[0]) for p in parts) > MERGE_GRAMS:
+                parts = [_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
             for w, h in zip(docs, out):
                 (seen if h else count).update(w)
         codes, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        parts.clear()
         words = sorted(seen | count.keys())
+        release_memory()
         k, m = len(codes), len(words)
         return pa.table({"block": pa.array(np.full(k + m, block, np.int64)),
                          "code": pa.concat_arrays([pa.array(codes.astype(np.int64)), pa.nulls(m, pa.int64())]),
@@ -252,12 +256,13 @@ def score(depth: int, tokens: int, distinct: int, ends: int):
         if not docs.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                                                              ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()))})
-        is_code = facts.column("code").is_valid()
-        codes = facts.filter(is_code)
+        codes = facts.select(["code", "lp"]).filter(facts.column("code").is_valid())
         code, lp = codes.column("code").to_numpy().astype(np.uint64), codes.column("lp").to_numpy()
         order = np.argsort(code)
         code, lp = code[order], lp[order]
-        elsewhere = facts.filter(facts.column("word").is_valid())
+        elsewhere = facts.select(["word", "c"]).filter(facts.column("word").is_valid())
+        del codes, order
+        release_memory()
         count: Counter = Counter()  # words of this block alone; those of several blocks are overwritten
         for pieces, out in _pieces(docs):
             for w, h in zip(pieces, out):

@@ -402,3 +402,14 @@ def test_pipeline_edges(spark):
 def test_pipeline_runs(spark):
     r = corpus_pipeline.run(spark, SF).collect()
     assert r and sum(x.n_tokens for x in r) == max(x.start + x.n_tokens for x in r)
+
+
+def test_merging_pieces_keeps_the_counts(monkeypatch):
+    import pyarrow as pa
+    texts = [" ".join(f"w{(i * j) % 37}" for j in range(1, 60)) for i in range(1, 90)]
+    table = pa.table({"_block": [1] * len(texts), "text": texts, "_held": [i % 7 == 2 for i in range(len(texts))]})
+    want = ctw.gather(ctw.DEPTH)(table)
+    monkeypatch.setattr(ctw, "MERGE_GRAMS", 50)
+    monkeypatch.setattr(ctw, "PIECE_BYTES", 300)
+    monkeypatch.setattr(ctw._pieces, "__defaults__", (300, 5))
+    assert ctw.gather(ctw.DEPTH)(table).equals(want)
