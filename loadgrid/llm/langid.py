@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from loadgrid.llm.common import ship_code
+from loadgrid.llm.common import release_memory, ship_code
 
 UND = "und"
 #: The classifier is fitted on at most this many labelled documents of each language, taken in hash order.
@@ -32,9 +32,20 @@ EVIDENCE_WORDS = 20
 #: Characters scored at a time.
 PIECE_CHARS = 1_000_000
 
+#: Rows whose texts are held as Python strings at a time.
+SLICE_ROWS = 256
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode categories L*), as ``\\p{L}+`` gives: numbers like a half or a Roman eight are no letters."""
+    words = _WORD.findall(text)
+    if words and not "".join(words).isalpha():
+        words = [run for w in words for run in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return words
+
+
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """crc32 of the id as text has this remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
@@ -42,10 +53,14 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
 
 def sample(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_DOCS) -> DataFrame:
     """(lang, text) of at most ``per_language`` learnable documents of each language, in the order
-    of the id's hash. Only ids are ranked; the chosen ids, a bounded number, are joined to the texts."""
+    of the id's hash. Ids are first cut at the hash below which about twice as many lie as are wanted, so that few are
+    ranked whatever the size of a language; the chosen ids, a bounded number, are joined to the texts."""
     ids = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).select("doc_id", "lang")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)  # 63 bits
+    cuts = ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count(F.lit(1)) * F.lit(2.0 ** 63)).alias("_cut"))
+    near = ids.join(cuts, "lang").filter(place <= F.col("_cut"))
+    first = Window.partitionBy("lang").orderBy(place, F.col("doc_id"))
+    chosen = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).select("doc_id", "lang")
     return docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
@@ -108,7 +123,7 @@ def score_texts(texts: list[str | None], model: dict) -> tuple[list[str], list[f
     for text in texts:
         total, n = np.zeros(len(langs)), 0
         for at in _pieces(text or ""):
-            words = _WORD.findall(at.lower())
+            words = words_of(at.lower())
             if not words or not langs:
                 continue
             n += len(words)
@@ -152,9 +167,14 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            preds, scores = score_texts(b.column(at).to_pylist(), shared.value)
+            preds, scores = [], []
+            for i in range(0, b.num_rows, SLICE_ROWS):
+                p, s = score_texts(b.column(at).slice(i, SLICE_ROWS).to_pylist(), shared.value)
+                preds += p
+                scores += s
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*b.schema.names, "_lang_pred", "_lang_score"])
+        release_memory()
 
     schema = StructType([*docs.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
     return docs.mapInArrow(run, schema)

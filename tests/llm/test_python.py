@@ -404,6 +404,13 @@ def test_pipeline_runs(spark):
     assert r and sum(x.n_tokens for x in r) == max(x.start + x.n_tokens for x in r)
 
 
+def test_numbers_that_are_word_characters_are_no_letters(spark):
+    assert langid.words_of("½ ² Ⅷ ① a½b x² straße") == ["a", "b", "x", "straße"]
+    rows = [(i, f"{w} and the other words of this text", lang, "s", 1) for i in range(40) for w, lang in (("the", "en"),)] + [(i, f"{w} und die anderen Wörter", "de", "s", 1) for i in range(40, 80) for w in ("der",)]
+    got = {r.doc_id: r for r in langid.report(spark.createDataFrame([*rows, (100, "½ ² Ⅷ ①", "en", "s", 1), (101, "12 _ --", "en", "s", 1)], DOCS)).collect()}
+    assert got[100].lang_pred == got[101].lang_pred == langid.UND and got[100].score == 0
+
+
 def test_merging_pieces_keeps_the_counts(monkeypatch):
     import pyarrow as pa
     texts = [" ".join(f"w{(i * j) % 37}" for j in range(1, 60)) for i in range(1, 90)]
@@ -413,3 +420,12 @@ def test_merging_pieces_keeps_the_counts(monkeypatch):
     monkeypatch.setattr(ctw, "PIECE_BYTES", 300)
     monkeypatch.setattr(ctw._pieces, "__defaults__", (300, 5))
     assert ctw.gather(ctw.DEPTH)(table).equals(want)
+
+
+def test_language_sample_is_bounded_and_in_hash_order(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'aa' WHEN id < 100 THEN 'cc' ELSE 'bb' END AS lang", "concat('text ', id) AS text")
+    got = langid.sample(df.union(df.filter("doc_id < 500")), F.col("doc_id") != 7, 100).collect()
+    first = df.filter("doc_id <> 7").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)).collect()
+    for lang in ("aa", "bb", "cc"):
+        rows = sorted((r.h, r.doc_id) for r in first if r.lang == lang)[:100]
+        assert {r.text for r in got if r.lang == lang} == {f"text {i}" for _, i in rows}
