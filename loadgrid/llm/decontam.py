@@ -36,19 +36,19 @@ START, FORMS, VERBATIM = "<s>", ("_plain", "_named", "_low"), 2
 UNITS = ("km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|"
          "weeks?|months?|years?|mph|kmh|dollars?|euros?|cents?|usd|eur|percent|degrees?")
 
-# Possessive and anchored at a token's edge, so that long runs of marks or digits cost no second look.
-_NUMBER = r"(?<![^ ])[-+(]*+[$€£]?[0-9][0-9.,:/]*+[%€$)]*+[.,;:!?]*+(?![^ ])"
-_GLUED = rf"(?<![^ ])[-+(]*+[0-9][0-9.,]*+(?i:{UNITS})[)]*+[.,;:!?]*+(?![^ ])"
-_UNIT = rf"(?<={NUM} )(?i:{UNITS})[.,;:!?)]*+(?![^ ])"
-_NAME = r"(?<=[^ .!?:] )[(\"']*+\p{Lu}\p{Ll}[\p{L}'-]*+[.,;:!?)\"']*+(?![^ ])"
-_FIRST = r"(?<![^ ])[(\"']*+(?=\p{Lu}\p{Ll}[\p{L}'-]*+[.,;:!?)\"']*+(?![^ ]))"
-_MARKS = r"(?<![^ ])[^\p{L}\p{N} ]++(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}])[^\p{L}\p{N} ]++(?![^ ])"
-_EDGE = r"(?<![^ ])[^\p{L}\p{N}< ]++|(?<=[\p{L}\p{N}>])[^\p{L}\p{N}> ]++(?![^ ])"
+# Possessive and anchored at a token's edge, so that long runs of marks or digits cost no second look. Each begins with a test of
+# one character that nearly all letters fail, so that the looks behind run at few positions.
+_NUMBER = rf"(?=[-+($€£0-9])(?<![^ ])[-+(]*+(?:[$€£]?[0-9][0-9.,:/]*+[%€$)]*+|[0-9][0-9.,]*+(?i:{UNITS})[)]*+)[.,;:!?]*+(?![^ ])"
+_UNIT = rf"{NUM} (?i:{UNITS})[.,;:!?)]*+(?![^ ])"
+_NAME = r"(?=[(\"'\p{Lu}])(?<=[^ .!?:] )[(\"']*+\p{Lu}\p{Ll}[\p{L}'-]*+[.,;:!?)\"']*+(?![^ ])"
+_FIRST = r"(?=[(\"'\p{Lu}])(?<![^ ])[(\"']*+(?=\p{Lu}\p{Ll}[\p{L}'-]*+[.,;:!?)\"']*+(?![^ ]))"
+_MARKS = r"(?=[^\p{L}\p{N} ])(?:(?<![^ ])[^\p{L}\p{N} ]++(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}])[^\p{L}\p{N} ]++(?![^ ]))"
+_EDGE = r"(?=[^\p{L}\p{N} ])(?:(?<![^ ])[^\p{L}\p{N}< ]++|(?<=[\p{L}\p{N}>])[^\p{L}\p{N}> ]++(?![^ ]))"
 
 
 def raw_text(text: Column) -> Column:
     """White space as single blanks, no blank at the ends."""
-    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(text, r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++", " "))
 
 
 def canonical_text(raw: Column) -> Column:
@@ -57,8 +57,7 @@ def canonical_text(raw: Column) -> Column:
     t = F.regexp_replace(raw, _NAME, NAME)
     t = F.regexp_replace(t, _FIRST, START)
     t = F.regexp_replace(t, _NUMBER, NUM)
-    t = F.regexp_replace(t, _GLUED, NUM)
-    t = F.regexp_replace(t, _UNIT, UNIT)
+    t = F.regexp_replace(t, _UNIT, f"{NUM} {UNIT}")
     return F.lower(F.regexp_replace(t, _EDGE, ""))
 
 
