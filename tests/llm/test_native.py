@@ -3,8 +3,10 @@
 import collections
 import datetime as dt
 import hashlib
+import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,9 +152,43 @@ License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/.
 """, {"mpl-ref"}), ("This Source Code Form is subject to the terms of the Mozilla Public License, v 2.0.", {"mpl-ref-plain"}),
     ("This is free and unencumbered software released into the public domain.\n", {"unlicense-text"}),
+    (GPL.format(";", ";", 2.1).replace("program", "library").replace("General", "Lesser General"), {"lgpl21-notice"}),
+    (GPL.format(":", ",", 3).replace("program", "library").replace("General", "Lesser General"), {"lgpl3-notice"}),
+    (GPL.format(":", ",", 3).replace("General", "Lesser General"), {"lgpl3-program-notice"}),
+    (GPL.format(":", ",", 3).replace("General", "Affero General"), {"agpl3-notice"}),
+    ("""This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+""", {"zlib-text"}),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)", {"boost-ref"}),
+    ("""This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+""", {"epl-ref"}),
+    ("The Artistic License 2.0\n", {"artistic-title"}),
+    *[(f"Distributed under the {n}.", {f"name-{i}"}) for i, names in licenses.NAMES.items() for n in names], ("MIT licensed", {"name-MIT"}),
+    *[(f"SPDX-License-Identifier: {i}\nimport x", {f"spdx-{i}"}) for i in licenses.SPDX],
 ]
 
 
+def test_license_rules_skip_other_known_sentences(spark):
+    grant, notice, warranty = (licenses.SENTENCES[k].capitalize() for k in ("mit.grant", "mit.notice", "mit.warranty"))
+    far = "Some words here. " * licenses.MAX_GAP
+    texts = [f"{grant}.\n2.0\n{notice}. {warranty}.", f"{grant}. Released under the MIT License. {notice}. {warranty}.", f"{grant}. {far}{notice}. {warranty}.",
+             f"{grant}. {far.replace('Some words here. ', '', 1)}{notice}. {warranty}.", f"{grant}. {far}{grant}. {notice}. {notice}. {warranty}. {grant}. {notice}. {warranty}. {warranty}.",
+             "Intro.\n\n\nReleased under the MIT License.", f"{grant}. {notice}. {far}{notice}. {far}{warranty}."]
+    got = collections.defaultdict(dict)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r.doc_id][r.rule] = (r.n_matches, r.first_piece, r.last_piece)
+    gap = licenses.MAX_GAP
+    assert got == {0: {"mit-text": (1, 0, 2)}, 1: {"mit-text": (1, 0, 3), "mit-ref": (1, 1, 1)}, 3: {"mit-text": (1, 0, gap + 1)},
+                   4: {"mit-text": (2, gap + 1, gap + 8)}, 5: {"mit-ref": (1, 1, 1)}}
+
+
 def test_license_rules_hold_on_their_published_notices(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)] + [(-1 - i, "".join(f" * {x}\n" for x in t.splitlines())) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
     got = collections.defaultdict(set)
@@ -168,6 +204,24 @@ def test_license_rules_hold_on_their_published_notices(spark):
     assert all((x[0] == "gpl2-notice" or x[0].startswith("gpl2-")) == any(i.startswith("gpl2.") for i in x[2]) for x in licenses.RULES)
 
 
+def test_license_scan_equals_its_sql_on_mixed_sentences(spark):
+    rng = random.Random(5)
+    words = [x for ids in (r[2] for r in licenses.RULES if len(r[2]) > 1) for i in ids for x, k in licenses.wordings(licenses.SENTENCES) if k == i]
+    fill = ["Some words. " * n for n in (1, 3, licenses.MAX_GAP - 1, licenses.MAX_GAP)]
+    rows = []
+    for i in range(150):
+        some = rng.sample(words, 6)
+        rows.append((i // 2, "".join(rng.choice([w.capitalize() + rng.choice([". ", ";\n", "\n", ".\n\n"]), rng.choice(fill), "\n" * rng.randint(1, 25)]) for w in rng.choices(some, k=60))))
+        start = rng.choice([r[2] for r in licenses.RULES if len(r[2]) > 2])
+        rows.append((1000 + i, "".join(dict(map(reversed, licenses.wordings(licenses.SENTENCES)))[x] + rng.choice([". ", "\n", ". " + rng.choice(fill)]) for x in start for _ in range(rng.randint(1, 2)))))
+    rows += rows[:3] + [(None, None), (7, ""), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    got = collections.Counter(map(tuple, licenses.scan(docs).collect()))
+    assert got == collections.Counter(c.execute(licenses.ORACLE_SQL).fetchall()) and len(got) > 100
+
+
 def test_revisits_against_brute_force(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = []
