@@ -35,8 +35,10 @@ from loadgrid.llm.langid import held_out
 DEPTH = 5
 #: Bytes of text of a block, on average.
 BLOCK_BYTES = 24 << 20
-#: Bytes of text handled at a time inside a block, and n-grams of its pieces from which on they are summed into one list.
-PIECE_BYTES, MERGE_GRAMS = 1 << 20, 1 << 21
+#: Bytes of text handled at a time inside a block, and n-grams or words of its pieces from which on they are summed into one list.
+PIECE_BYTES, MERGE_GRAMS = 1 << 19, 1 << 19
+#: Rows of a batch that a task hands back.
+BATCH_ROWS = 1 << 16
 END = b"\n"
 #: The trees of contexts that share the most recent two bytes are built together; the two levels
 #: above (at most 257 contexts of 255 decisions) go to every task.
@@ -86,35 +88,65 @@ def _pieces(table: pa.Table, limit: int = PIECE_BYTES, most: int = 60_000):
 FACTS = "block bigint, code bigint, word binary, n bigint"
 
 
+def _batched(table: pa.Table) -> pa.Table:
+    """The table in batches of bounded size: each of them is held once more on the way to Spark."""
+    return pa.Table.from_batches([b for i in range(0, table.num_rows, BATCH_ROWS) for b in table.slice(i, BATCH_ROWS).to_batches()], table.schema)
+
+
+def _summed_words(parts: list[pa.Table]) -> pa.Table:
+    """Distinct words, and the sum of n over each."""
+    got = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"word": got.column("word"), "n": got.column("n_sum")})
+
+
+def _fold(parts: list, summed, size, least: int) -> list:
+    """The parts as one if those behind the first outweigh ``least`` and half of the first."""
+    if sum(map(size, parts[1:])) <= max(least, size(parts[0]) // 2):
+        return parts
+    parts = [summed(parts)]
+    release_memory()
+    return parts
+
+
+def _word_counts(docs: list[list[bytes]], out: list[bool]) -> pa.Table:
+    """Distinct words, and their numbers in the documents that are not ``out``."""
+    counted, seen = Counter(), set()
+    for w, h in zip(docs, out):
+        (seen if h else counted).update(w)
+    seen -= counted.keys()
+    return pa.table({"word": pa.array([*counted, *seen], pa.binary()), "n": pa.array([*counted.values(), *repeat(0, len(seen))], pa.int64())})
+
+
 def gather(depth: int):
     """Of a block: its distinct n-grams and words, with their numbers in the training documents."""
 
+    def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
     def run(table):
         block = table.column("_block")[0].as_py()
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        seen: set[bytes] = set()
-        count: Counter = Counter()
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        words: list[pa.Table] = []
         for docs, out in _pieces(table):
             code, doc = _codes(docs, depth)
             train = ~np.array(out, bool)[doc]
             key = np.sort((code << np.uint64(1)) | train.astype(np.uint64))
+            del code, doc, train
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             n = np.diff(np.append(first, len(key)))
             key = key[first]
-            parts.append(_summed(key >> np.uint64(1), np.where(key & np.uint64(1), n, 0)))
-            if len(parts) > 2 and sum(len(p[0]) for p in parts) > MERGE_GRAMS:
-                parts = [_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
-            for w, h in zip(docs, out):
-                (seen if h else count).update(w)
-        codes, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        parts.clear()
-        words = sorted(seen | count.keys())
+            grams = _fold([*grams, _summed(key >> np.uint64(1), np.where(key & np.uint64(1), n, 0))], summed, lambda p: len(p[0]), MERGE_GRAMS)
+            words = _fold([*words, _word_counts(docs, out)], _summed_words, len, MERGE_GRAMS // 4)
+            del key, first, n
+        codes, n = summed(grams)
+        grams.clear()
+        count = _summed_words(words).sort_by("word").combine_chunks()
+        words.clear()
         release_memory()
-        k, m = len(codes), len(words)
-        return pa.table({"block": pa.array(np.full(k + m, block, np.int64)),
-                         "code": pa.concat_arrays([pa.array(codes.astype(np.int64)), pa.nulls(m, pa.int64())]),
-                         "word": pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array(words, pa.binary())]),
-                         "n": pa.concat_arrays([pa.array(n.astype(np.int64)), pa.array([count[w] for w in words], pa.int64())])})
+        k, m = len(codes), count.num_rows
+        return _batched(pa.concat_tables([
+            pa.table({"block": pa.array(np.full(k, block, np.int64)), "code": pa.array(codes.astype(np.int64)), "word": pa.nulls(k, pa.binary()), "n": pa.array(n.astype(np.int64))}),
+            pa.table({"block": pa.array(np.full(m, block, np.int64)), "code": pa.nulls(m, pa.int64()), "word": count.column("word"), "n": count.column("n")})]))
 
     return run
 
@@ -283,6 +315,9 @@ def score(depth: int, tokens: int, distinct: int, ends: int):
                 n_tokens.append(len(w) + 1)
                 n_known.append(int((have > 0).sum()) + (ends > 0))
                 base.append(float(np.log10(have + 1).sum()) + np.log10(ends + 1) - (len(w) + 1) * np.log10(tokens + distinct + 1))
+        del code, lp, elsewhere
+        count.clear()
+        release_memory()
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("_held"), "n_tokens": pa.array(n_tokens, pa.int64()),
                          "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([tokens] * docs.num_rows, pa.int64()),
                          "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64()),

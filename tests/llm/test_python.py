@@ -422,6 +422,18 @@ def test_merging_pieces_keeps_the_counts(monkeypatch):
     assert ctw.gather(ctw.DEPTH)(table).equals(want)
 
 
+def test_facts_of_a_block_come_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+    texts = [" ".join(f"w{(i * j) % 37}" for j in range(1, 60)) for i in range(1, 90)] + [None, ""]
+    out = [i % 7 == 2 for i in range(len(texts))]
+    monkeypatch.setattr(ctw, "BATCH_ROWS", 50, raising=False)
+    got = ctw.gather(ctw.DEPTH)(pa.table({"_block": [1] * len(texts), "text": texts, "_held": out}))
+    assert got.num_rows > 200 and max(b.num_rows for b in got.to_batches()) <= 50
+    count = collections.Counter(w for t, h in zip(texts, out) for w in ctw.words_of(t) if not h)
+    every = {w for t in texts for w in ctw.words_of(t)}
+    assert {r["word"]: r["n"] for r in got.to_pylist() if r["word"] is not None} == {w: count[w] for w in every}
+
+
 def test_language_sample_is_bounded_and_in_hash_order(spark):
     df = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'aa' WHEN id < 100 THEN 'cc' ELSE 'bb' END AS lang", "concat('text ', id) AS text")
     got = langid.sample(df.union(df.filter("doc_id < 500")), F.col("doc_id") != 7, 100).collect()
