@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-The block trees of a host's pages are aligned by simple tree matching and merged into one template.
+The block trees of a host's pages are aligned by label and merged into one template: neighbours of one label are a run, and a run's
+partners are those of its number among the runs of its label (of several such runs on a page, the content root's is found by simple tree matching).
 A template node whose text differs between pages is a slot, one with the same text on every page is
 template. The content root is the deepest container that holds nearly all varying text that
 is not navigation; a page is aligned with its host's template to find the root, and everything
@@ -9,7 +10,8 @@ where it is constant, furniture or a list of links.
 
 How it is spread: partial templates per host are merged inside each partition, then per (host,
 partition group), then per host - a template's size follows the host's layouts, not its pages, so a
-host with a third of all pages costs no task more than its share: beyond MAX_NODES repeated siblings are folded, not cut. Extraction is one more pass.
+host with a third of all pages costs no task more than its share. Merging is a union by label and number with sums, the same in any order
+and grouping; nothing depends on the size of a template or on the number of pages beyond SURE. Extraction is one more pass.
 
 Defined results: null or empty html gives empty text; null url is a host of its own; broken markup is
 closed where HTML implies it and ends with the text; blocks nested more than MAX_DEPTH deep have their text in the block at that
@@ -25,6 +27,9 @@ import html as _html
 import json
 import re
 import zlib
+from collections import Counter
+from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,8 +58,8 @@ CLOSES = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "
           "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 #: Distinct texts and pages that a template remembers of a node and of itself; from how many distinct pages equal text is template.
 KEPT, SURE = 8, 5
-#: Nodes of a template beyond which repeated siblings are folded, and from how many pages on nodes of a single page may go.
-MAX_NODES, MANY = 2_000, 64
+#: Class names of one element fall into so many labels, so that names made up per page don't let a level of the template grow without end.
+LABELS = 4_096
 #: Elements that hold main text.
 NAMED = ("article", "main")
 #: Share of the varying text that the content root must hold; varying text beside it is kept as well.
@@ -104,7 +109,7 @@ def _label(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
         soft = soft or bool(words & INSIDE) or a.get("role") == "banner"
         named = bool(words - INSIDE)
         bad = bad or a.get("role") in ROLES - {"banner"} or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "")
-    return f"{tag}.{cls}" if cls else tag, bad, named, soft
+    return f"{tag}.{zlib.crc32(cls.encode()) % LABELS}" if cls else tag, bad, named, soft
 
 
 def parse(text: str) -> Node:
@@ -186,8 +191,13 @@ def parse(text: str) -> Node:
 
 # A template node is a list: [label, tag, furniture, pages, characters, link characters, hashes of its distinct texts, children].
 L, T, B, N, C, A, H, K = range(8)
-#: Bits of B: furniture, children folded by label (one a label, in the labels' order), and furniture by name.
-BAD, FOLDED, NAME = 1, 2, 4
+#: Bits of B: furniture, furniture by name, and another view of the texts of a run (by its number from the end, by the label before it): no block of its own.
+BAD, NAME, VIEW = 1, 4, 8
+
+
+def runs(blocks: list, label) -> list[list]:
+    """Neighbours of one label together."""
+    return [list(same) for _, same in groupby(blocks, label)]
 
 
 def summary(node: Node) -> list:
@@ -195,13 +205,20 @@ def summary(node: Node) -> list:
     own = node.own()
     bad, named = node.bad or node.soft and node.tag == "header", node.named or node.soft and node.tag not in ("header", *NAMED)
     out = [node.label, node.tag, BAD * bool(bad) + NAME * bool(named), 1, len(own), node.links, [zlib.crc32(own.encode())] if own else [], []]
-    for b in node.blocks():
-        s = summary(b)
-        if out[K] and out[K][-1][L] == s[L]:
-            out[K][-1] = merge(out[K][-1], s, pages=False)
-        else:
-            out[K].append(s)
-    return out
+    kids = [reduce(_one_page, map(summary, same)) for same in runs(node.blocks(), lambda x: x.label)]
+    left, views, before = Counter(k[L] for k in kids), {}, ""
+    for k in kids:
+        for view in (f"{k[L]} -{left[k[L]]}", f"{k[L]} {before}"):
+            v = [view, "", k[B] | VIEW, 1, 0, 0, k[H], []]
+            views[view] = _one_page(views[view], v) if view in views else v
+        left[k[L]] -= 1
+        before = k[L]
+    out[K] = [*kids, *views.values()]
+    return folded(out)
+
+
+def _one_page(a: list, b: list) -> list:
+    return merge(a, b, pages=False)
 
 
 def _match(a: list, b: list, memo: dict) -> tuple[int, list]:
@@ -211,10 +228,6 @@ def _match(a: list, b: list, memo: dict) -> tuple[int, list]:
     key = (id(a), id(b))
     if key in memo:
         return memo[key]
-    if (a[B] | b[B]) & FOLDED:
-        x, y = ({k[L]: k for k in t[K]} for t in (a, b))
-        memo[key] = 1 + sum(_match(k, y[label], memo)[0] for label, k in x.items() if label in y), []
-        return memo[key]
     x, y = a[K], b[K]
     if len(x) == len(y) and all(p[L] == q[L] and not p[K] and not q[K] for p, q in zip(x, y)):
         memo[key] = 1 + len(x), [(i, i) for i in range(len(x))]
@@ -237,19 +250,20 @@ def _match(a: list, b: list, memo: dict) -> tuple[int, list]:
     return memo[key]
 
 
-def merge(a: list, b: list, pages: bool = True, memo: dict | None = None) -> list:
-    """Two aligned templates as one; children without a partner keep their place in the order."""
-    memo = {} if memo is None else memo
-    kids, i, j = [], 0, 0
-    if (a[B] | b[B]) & FOLDED:
-        x, y = _by_label(a[K]), _by_label(b[K])
-        kids = [merge(x[k], y[k], pages) if k in x and k in y else x[k] if k in x else y[k] for k in sorted({*x, *y})]
-    else:
-        for p, q in [*_match(a, b, memo)[1], (len(a[K]), len(b[K]))]:
-            kids += a[K][i:p] + b[K][j:q]
-            if p < len(a[K]) and q < len(b[K]):
-                kids.append(merge(a[K][p], b[K][q], pages, memo))
-            i, j = p + 1, q + 1
+def _numbered(kids: list) -> dict:
+    """Children by label and number among those of their label."""
+    seen: Counter = Counter()
+    out = {}
+    for k in kids:
+        out[k[L], seen[k[L]]] = k
+        seen[k[L]] += 1
+    return out
+
+
+def merge(a: list, b: list, pages: bool = True) -> list:
+    """Two templates as one; children without a partner stay as they are."""
+    x, y = _numbered(a[K]), _numbered(b[K])
+    kids = [merge(x[k], y[k], pages) if k in x and k in y else x[k] if k in x else y[k] for k in sorted({*x, *y})]
     return [a[L], a[T], a[B] | b[B], a[N] + b[N] if pages else max(a[N], b[N]), a[C] + b[C], a[A] + b[A], sorted({*a[H], *b[H]})[:KEPT], kids]
 
 
@@ -258,65 +272,17 @@ def _count(t: list, least: int = 1) -> int:
     return (t[N] >= least) + sum(_count(k, least) for k in t[K])
 
 
-def _by_label(kids: list) -> dict:
-    out: dict = {}
-    for k in kids:
-        out[k[L]] = merge(out[k[L]], k, pages=False) if k[L] in out else k
-    return out
-
-
-def _unrepeated(kids: list) -> list:
-    """Siblings with sequences of 2 to 8 that follow each other (h2 p ul, h2 p ul, ...) folded into one."""
-    for period in range(2, 9):
-        out, i = [], 0
-        while i < len(kids):
-            block = kids[i:i + period]
-            labels, j = [k[L] for k in block], i + period
-            while len(block) == period and [k[L] for k in kids[j:j + period]] == labels:
-                block = [merge(x, y, pages=False) for x, y in zip(block, kids[j:j + period])]
-                j += period
-            if j > i + period:
-                out, i = out + block, j
-            else:
-                out.append(kids[i])
-                i += 1
-        kids = out
-    return kids
-
-
 def folded(t: list) -> list:
-    """A template above MAX_NODES with repeated sequences of siblings folded and then, level by level from the widest,
-    siblings of one label: every label path stays. So does every layout; only where most nodes are those of a single page
-    among MANY (names made up per page), these go: their text is then nowhere taken for constant."""
-    def each(x, change):
-        change(x)
-        for k in x[K]:
-            each(k, change)
-
-    def sequences(x):
-        if not x[B] & FOLDED:
-            x[K] = _unrepeated(x[K])
-
-    def labels(x):
-        if len(x[K]) > limit:
-            by = _by_label(x[K])
-            x[K], x[B] = [by[k] for k in sorted(by)], x[B] | FOLDED
-
-    if _count(t) > MAX_NODES:
-        each(t, sequences)
-    for limit in (256, 64, 16, 4, 1):
-        if _count(t) > MAX_NODES:
-            each(t, labels)
-    if t[N] >= MANY and (n := _count(t)) > MAX_NODES and _count(t, 2) * 2 < n:
-        each(t, lambda x: x.__setitem__(K, [k for k in x[K] if k[N] > 1]))
+    """A template with the children in the order of their labels, those of one label in page order, whatever its size."""
+    t[K].sort(key=lambda k: k[L])
     return t
 
 
 def _merged(a: list | None, b: list) -> list:
     """Templates with the hashes of their pages: [template, distinct pages]."""
     if a is None:
-        return [folded(b[0]), b[1]]
-    return [folded(merge(a[0], folded(b[0]))), sorted({*a[1], *b[1]})[:KEPT]]
+        return b
+    return [merge(a[0], b[0]), sorted({*a[1], *b[1]})[:KEPT]]
 
 
 def rule(template: list, pages: list) -> dict:
@@ -360,14 +326,16 @@ def rule(template: list, pages: list) -> dict:
     spot = ""
     path, node = [], template
     while True:
-        weights = [weight(k, f"{spot}/{k[L]}") for k in node[K]]
+        kids = [k for k in node[K] if not k[B] & VIEW]
+        weights = [weight(k, f"{spot}/{k[L]}") for k in kids]
         total = weight(node, spot)
-        named = [i for i, k in enumerate(node[K]) if k[T] in NAMED and not k[B] & BAD and weights[i] >= total / 2]
+        named = [i for i, k in enumerate(kids) if k[T] in NAMED and not k[B] & BAD and weights[i] >= total / 2]
         best = named[0] if named else max(range(len(weights)), key=weights.__getitem__, default=None)
-        if best is None or not total or node[K][best][T] not in CONTAINERS or not named and weights[best] < HOLDS * total:
+        if best is None or not total or kids[best][T] not in CONTAINERS or not named and weights[best] < HOLDS * total:
             break
-        path.append([best, [[k[L], []] if i != best else [k[L], [x[L] for x in k[K]]] for i, k in enumerate(node[K])]])
-        node = node[K][best]
+        same = [i for i, k in enumerate(kids) if k[L] == kids[best][L]]  # the order of other labels is not kept
+        path.append([same.index(best), [[k[L], [x[L] for x in k[K] if not x[B] & VIEW] if len(same) > 1 else []] for k in (kids[i] for i in same)]])
+        node = kids[best]
         spot = f"{spot}/{node[L]}"
         if node[T] == "article":
             break
@@ -375,7 +343,7 @@ def rule(template: list, pages: list) -> dict:
 
     def fixed(t, at, inside):
         for k in t[K]:
-            here = f"{at}/{k[L]}"
+            here = f"{at}/{k[L].split(' ')[0]}"
             within = inside or k[T] in NAMED
             if (k[B] & BAD or k[B] & NAME and here not in opened) and not within:
                 continue
@@ -391,16 +359,12 @@ def aligned(node: Node, best: int, kids: list) -> list[Node]:
     blocks = node.blocks()
     if [label for label, _ in kids].count(kids[best][0]) == 1:
         return [b for b in blocks if b.label == kids[best][0]]
-    want = [[label, "", 0, 0, 0, 0, [], [[x, "", 0, 0, 0, 0, [], []] for x in below]] for label, below in kids]
-    have, at = [], []
-    for b in blocks:  # equal neighbours folded as in the template
-        s = [b.label, "", 0, 0, 0, 0, [], [[x.label, "", 0, 0, 0, 0, [], []] for x in b.blocks()]]
-        if have and have[-1][L] == s[L]:
-            at[-1].append(b)
-        else:
-            have.append(s)
-            at.append([b])
-    pairs = dict(_match(["", "", 0, 0, 0, 0, [], want], ["", "", 0, 0, 0, 0, [], have], {})[1])
+    def stub(label, below):
+        return [label, "", 0, 0, 0, 0, [], [[x, "", 0, 0, 0, 0, [], []] for x in below]]
+
+    at = [same for same in runs(blocks, lambda b: b.label) if same[0].label == kids[best][0]]
+    have = [stub(same[0].label, sorted(part[0] for b in same[:1] for part in runs([x.label for x in b.blocks()], str))) for same in at]  # folded as in the template
+    pairs = dict(_match(["", "", 0, 0, 0, 0, [], [stub(*k) for k in kids]], ["", "", 0, 0, 0, 0, [], have], {})[1])
     return at[pairs[best]] if best in pairs else []
 
 

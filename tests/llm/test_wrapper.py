@@ -1,6 +1,8 @@
 """Wrapper induction: names of layout are no furniture, deep markup, independence of the partitioning."""
 
+import functools
 import random
+import zlib
 
 import pytest
 
@@ -70,3 +72,48 @@ def test_result_does_not_depend_on_the_partitioning(spark):
     df = spark.createDataFrame(rows, PAGES)
     texts = [sorted((r.page_id, r.text) for r in wrapper.report(df.repartition(n, "page_id")).collect()) for n in (1, 5)]
     assert texts[0] == texts[1]
+
+
+def _rule(pages):
+    return wrapper.rule(*functools.reduce(wrapper._merged, [[wrapper.summary(wrapper.parse(t)), [zlib.crc32(t.encode())]] for t in pages]))
+
+
+def _long(i, k):
+    tags = [["h2", "p", "ul", "dl"][zlib.crc32(b"%d %d" % (i, j)) % 4] for j in range(k)]
+    return "".join(f"<{t}>word {i} {j}</{t}>" for j, t in enumerate(tags))
+
+
+@pytest.mark.parametrize("k", [5, 4_000])
+def test_constants_do_not_depend_on_the_length_of_the_pages(k):
+    wrap = "<body><div class=links><a href=/{0}>Older {0}</a></div><div class=body>{1}<div class=by>Author {0}</div><p>Thanks for reading</p></div><footer>f</footer></body>"
+    pages = [wrap.format(i, _long(i, k)) for i in range(8)]
+    r = _rule(pages)
+    for i, t in enumerate(pages):
+        assert wrapper.extract(t, r) == " ".join(f"word {i} {j}" for j in range(k)) + f" Author {i}"
+
+
+def _made_up(i):
+    """A page whose article lies in a block with a name of its own, beside a list of links without a name."""
+    name = "".join(chr(97 + int(c)) for c in f"{i:03d}") + "zz"
+    return f"<body><div class=wrap><div class={name}>{''.join(f'<h2>Head {i} {j}</h2><p>Words {i} of {j}</p>' for j in range(25))}</div></div><div class=more><a href=/{i}>Older story {i}</a></div></body>"
+
+
+@pytest.mark.parametrize("n", [10, 63, 70, 200])
+def test_rule_does_not_depend_on_the_number_of_pages(n):
+    pages = [_made_up(i) for i in range(n)]
+    r = _rule(pages)
+    assert r["path"] and r["path"][0] == _rule(pages[:10])["path"][0]
+    assert all("Older story" not in wrapper.extract(t, r) and f"Words {i} of 24" in wrapper.extract(t, r) for i, t in enumerate(pages))
+
+
+def test_templates_merge_in_any_order_and_grouping():
+    rng = random.Random(5)
+    trees = []
+    for i in range(24):
+        blocks = "".join(rng.choice(["<p>a {}</p>", "<p>Same</p>", "<div class=n>n {}</div>", "<ul><li>l</ul>", "<h2>h {}</h2>", "<section><p>s {}</p><h3>x</h3></section>"]).format(i) for _ in range(rng.randrange(1, 12)))
+        trees.append([wrapper.summary(wrapper.parse(f"<body><div class=body>{blocks}</div></body>")), [i]])
+    want = functools.reduce(wrapper._merged, trees)
+    for _ in range(5):
+        rng.shuffle(trees)
+        k = rng.randrange(1, 23)
+        assert wrapper._merged(functools.reduce(wrapper._merged, trees[:k]), functools.reduce(wrapper._merged, trees[k:])) == want
