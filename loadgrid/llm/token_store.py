@@ -20,11 +20,12 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loadgrid.llm.common import scratch_path, ship_code
+from loadgrid.llm.common import release_memory, scratch_path, ship_code
 
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -32,11 +33,11 @@ SCHEMA = "doc_id bigint, part int, at bigint, n_tokens bigint, ids array<int>"
 #: Bytes of a row group, rows of a page, bytes of a page.
 ROW_GROUP, PAGE_ROWS, PAGE = 32 << 20, 1_000, 256 << 10
 #: Words whose ids a worker keeps, and words encoded in one call.
-KEPT_WORDS, CALL_WORDS = 1_000_000, 2_000
+KEPT_WORDS, CALL_WORDS = 1_500_000, 2_000
 #: Marks that close a word.
-MARKS = b".,;:!?"
-#: Characters of text encoded at a time.
-PIECE_CHARS = 1_000_000
+MARKS = ".,;:!?"
+#: Characters of text encoded at a time, and rows of a batch that is handed back.
+PIECE_CHARS, BATCH_ROWS = 6_000_000, 500
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,73 +47,116 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordIds:
-    """Ids of white-space separated words as little-endian uint32 bytes, kept between batches.
+    """Ids of white-space separated words, kept between batches in Arrow columns: ``words`` and ``ids``, a list each.
 
     The tokenizer drops white space and never lets a token span it, so a text's ids are those of its
-    words in order. New words are encoded together. A word of lower-case letters alone is one piece, whose last
+    words in order. Arrow splits the texts, numbers their distinct words, finds them among the kept ones and puts the ids in place; only new
+    words are handled one by one. They are encoded together: a word of lower-case letters alone is one piece, whose last
     token is marked as the end of a word; all other words are cut apart by their offsets.
-    Words that were not seen for a while are forgotten, half of the kept ones at a time.
+    Of more than KEPT_WORDS words the half that was not seen for longest is forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path, self.known, self.old, self.tokenizer = path, {}, {}, Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.words, self.ids, self.seen, self.call = pa.array([""], pa.string()), pa.array([[]], pa.list_(pa.int32())), np.zeros(1, np.int64), 0
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
-    def _keep(self, words: list[str], ids: np.ndarray, cut: list[int]) -> None:
-        raw = ids.tobytes()
-        for k, w in enumerate(words):
-            self.known[w.encode()] = raw[4 * cut[k]:4 * cut[k + 1]]
-
-    def learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
-        for raw in words:
-            w = raw.decode()
+    def learn(self, words: list[str]) -> tuple[list[str], pa.ListArray]:
+        """The words in some order, and the ids of each."""
+        plain, other, done, ids, sizes = [], [], [], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for w in words:
             letters = self.ends is not None and w.isalpha() and w.islower() and is_normalized("NFC", w)
             (plain if letters else other).append(w)
         for i in range(0, len(plain), CALL_WORDS):
             part = plain[i:i + CALL_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-            if len(cut) == len(part) + 1:
-                self._keep(part, ids, cut)
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            last = np.flatnonzero(self.ends[got])
+            if len(last) == len(part):
+                done += part
+                ids.append(got[:last[-1] + 1])
+                sizes.append(np.diff(last, prepend=-1))
             else:
                 other += part
         for i in range(0, len(other), CALL_WORDS):
             part = other[i:i + CALL_WORDS]
             enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, "<u4")
+            got = np.array(enc.ids, np.int32)
             starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            at = np.array([o[0] for o in enc.offsets], np.int64) if len(ids) else np.zeros(0, np.int64)
-            self._keep(part, ids, [*np.searchsorted(at, starts).tolist(), len(ids)])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes, without the end id."""
-        split = []
-        for t in texts:
-            raw = t.encode()
-            split.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens are case-sensitive
-        if len(self.known) > KEPT_WORDS // 2:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        new = set().union(*split) - known.keys()
-        if new:
-            known.update((w, old[w]) for w in new & old.keys())
-            new -= known.keys()
-            # A mark after a letter is a token of its own: such a word is its stem's ids and the mark's.
-            marked = {w for w in new if w[-1] in MARKS and len(w) > 1 and 97 <= w[-2] <= 122 and b"<|" not in w}
-            stems = ({w[:-1] for w in marked} | {w[-1:] for w in marked}) - known.keys()
-            known.update((w, old[w]) for w in stems & old.keys())
-            self.learn(sorted((new - marked | stems) - known.keys()))
-            for w in marked:
-                known[w] = known[w[:-1]] + known[w[-1:]]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            at = np.array([o[0] for o in enc.offsets], np.int64) if len(got) else np.zeros(0, np.int64)
+            cut = np.append(np.searchsorted(at, starts), len(got))
+            done += part
+            ids.append(got[cut[0]:])
+            sizes.append(np.diff(cut))
+        return done, _lists(np.cumsum(np.concatenate(sizes)), pa.array(np.concatenate(ids)))
+
+    def _add(self, words: pa.Array, ids: pa.ListArray) -> None:
+        self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+        self.seen = np.append(self.seen, np.full(len(words), self.call))
+
+    def _forget(self) -> None:
+        keep = self.seen >= np.median(self.seen[1:])
+        keep[np.cumsum(keep) > KEPT_WORDS // 2] = False
+        keep[0] = True  # the empty word
+        self.words, self.ids, self.seen = self.words.filter(pa.array(keep)), self.ids.filter(pa.array(keep)), self.seen[keep]
+
+    def find(self, distinct: pa.Array) -> np.ndarray:
+        """The places of the words among the kept ones, to which new ones are added."""
+        self.call += 1
+        if len(self.words) > KEPT_WORDS:
+            self._forget()
+        # A mark after a letter is a token of its own: such a word is its stem's ids and the mark's.
+        has = pc.and_(pc.match_substring_regex(distinct, f"[a-z][{MARKS}]$"), pc.invert(pc.match_substring(distinct, "<|")))
+        marked = distinct.filter(has)
+        parts = pa.concat_arrays([pc.binary_slice(marked.cast(pa.binary()), 0, -1), pc.binary_slice(marked.cast(pa.binary()), -1)]).cast(pa.string())
+        at = pc.index_in(pa.concat_arrays([distinct, parts]), value_set=self.words)
+        here, of = at.slice(0, len(distinct)), at.slice(len(distinct))
+        new = here.is_null()
+        new_marked = new.filter(has)  # which of the marked words
+        both = pa.concat_arrays([new_marked, new_marked])
+        least = len(self.words)
+        needed = pc.unique(pa.concat_arrays([distinct.filter(pc.and_(new, pc.invert(has))), parts.filter(pc.and_(both, of.is_null()))]))
+        done, ids = self.learn(needed.to_pylist())
+        learned = pa.array(done, pa.string())
+        self._add(learned, ids)
+
+        def place(words, known):
+            return pc.coalesce(known, pc.add(pc.index_in(words, value_set=learned), pa.scalar(least, pa.int32()))).to_numpy(zero_copy_only=False)
+
+        two = place(parts.filter(both), of.filter(both)).astype(np.int64).reshape(2, -1).T.ravel()  # stem, mark, stem, mark
+        pairs = self.ids.take(pa.array(two))
+        self._add(marked.filter(new_marked), _lists(pairs.offsets.to_numpy()[::2], pairs.values))
+        out = np.empty(len(distinct), np.int64)
+        is_new_marked = pc.and_(new, has).to_numpy(zero_copy_only=False)
+        rest = pa.array(~is_new_marked)
+        out[~is_new_marked] = place(distinct.filter(rest), here.filter(rest))
+        out[is_new_marked] = least + len(done) + np.arange(is_new_marked.sum())
+        self.seen[out] = self.call
+        self.seen[two] = self.call
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of each text, and ``end_id``."""
+        special = pc.match_substring(texts, "<|")  # special tokens are case-sensitive
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        coded = split.flatten().dictionary_encode()
+        at = self.find(coded.dictionary)
+        ids = pa.concat_arrays([self.ids.take(pa.array(at)), pa.array([[end_id]], self.ids.type)])
+        sizes = pc.list_value_length(ids).to_numpy()
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        words = np.insert(coded.indices.to_numpy(), ends, len(at))
+        to = np.cumsum(sizes[words], dtype=np.int64)[ends + np.arange(len(ends))]
+        return _lists(np.concatenate([[0], to]), ids.take(pa.array(words)).flatten())
+
+
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -125,16 +169,16 @@ def _encoder(path: str) -> WordIds:
     return _ENCODERS[path]
 
 
-def _by_size(texts: list[str], limit: int = PIECE_CHARS):
-    """Slices of the list of at most ``limit`` characters, or one text."""
+def _by_size(sizes: list[int], limit: int = PIECE_CHARS):
+    """Slices of the texts of these sizes, of at most ``limit`` characters or one text each."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
+        size += n
+    if sizes:
+        yield start, len(sizes)
 
 
 def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -142,22 +186,23 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
     ship_code(docs.sparkSession)
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
             .repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
         enc = _encoder(path or tokenizer_path())
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in _by_size(texts):
-                raw = [x + end for x in enc.encode(texts[i:j])]
-                n = np.array([len(x) // 4 for x in raw], np.int64)
-                ends = np.cumsum(n)
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(before + ends - n), pa.array(n), lists],
-                                                 names=["doc_id", "part", "at", "n_tokens", "ids"])
+            ids, texts = b.column(0), b.column(1)
+            for i, j in _by_size(pc.utf8_length(texts).to_pylist()):
+                lists = enc.encode(texts.slice(i, j - i), end_id)
+                ends = lists.offsets.to_numpy()[1:].astype(np.int64)
+                n = np.diff(ends, prepend=0)
+                done = pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(before + ends - n), pa.array(n), lists],
+                                                  names=["doc_id", "part", "at", "n_tokens", "ids"])
                 before += int(ends[-1])
+                del lists
+                yield from (done.slice(k, BATCH_ROWS) for k in range(0, j - i, BATCH_ROWS))
+                del done
+                release_memory()
 
     return rows.mapInArrow(run, SCHEMA)
 

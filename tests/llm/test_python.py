@@ -3,6 +3,7 @@
 import collections
 import html
 import math
+import random
 import re
 import zlib
 
@@ -349,6 +350,23 @@ def test_token_store_round_trip(spark, docs, which):
     assert collections.Counter(tuple(r) for r in token_store.report(d).collect()) == want
 
 
+def test_token_words_are_found_again(monkeypatch):
+    import pyarrow as pa
+    texts = ["It is a test. A TEST, é. déjà! x.. .x a. 42nd 4. <|endoftext|> <|EndOfText|>. and", "", " \t\n", "test. it, IT; no-one's <b>end</b>", "Éa É, ÉB. \u00a0 a\u2028b \u0130x z\u0301. \x1c \x85", "。,", "a", "."]
+    rng = random.Random(3)
+    texts += [" ".join("".join(rng.choice("abé'Z.,!?4-") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 60))) for _ in range(150)]
+    want = [x.tolist() for x in _encode(texts)]
+    enc = token_store.WordIds(token_store.tokenizer_path())
+    assert enc.encode(pa.array(["-", *texts])[1:], 2).to_pylist() == want
+    learned = []
+    monkeypatch.setattr(enc, "learn", lambda words, learn=enc.learn: (learned.extend(words), learn(words))[1])
+    assert enc.encode(pa.array(texts), 2).to_pylist() == want and not learned      # a call looks up its distinct words, all known
+    monkeypatch.setattr(token_store, "KEPT_WORDS", 40)
+    for i in range(0, len(texts), 7):
+        assert enc.encode(pa.array(texts[i:i + 7]), 2).to_pylist() == want[i:i + 7]
+    assert learned and len(enc.words) == len(enc.seen) == len(enc.ids)
+
+
 def test_token_store_files(spark, docs):
     import glob
 
