@@ -6,6 +6,10 @@ aligned windows: the same question with other numbers or names is caught, a chan
 placeholders is not. A capitalised word at a sentence's start is tried as a word and as a name, and
 windows are joined verbatim (but for case and marks at the tokens' edges) as well.
 
+The documents' windows are formed only where they may agree: each benchmark window has two of its words as anchor,
+every token of every document is looked up among the anchors' first words, and where the second word is at its place too
+the window is cut out, brought into its forms and hash-joined. Forms only drop marks or put placeholders, so no equal window is missed.
+
 Defined results: null or empty text has no windows; an item shorter than a window is one window of
 its own length; windows with fewer than ``MIN_LITERALS`` different literal tokens match only verbatim; an item
 without any token matches nothing. A document repeated with the same text counts
@@ -27,12 +31,16 @@ MIN_WINDOWS = 6
 #: Benchmark windows up to this number (hash, tokens and slots, below 1 kB each) are broadcast;
 #: beyond it the window join shuffles.
 BROADCAST_WINDOWS = 50_000
+#: Likewise for the anchors of the benchmark's windows, below 100 bytes each.
+BROADCAST_ANCHORS = 500_000
 
 #: Placeholders, and the units that follow a number.
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Mark of a capitalised word at a sentence's start, which may be a name. The forms of a text: such words as literals, as
 #: names, and every token verbatim but for case and marks at its edges.
 START, FORMS, VERBATIM = "<s>", ("_plain", "_named", "_low"), 2
+#: The key of any token, for windows that agree without a common word (only if no literal is asked for); no token holds it.
+ANY = "\t"
 UNITS = ("km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|oz|tons?|l|ml|litres?|liters?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|"
          "weeks?|months?|years?|mph|kmh|dollars?|euros?|cents?|usd|eur|percent|degrees?")
 
@@ -61,59 +69,125 @@ def canonical_text(raw: Column) -> Column:
     return F.lower(F.regexp_replace(t, _EDGE, ""))
 
 
-def _tokens(table: DataFrame, key: str) -> DataFrame:
-    """The tokens of each text as they are, and in the forms of ``FORMS``."""
-    raw = raw_text(F.col("text"))
-    out = table.filter(F.col("text").isNotNull()).select(F.col(key), F.xxhash64("text").alias("_text"), raw.alias("_raw"))
-    out = out.select(key, "_text", "_raw", canonical_text(F.col("_raw")).alias("_canon"))
-    return out.select(key, "_text", F.split("_raw", " ").alias("_raw"), F.split(F.replace("_canon", F.lit(START), F.lit("")), " ").alias("_plain"),
+def _forms(table: DataFrame) -> DataFrame:
+    """The tokens of the text ``_raw`` as they are, and in the forms of ``FORMS``; other columns unchanged."""
+    keep = [c for c in table.columns if c != "_raw"]
+    out = table.select(*keep, "_raw", canonical_text(F.col("_raw")).alias("_canon"))
+    return out.select(*keep, F.split("_raw", " ").alias("_raw"), F.split(F.replace("_canon", F.lit(START), F.lit("")), " ").alias("_plain"),
                       F.split(F.regexp_replace("_canon", f"{START}[^ ]*+", NAME), " ").alias("_named"),
                       F.split(F.lower(F.regexp_replace("_raw", _MARKS, "")), " ").alias("_low"))
 
 
-def _windows(tokens: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """A row per window and form: position (from 0), ``_form``, ``_hash`` of its tokens in that form, null behind the last window; the arrays stay by reference."""
-    # Outer, and without a filter on the arrays: either would compute the canonical text once more below the generator.
-    rows = tokens.select(*keep, "_raw", *FORMS, F.posexplode_outer("_plain").alias("_pos", "_token")).drop("_token")
-    inside = F.col("_pos") <= F.size("_raw") - width
-    return rows.select("*", F.posexplode(F.array(*[F.when(inside, F.xxhash64(F.slice(f, F.col("_pos") + 1, width))) for f in FORMS])).alias("_form", "_hash"))
+def _texts(table: DataFrame, key: str) -> DataFrame:
+    return table.filter(F.col("text").isNotNull()).select(F.col(key), F.xxhash64("text").alias("_text"), raw_text(F.col("text")).alias("_raw"))
+
+
+def _windows(tokens: DataFrame) -> DataFrame:
+    """A row per form of the window of ``width`` tokens behind the first ``_pos`` ones: ``_form`` and ``_hash`` of its tokens in that form."""
+    hashes = F.array(*[F.xxhash64(F.slice(f, F.col("_pos") + 1, F.col("width"))) for f in FORMS])
+    return tokens.select("*", F.posexplode(hashes).alias("_form", "_hash"))
+
 
+def _value(raw: Column) -> Column:
+    return F.lower(F.regexp_replace(raw, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
-def _slots(width: int) -> tuple[Column, Column]:
+
+def _slots() -> tuple[Column, Column]:
     """The window in its form as text, and its raw values at placeholders in order."""
+    width = F.col("width")
     form = F.when(F.col("_form") == 0, F.col(FORMS[0])).when(F.col("_form") == 1, F.col(FORMS[1])).otherwise(F.col(FORMS[2]))
     canon, raw = F.slice(form, F.col("_pos") + 1, width), F.slice("_raw", F.col("_pos") + 1, width)
     pairs = F.filter(F.arrays_zip(canon.alias("c"), raw.alias("r")), lambda x: x["c"].isin(NUM, NAME, UNIT))
-    slots = F.transform(pairs, lambda x: F.lower(F.regexp_replace(x["r"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    slots = F.transform(pairs, lambda x: _value(x["r"]))
     return F.concat_ws(" ", canon), F.when(F.col("_form") < VERBATIM, slots).otherwise(F.array().cast("array<string>"))
 
 
+def _literal(token: Column) -> Column:
+    return ~token.isin(NUM, NAME, UNIT, "")
+
+
 def _literals(tokens: Column) -> Column:
-    return F.size(F.array_distinct(F.filter(tokens, lambda x: ~x.isin(NUM, NAME, UNIT, ""))))
+    return F.size(F.array_distinct(F.filter(tokens, _literal)))
+
+
+def _key(low: Column) -> Column:
+    """Lower-cased tokens without marks: equal wherever literals or verbatim tokens are, since all forms only drop marks."""
+    return F.regexp_replace(low, r"[^\p{L}\p{N} ]++", "")
+
+
+def _anchors(min_literals: int) -> Column:
+    """The places of a benchmark window whose keys a document's window must share to agree in its form, as an array of
+    (key, offset, step to the second key, second key): two literals, any two tokens verbatim, the longest of those that are no names first.
+    A named window without a literal agrees at a sentence's first word; one that may agree without any common word has the key ``ANY``."""
+    form = F.col("_form")
+
+    def place(x: Column, i: Column) -> Column:
+        token = F.when(form == 0, x["p"]).when(form == 1, x["n"]).otherwise(x["l"])
+        key = _key(token)
+        return F.struct(((form == VERBATIM) | _literal(token)).alias("fixed"), _literal(x["n"]).alias("literal"), F.length(key).alias("length"), key.alias("key"), i.alias("at"))
+
+    def anchor(first: Column, second: Column) -> Column:
+        return F.struct(first["key"].alias("key"), first["at"].alias("offset"), (second["at"] - first["at"]).alias("step"), second["key"].alias("second"))
+
+    zipped = F.arrays_zip(F.col("_p").alias("p"), F.col("_n").alias("n"), F.col("_l").alias("l"), F.col("_r").alias("r"))
+    places = F.sort_array(F.filter(F.transform(zipped, place), lambda x: x["fixed"]), asc=False)
+    pair = F.transform(F.slice(places, 1, 1), lambda x: anchor(x, F.coalesce(F.get(places, F.lit(1)), x)))
+    firsts = F.filter(F.transform(zipped, lambda x, i: F.struct((~_literal(x["n"]) & F.array_contains("first", _value(x["r"]))).alias("fixed"), _key(F.lower(x["r"])).alias("key"), i.alias("at"))),
+                      lambda x: x["fixed"])
+    anywhere = F.array(F.struct(F.lit(ANY).alias("key"), F.lit(0).alias("offset"), F.lit(0).alias("step"), F.lit(ANY).alias("second")))
+    return (F.when(F.size(places) > 0, pair).when((form == 1) & (F.col("literals") < min_literals), F.transform(firsts, lambda x: anchor(x, x))).otherwise(anywhere))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """(item_id, width, pos, form, hash, template, slots, literals, first, n_windows, n_usable) of the windows; small: up to three rows a benchmark word.
+    """(item_id, item_text, width, pos, form, hash, template, slots, literals, first, anchors, n_windows, n_usable) of the windows; small: up to three rows a benchmark word.
 
     A window is there verbatim if any of its tokens has a character, and in the other forms if it has enough literals.
     In the named form a word at a sentence's start (``first``) is a literal only where the document has the same."""
-    tokens = checkpointed(_tokens(benchmark, "item_id").withColumn("width", F.least(F.size("_plain"), F.lit(window))))
-    out = None
-    for (width,) in sorted(tokens.select("width").distinct().collect()):
-        template, slots = _slots(width)
-        plain, named = (F.slice(f, F.col("_pos") + 1, width) for f in FORMS[:2])
-        first = F.transform(F.filter(F.arrays_zip(plain.alias("p"), named.alias("n")), lambda x: x["p"] != x["n"]), lambda x: x["p"])
-        part = (_windows(tokens.filter(F.col("width") == width), width, ["item_id", "_text", "width"]).filter(F.col("_hash").isNotNull())
-                .select("item_id", "_text", "width", F.col("_pos").alias("pos"), F.col("_form").alias("form"), F.col("_hash").alias("hash"), template.alias("template"), slots.alias("slots"),
-                        _literals(plain).alias("_literals"), _literals(named).alias("literals"), F.array_distinct(first).alias("first")))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = tokens.select("item_id", "_text", "width", F.lit(0).alias("pos"), F.lit(0).alias("form"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("template"), F.array(F.lit("")).alias("slots"),
-                            F.lit(0).alias("_literals"), F.lit(0).alias("literals"), F.array(F.lit("")).alias("first"))
-    out = out.filter(F.when(F.col("form") == VERBATIM, F.trim("template") != "").otherwise(F.col("_literals") >= min_literals))
-    item = Window.partitionBy("item_id", "_text")
+    tokens = _forms(_texts(benchmark, "item_id")).withColumn("width", F.least(F.size("_plain"), F.lit(window)))
+    tokens = checkpointed(tokens.select("*", F.explode(F.sequence(F.lit(0), F.size("_plain") - F.col("width"))).alias("_pos")))
+    template, slots = _slots()
+    cut = [F.slice(f, F.col("_pos") + 1, F.col("width")).alias(n) for f, n in zip((*FORMS, "_raw"), ("_p", "_n", "_l", "_r"), strict=True)]
+    first = F.transform(F.filter(F.arrays_zip(F.col("_p").alias("p"), F.col("_n").alias("n")), lambda x: x["p"] != x["n"]), lambda x: x["p"])
+    out = (_windows(tokens).select("item_id", F.col("_text").alias("item_text"), "width", "_pos", "_form", "_hash", template.alias("template"), slots.alias("slots"), *cut)
+           .select("*", _literals(F.col("_p")).alias("_literals"), _literals(F.col("_n")).alias("literals"), F.array_distinct(first).alias("first"))
+           .filter(F.when(F.col("_form") == VERBATIM, F.trim("template") != "").otherwise(F.col("_literals") >= min_literals))
+           .withColumn("anchors", _anchors(min_literals)).withColumnsRenamed({"_pos": "pos", "_form": "form", "_hash": "hash"}))
+    item = Window.partitionBy("item_id", "item_text")
     n, usable = F.size(F.collect_set("pos").over(item)), F.size(F.collect_set(F.when(F.col("form") < VERBATIM, F.col("pos"))).over(item))
-    return checkpointed(out.select("item_id", F.col("_text").alias("item_text"), "width", "pos", "form", "hash", "template", "slots", "literals", "first", n.cast("long").alias("n_windows"), usable.cast("long").alias("n_usable")))
+    return checkpointed(out.select("item_id", "item_text", "width", "pos", "form", "hash", "template", "slots", "literals", "first", "anchors", n.cast("long").alias("n_windows"), usable.cast("long").alias("n_usable")))
+
+
+def anchored(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """(doc_id, _text, word, width, _raw, _pos): the documents' stretches that may agree with a benchmark window, from token ``word`` on.
+
+    ``_raw`` begins with the token before it, if there is one (``_pos`` is their number): what a token becomes depends on no other. Every token's
+    key is looked up among the first keys of the anchors; where the second one is at its place too, the stretch is cut out."""
+    anchors = bench.select("width", F.inline("anchors")).distinct()
+    side = small_side(checkpointed(anchors.select("width", "offset", "step", "second", F.xxhash64("key").alias("_first"))), BROADCAST_ANCHORS)
+    low = F.lower("_raw")
+    # A token's literal form has lost a ``START`` that was in the text, its verbatim one has not: such a text has both keys, one list behind the other.
+    keys = F.when(F.contains(low, F.lit(START)), F.concat(F.split(_key(low), " "), F.split(_key(F.replace(low, F.lit(START), F.lit(""))), " "))).otherwise(F.split(_key(low), " "))
+    if not anchors.filter(F.col("key") == ANY).isEmpty():
+        keys = F.concat(keys, F.array_repeat(F.lit(ANY), F.size(F.split("_raw", " "))))
+    rows = _texts(docs, "doc_id").select("doc_id", "_text", F.split("_raw", " ").alias("_raw"), keys.alias("_keys"))
+    # Outer, and compared null-safely: a filter on the arrays, as Spark infers it, would compute the keys once more below the generator.
+    rows = rows.select("*", F.posexplode_outer("_keys").alias("_at", "_token"))
+    word = F.col("_at") % F.size("_raw") - F.col("offset")
+    found = (rows.join(side, (F.xxhash64("_token") == F.col("_first")) & F.get("_keys", F.col("_at") + F.col("step")).eqNullSafe(F.col("second"))
+                       & (word >= 0) & (word + F.col("width") <= F.size("_raw")))
+             .select("doc_id", "_text", "_raw", "width", word.alias("word")))
+    before = F.least(F.col("word"), F.lit(1))
+    return found.select("doc_id", "_text", "word", "width", F.concat_ws(" ", F.slice("_raw", F.col("word") - before + 1, F.col("width") + before)).alias("_raw"), before.alias("_pos"))
+
+
+def agreeing(stretches: DataFrame, bench: DataFrame) -> DataFrame:
+    """The windows of ``stretches`` joined with the benchmark's: a row per window, form and equal benchmark window."""
+    template, slots = _slots()
+    side = small_side(bench.drop("width", "anchors"), BROADCAST_WINDOWS)
+    return (_windows(_forms(stretches)).join(side, (F.col("_hash") == F.col("hash")) & (F.col("_form") == F.col("form")))
+            .filter(template == F.col("template"))
+            .select("doc_id", "_text", "item_id", "item_text", "n_windows", "n_usable", "pos", "form", "word",
+                    F.arrays_zip(F.col("slots").alias("b"), slots.alias("d")).alias("pairs"), "literals", "first"))
 
 
 def _pairs(hits: Column, form: int) -> Column:
@@ -139,20 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     ``min_windows``, or all windows of a shorter item, or all those with enough literals.
     """
     bench = benchmark_windows(benchmark, window, min_literals)
-    tokens = _tokens(docs, "doc_id")
-    hits = None
-    for (width,) in sorted(bench.select("width").distinct().collect()):
-        template, slots = _slots(width)
-        side = small_side(bench.filter(F.col("width") == width).drop("width"), BROADCAST_WINDOWS)
-        part = (_windows(tokens, width, ["doc_id", "_text"]).join(side, F.col("_hash") == F.col("hash"))
-                # Not as keys of the join, which every window would compute; no lambdas here, they would end the generated code and copy the arrays a row.
-                .filter(F.coalesce((F.col("_form") == F.col("form")) & (template == F.col("template")), F.lit(False)))
-                .select("doc_id", "_text", "item_id", "item_text", "n_windows", "n_usable", "pos", "form", F.col("_pos").alias("word"),
-                        F.arrays_zip(F.col("slots").alias("b"), slots.alias("d")).alias("pairs"), "literals", "first"))
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        return docs.select("doc_id", F.xxhash64("text").alias("_text"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"),
-                           F.lit(0).cast("long").alias("n_windows"), F.lit(0).alias("first_word"), F.lit(False).alias("exact")).limit(0)
+    hits = agreeing(anchored(docs, bench), bench)
     item = ["doc_id", "_text", "item_id", "item_text", "n_windows", "n_usable"]
 
     def enough(x: Column) -> Column:
@@ -170,15 +231,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
         # The named form is as good as the plain one where the plain one finds nothing amiss; equal windows are a leak whatever the slots elsewhere say.
         return F.when(x["form"] == 0, ~F.col("_no0") & fits("_p0")).when(x["form"] == 1, ~F.col("_no0") & ~F.col("_no1") & fits("_p1")).otherwise(F.lit(True))
 
-    aligned = aligned.withColumn("_hits", F.filter("_hits", holds)).filter(F.size("_hits") > 0)
+    # Alignments without a hit count for nothing below; a filter here would move down and compute the columns above once a hit.
+    aligned = aligned.withColumn("_hits", F.filter("_hits", holds))
     positions = F.array_distinct(F.transform("_hits", lambda x: x["pos"]))
     usable = F.array_distinct(F.transform(F.filter("_hits", lambda x: x["form"] < VERBATIM), lambda x: x["pos"]))
     same = F.forall(F.concat("_p0", "_p1"), lambda x: x["b"] == x["d"])
     found = (aligned.groupBy(*item)
-             .agg(F.sum(F.size(positions)).alias("_n"), F.sum(F.size(usable)).alias("_u"), F.min(F.col("_at") + F.array_min(positions)).alias("first_word"), F.min(same).alias("exact"))
+             .agg(F.sum(F.size(positions)).alias("_n"), F.sum(F.size(usable)).alias("_u"), F.min(F.col("_at") + F.array_min(positions)).alias("first_word"), F.min(F.when(F.size("_hits") > 0, same)).alias("exact"))
              .withColumn("n_matched", F.least("_n", "n_windows")))
-    return (found.filter((F.col("n_matched") >= F.least(F.lit(min_windows), F.col("n_windows")))
-                         | (F.col("n_usable") > 0) & (F.col("_u") >= F.least(F.lit(min_windows), F.col("n_usable"))))
+    return (found.filter("_n > 0").filter((F.col("n_matched") >= F.least(F.lit(min_windows), F.col("n_windows")))
+                                         | (F.col("n_usable") > 0) & (F.col("_u") >= F.least(F.lit(min_windows), F.col("n_usable"))))
             .select("doc_id", "_text", "item_id", "n_matched", "n_windows", "first_word", "exact"))
 
 

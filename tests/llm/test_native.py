@@ -345,6 +345,47 @@ def test_decontamination_against_brute_force(spark):
     assert want and want <= got and {d for d, _ in got} <= {d for d, _ in hits}
 
 
+def _odd_texts(seed):
+    """Items of odd tokens, and documents that hold them with other tokens here and there."""
+    r = random.Random(seed)
+    odd = ("<s>foo <S>Foo foo<s> s>foo <s> s foo Foo foo, <num> x<num> <name> <unit> 5 (5), 7km 9 km Km. km, Tom Tom. Tom: \"Anna\" 'Mary' Mary- tom anna -- - ** <> (<div>. <div> a> a>. >a "
+           "\u0130 i\u0307 \u0130> i\u0307> \u039f\u0394\u039f\u03a3 \u03bf\u03b4\u03bf\u03c2, \u03a3' \u00a0 \u4e2d\u6587 \U0001f600 \u24b6 \u24d0 \u2160 e\u0301 word Word word. other. other rows? rows").split(" ")
+    items = [" ".join(r.choice(odd) for _ in range(r.choice((1, 2, 4, 9, 14)))) for _ in range(30)] + ["-- -- --", "s", "Tom. Anna. Tom. Mary. Foo. Word. Other. Rows. Tom.", "5 7 9 5 7 9 5 7 9 5", " ", "<s>"]
+    docs = []
+    for i in range(120):
+        words = [r.choice(odd) for _ in range(r.randrange(12))] + [r.choice(odd) if r.random() < 0.12 else w for w in items[i % len(items)].split(" ")] + [r.choice(odd) for _ in range(r.randrange(6))]
+        docs.append((i, "".join(w + r.choice((" ", " ", " ", "\n", "  ")) for w in words)))
+    return docs, list(enumerate(items))
+
+
+@pytest.mark.parametrize("window, least", [(8, 4), (4, 2), (3, 0)])
+def test_decontamination_anchors_lose_no_window(spark, window, least):
+    """Stretches cut out at anchors against every position of every whole text."""
+    docs, items = _odd_texts(window)
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), decontam.benchmark_windows(spark.createDataFrame(items, "item_id long, text string"), window, least)
+    whole = decontam._texts(docs, "doc_id").crossJoin(bench.select("width").distinct())
+    whole = whole.select("*", F.posexplode(F.split("_raw", " ")).alias("_pos", "_token")).drop("_token").withColumn("word", F.col("_pos"))
+    whole = whole.filter(F.col("word") + F.col("width") <= F.size(F.split("_raw", " ")))
+
+    def windows(stretches):
+        rows = decontam.agreeing(stretches, bench).collect()
+        # Named windows need enough words in common, as `contaminated` asks for.
+        return {(x.doc_id, x.word, x.item_id, x.pos, x.form, tuple(x.pairs)) for x in rows if x.form != 1 or x.literals + len({b for b, d in x.pairs if b == d} & set(x["first"])) >= least}
+
+    want = windows(whole)
+    assert {x[4] for x in want} == {0, 1, 2} and windows(decontam.anchored(docs, bench)) == want
+
+
+def test_decontamination_cuts_out_few_stretches(spark):
+    """Windows are formed and compared where two words of a benchmark window are at their places, not at each position of each text."""
+    texts = ["some plain words of a long text without the rest " * 2_000, "wagons of " * 2_000, f"Some words. {ITEM} " + "and more " * 2_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = decontam.benchmark_windows(spark.createDataFrame([(7, ITEM)], "item_id long, text string"))
+    rows = decontam.anchored(docs, bench).collect()
+    assert {x.doc_id for x in rows} == {2} and len(rows) <= 3 * len(ITEM.split()) and all(len(x["_raw"].split()) <= 9 for x in rows)
+    assert [x.doc_id for x in decontam.contaminated(docs, spark.createDataFrame([(7, ITEM)], "item_id long, text string")).collect()] == [2]
+
+
 def test_weighted_sampling(spark):
     texts = {i: " ".join(f"w{(i * 7 + k * k) % 60}" for k in range(80 + i)) for i in range(60)}
     texts[60], texts[61] = texts[3], "a"
